@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, packing, token_store
+from tallyframe.llm import decontaminate, near_duplicates, packing, token_store
 from tallyframe.llm.common import scratch_path, table
 
 
@@ -22,11 +22,15 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).withColumnRenamed("key", "doc_id")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op4_pack)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_near_duplicates, op4_pack)}
 
 ORACLES = {
     "op1_decontaminate": """
@@ -44,4 +48,15 @@ ORACLES = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op3_near_duplicates": """
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + least(4, len(w)) - 1], ' ') AS g
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 0) + 2)) AS p FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+        r AS (SELECT doc_id AS node, doc_id AS reached FROM d UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached),
+        m AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM d JOIN m ON node = doc_id LEFT JOIN n USING (doc_id)""",
 }
