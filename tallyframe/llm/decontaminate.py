@@ -228,7 +228,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, byte
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(1.3 * total / block_bytes)) if total > block_bytes else 1
     for b in range(n):
-        some = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b)
+        some = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
         yield n, [(r[0], r[1]) for r in some.collect()]
 
 

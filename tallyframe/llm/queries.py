@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, near_duplicates, packing, token_store
-from tallyframe.llm.common import scratch_path, table
+from tallyframe.llm import decontaminate, language, near_duplicates, packing, token_store, toxicity
+from tallyframe.llm.common import crc32_mod, scratch_path, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,20 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_near_duplicates, op4_pack)}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc32_mod("doc_id", 5) == 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.where("NOT held_out").join(labels, "doc_id"), label="toxic")
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc32_mod("doc_id", 4) == 2)
+    contents = language.fit(docs.where("NOT held_out"))
+    return language.identify(docs.drop("lang"), contents).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_near_duplicates, op4_pack, op5_toxicity, op6_language)}
 
 ORACLES = {
     "op1_decontaminate": """

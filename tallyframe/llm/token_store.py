@@ -33,9 +33,9 @@ def _frame_dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, text: str = "text", size: int = 32 << 10) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "key", size: int = 32 << 10) -> bytes:
     """A dictionary from serialized ids of a bounded sample: about SAMPLE_DOCUMENTS documents, chosen by a hash of their
-    text, and from each SAMPLE_PIECES evenly spaced pieces of SAMPLE_BYTES. It only sets how well frames compress.
+    key, and from each SAMPLE_PIECES evenly spaced pieces of SAMPLE_BYTES. It only sets how well frames compress.
     Too little text gives a dictionary of the pieces themselves; none gives an empty one."""
     total = docs.count()
     share = F.lit(min(1.0, SAMPLE_DOCUMENTS / max(1, total)) * (1 << 30)).cast("long")
@@ -49,7 +49,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, text: str = "text", size:
                 out += [raw[i : i + SAMPLE_BYTES] for i in range(0, len(raw), step)][:SAMPLE_PIECES]
             yield pa.RecordBatch.from_pydict({"piece": pa.array(out, pa.binary())})
 
-    sample = docs.select(text).where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(text), F.lit(1 << 30)) < share))
+    sample = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share)).select(text)
     found = sorted(r[0] for r in sample.mapInArrow(pieces, "piece binary").collect() if r[0])
     try:
         return zstandard.train_dictionary(size, found).as_bytes()
