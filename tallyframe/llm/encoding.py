@@ -1,17 +1,15 @@
 """Whole-text encoding with a public tokenizer file, with a bounded memory of pieces already encoded.
 
 Words follow Zipf's law, so most of a corpus consists of pieces seen before. A text is cut only at places where the
-tokenizer itself always cuts (see `_split`), each distinct piece is encoded once by the tokenizers library, and the ids
+tokenizer itself always cuts, each distinct piece is encoded once by the tokenizers library, and the ids
 of a text are the joined ids of its pieces: the same ids as encoding the whole text in one call.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import re
-from collections.abc import Iterable
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -22,113 +20,101 @@ _PLAIN = re.compile(rf"[\n -~¡-©«-±´¶-¸»¿×÷{_LETTERS}]*")
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
 _SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 _TWO_SPACES = re.compile(r"\s\s")
-#: Python counts these as white space and the tokenizers do not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Python counts the last four as white space and the tokenizers do not; the first marks cuts here.
+_SEPARATORS = re.compile("[\0\x1c-\x1f]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+_LETTER_OF_BYTE = _byte_letters()
+
+
+class _Words(dict):
+    """pre-token -> its ids as bytes; forgets all when it holds too many."""
+
+    def __init__(self, model, dtype: np.dtype, keep: int) -> None:
+        self.model, self.dtype, self.keep = model, dtype, keep
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > self.keep:
+            self.clear()
+        shown = word.encode().decode("latin-1").translate(_LETTER_OF_BYTE)
+        ids = self[word] = np.array([t.id for t in self.model.tokenize(shown)], self.dtype).tobytes()
+        return ids
+
+
+class _Chunks(dict):
+    """chunk of a text -> its ids as bytes, in two generations, so that what is not used again goes."""
+
+    def __init__(self, encoder: Encoder, keep: int) -> None:
+        self.encoder, self.keep, self.old = encoder, keep, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if (ids := self.old.get(chunk)) is None:
+            ids = self.encoder.chunk(chunk)
+        if len(self) > self.keep:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
 
 
 class Encoder:
     """ids(texts) gives, for each text, its token ids as little-endian bytes of self.dtype.
 
-    keep: pieces held at most, in each of two generations of memory; older and unused pieces are forgotten.
+    keep: chunks held at most, in each of two generations of memory; older and unused ones are forgotten.
     """
 
-    def __init__(self, path: str, keep: int = 150_000) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.path = path
+    def __init__(self, path: str, keep: int = 300_000) -> None:
+        self.literal = Tokenizer.from_file(path)
+        #: The strings of special tokens in a text are ordinary text.
+        self.literal.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.size = self.literal.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        special = [t for t in spec["added_tokens"] if t["special"] and not t["normalized"]]
-        pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+        pre, model, post = spec["pre_tokenizer"] or {}, spec["model"], spec["post_processor"] or {}
         kinds = [p["type"] for p in pre.get("pretokenizers", [pre])]
         self.mode = "plain"
-        if special and spec["post_processor"] is None or (spec["post_processor"] or {}).get("type") == "ByteLevel":
+        if model["type"] == "BPE" and post.get("type", "ByteLevel") == "ByteLevel":
             if kinds == ["ByteLevel"] and pre["use_regex"] and not pre["add_prefix_space"] and not spec["normalizer"]:
                 self.mode = "spaced"
             elif kinds == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["invert"] and model.get("end_of_word_suffix"):
                 self.mode = "words"
-        self.mark, self.mark_id = (special[-1]["content"], special[-1]["id"]) if special else ("", -1)
-        self.keep, self.new, self.old = keep, {}, {}
-        self.parts: dict[str, bytes] = {}
-
-    @functools.cached_property
-    def literal(self) -> Tokenizer:
-        """Takes the strings of special tokens in a text as ordinary text, as self.ids() does."""
-        literal = Tokenizer.from_file(self.path)
-        literal.encode_special_tokens = True
-        return literal
-
-    def _split(self, text: str) -> list[str]:
-        """Cut where the tokenizer always cuts: at white space that it drops, or before each single space."""
-        if self.mode == "words" and not _SEPARATORS.search(text):
-            return text.split()
-        if self.mode == "spaced" and not _TWO_SPACES.search(text) and "\0" not in text:
-            return text.replace(" ", "\0 ").split("\0")
-        return [text]
-
-    def _fresh(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that are not in memory, in one call: the mark stands between pieces and is cut out again."""
-        out: list[bytes] = []
-        for some in (pieces[i : i + 20_000] for i in range(0, len(pieces), 20_000)):
-            if any("<|" in p for p in some):
-                out += [np.array(self.literal.encode(p, add_special_tokens=False).ids, self.dtype).tobytes() for p in some]
-                continue
-            ids = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, self.dtype)
-            cut = np.flatnonzero(ids == self.mark_id)
-            raw, w = ids.tobytes(), self.dtype.itemsize
-            starts = np.concatenate(([0], cut + 1)) * w
-            ends = np.concatenate((cut, [len(ids)])) * w
-            out += [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        return out
+        self.words = _Words(self.literal.model, self.dtype, keep)
+        self.chunks = _Chunks(self, keep)
 
-    def _learn(self, chunks: Iterable[str]) -> None:
-        found = _WORD.findall if self.mode == "words" else _SPACED.findall
-        cuts = []
-        for c in chunks:
-            if (ids := self.old.get(c)) is not None:
-                self.new[c] = ids
-            elif len(c) < 200 and _PLAIN.fullmatch(c):
-                cuts.append((c, found(c.lower() if self.mode == "words" else c)))
-            else:
-                cuts.append((c, [c]))
-        parts = self.parts
-        if len(parts) > 2 * self.keep:
-            parts.clear()
-        missing = list({p for _, ps in cuts for p in ps}.difference(parts))
-        parts.update(zip(missing, self._fresh(missing), strict=True))
-        for c, ps in cuts:
-            self.new[c] = b"".join([parts[p] for p in ps])
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.literal.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk: of its pre-tokens where Python cuts them as the tokenizer does, else of the whole."""
+        if not (chunk.isascii() or _PLAIN.fullmatch(chunk)):
+            return self._whole(chunk)
+        if self.mode == "words":
+            chunk = chunk.lower()
+            return self.words[chunk] if chunk.isascii() and chunk.isalpha() else b"".join(map(self.words.__getitem__, _WORD.findall(chunk)))
+        return self.words[chunk] if chunk[1:].isalpha() and chunk[0] == " " and chunk.isascii() else b"".join(map(self.words.__getitem__, _SPACED.findall(chunk)))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        if self.mode == "plain":
-            done = self.literal.encode_batch([t or "" for t in texts], add_special_tokens=False)
-            return [np.array(e.ids, self.dtype).tobytes() for e in done]
-        out: list[bytes] = []
-        for some in _runs(texts):
-            lists = [self._split(t) if t else [] for t in some]
-            if len(self.new) > self.keep:
-                self.old, self.new = self.new, {}
-            missing = set(itertools.chain.from_iterable(lists)).difference(self.new)
-            self._learn(missing)
-            get = self.new.__getitem__
-            out += [b"".join(map(get, pieces)) for pieces in lists]
+        get, out = self.chunks.__getitem__, []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif self.mode == "words" and not _SEPARATORS.search(text):  # white space is dropped
+                out.append(b"".join(map(get, text.split())))
+            elif self.mode == "spaced" and not _TWO_SPACES.search(text) and not _SEPARATORS.search(text):  # cut before each space
+                out.append(b"".join(map(get, text.replace(" ", "\0 ").split("\0"))))
+            else:
+                out.append(self._whole(text))
         return out
 
 
-def _runs(texts: list[str | None], chars: int = 2_000_000) -> Iterable[list[str | None]]:
-    """Runs of texts of about so many characters: bounds the pieces that are looked up at once."""
-    run, n = [], 0
-    for t in texts:
-        run.append(t)
-        n += len(t or "")
-        if n > chars:
-            yield run
-            run, n = [], 0
-    if run:
-        yield run
-
-
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder in each Python worker; its memory serves all tasks that the worker runs."""
