@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, language, near_duplicates, packing, token_store, toxicity
+from tallyframe.llm import decontaminate, language, near_duplicates, packing, quality, token_store, toxicity
 from tallyframe.llm.common import crc32_mod, scratch_path, table
 
 
@@ -43,7 +43,41 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.drop("lang"), contents).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_near_duplicates, op4_pack, op5_toxicity, op6_language)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+def _op8_sql(risk: float = 0.02, error: float = 0.05) -> str:
+    """The rules of op8_quality in DuckDB: counts by lists, binomial tails by lgamma."""
+    rules = list(quality.RULES.items())
+    p = risk / len(rules)
+    ratios = ", ".join(f"CAST({ratio.replace('/', '::DOUBLE /', 1)} AS DOUBLE) AS {rule}" for rule, (ratio, _) in rules)
+    tests = " UNION ALL ".join(f"SELECT stratum, '{rule}' AS rule, {i} AS i, CAST({cut} AS DOUBLE) AS cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND {rule} > {cut}) AS k, count(*) FILTER (NOT good AND {rule} > {cut}) AS caught FROM ratios GROUP BY stratum" for rule, (_, cuts) in rules for i, cut in enumerate(cuts))
+    failed = ", ".join(f"CASE WHEN {rule} > (SELECT cutoff FROM chosen c WHERE c.stratum = v.stratum AND c.rule = '{rule}') THEN '{rule}' END" for rule, _ in rules)
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda y: regexp_matches(y, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+        win AS (SELECT doc_id, p, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 0) + 1)) AS p FROM t)),
+        rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+        b AS (SELECT doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+              CAST(length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+              CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+              length(regexp_replace(x, '[^\\p{{Lu}}]+', '', 'g')) AS n_capitals, length(regexp_replace(x, '[^!]+', '', 'g')) AS n_exclamations
+              FROM t LEFT JOIN rep USING (doc_id)),
+        v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {ratios} FROM b),
+        ratios AS (SELECT v.*, quality = 1 AS good FROM v JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IN (0, 1)),
+        tests AS ({tests}),
+        passed AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda z: exp(lgamma(n + 1) - lgamma(z + 1) - lgamma(n - z + 1) + z * ln({p}) + (n - z) * ln(1 - {p}))))
+                   <= {error} / ((SELECT count(DISTINCT stratum) FROM ratios) * {len(rules)}) AS ok FROM tests),
+        stands AS (SELECT * FROM (SELECT *, coalesce(min(CASE WHEN NOT ok THEN i END) OVER (PARTITION BY stratum, rule), 1000) AS stop FROM passed) WHERE i < stop AND caught > 0),
+        chosen AS (SELECT stratum, rule, arg_min(cutoff, i) AS cutoff FROM (SELECT *, max(caught) OVER (PARTITION BY stratum, rule) AS most FROM stands) WHERE caught = most GROUP BY stratum, rule),
+        f AS (SELECT *, list_filter([{failed}], lambda y: y IS NOT NULL) AS failed FROM v)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept,
+               coalesce(array_to_string(failed, ','), '') AS failed_rules FROM f"""
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_near_duplicates, op4_pack, op5_toxicity, op6_language, op8_quality)}
 
 ORACLES = {
     "op1_decontaminate": """
@@ -72,4 +106,5 @@ ORACLES = {
         m AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM d JOIN m ON node = doc_id LEFT JOIN n USING (doc_id)""",
+    "op8_quality": _op8_sql(),
 }
