@@ -51,3 +51,13 @@ def extended(df: DataFrame, **added: str) -> str:
     """The schema of df with columns added, all nullable."""
     own = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields]
     return ", ".join(own + [f"{name} {kind}" for name, kind in added.items()])
+
+
+#: Keys that may be broadcast, by count.
+BROADCAST_KEYS = 500_000
+
+
+def lacking(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of df whose key is not in keys (one column of that name). keys should be cheap to read twice: they are counted,
+    and broadcast if they are few; else both sides are shuffled."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, "left_anti")

@@ -24,14 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialize
+from tallyframe.llm.common import BROADCAST_KEYS, lacking, materialize
 from tallyframe.llm.components import components
 
 COORDINATES, LEAST = 40, 14
 #: Pivots of a list in each round; after the last, all members are pivots.
 PIVOTS = (1, 32, 1024)
-#: Ids that may be broadcast to pick documents from the scan; beyond, the documents are shuffled.
-BROADCAST_IDS = 500_000
 
 
 def _random(n: int, seed: int) -> np.ndarray:
@@ -133,7 +131,7 @@ def _sets(docs: DataFrame, text: str, key: str, size: int, wanted: DataFrame) ->
             for part, texts in _slices(batch, text):
                 yield pa.RecordBatch.from_pydict({"rep": part.column(key), "shingles": pa.array([_signed(s) for s in shingles(texts, size)], pa.list_(pa.int64()))})
 
-    few = wanted.count() <= BROADCAST_IDS
+    few = wanted.count() <= BROADCAST_KEYS
     chosen = docs.select(key, text).join(F.broadcast(wanted) if few else wanted, F.col(key) == F.col("rep"), "left_semi")
     return chosen.mapInArrow(run, f"rep {kind}, shingles array<long>")
 
@@ -210,5 +208,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """docs with one document of each group of near-duplicates; the columns stay as they are."""
-    dropped = near_duplicates(docs, text, key, **options).where("NOT kept").select(key).distinct()
-    return docs.join(dropped, key, "left_anti")
+    dropped = materialize(near_duplicates(docs, text, key, **options).where("NOT kept").select(key).distinct(), "dropped")
+    return lacking(docs, key, dropped)

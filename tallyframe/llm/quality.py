@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialize, without
+from tallyframe.llm.common import lacking, materialize, without
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: rule -> (its ratio, cutoffs from the mildest on); a row fails where the ratio is above the cutoff.
@@ -137,5 +137,5 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """docs that the rules keep; the columns stay as they are. Of rows with one key, all go if one is rejected."""
-    rejected = judge(docs, labels, key=key, **options).where("NOT kept").select(key).distinct()
-    return docs.join(rejected, key, "left_anti")
+    rejected = materialize(judge(docs, labels, key=key, **options).where("NOT kept").select(key).distinct(), "rejected")
+    return lacking(docs, key, rejected)

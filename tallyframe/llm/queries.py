@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, language, near_duplicates, packing, quality, token_store, toxicity
+from tallyframe.llm import chat, decontaminate, html_text, language, near_duplicates, packing, quality, token_counts, token_store, toxicity
 from tallyframe.llm.common import crc32_mod, scratch_path, table
 
 
@@ -43,11 +43,29 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.drop("lang"), contents).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), ["source", "lang", "text"])
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
+    path = scratch_path(spark, "chat")
+    chat.format_turns(turns).write.parquet(path)
+    return chat.read_back(spark, path)
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def _op8_sql(risk: float = 0.02, error: float = 0.05) -> str:
     """The rules of op8_quality in DuckDB: counts by lists, binomial tails by lgamma."""
     rules = list(quality.RULES.items())
@@ -77,7 +95,7 @@ def _op8_sql(risk: float = 0.02, error: float = 0.05) -> str:
                coalesce(array_to_string(failed, ','), '') AS failed_rules FROM f"""
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_near_duplicates, op4_pack, op5_toxicity, op6_language, op8_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_near_duplicates, op4_pack, op5_toxicity, op6_language, op7_token_counts, op8_quality, op9_chat, op10_html_text)}
 
 ORACLES = {
     "op1_decontaminate": """
@@ -107,4 +125,12 @@ ORACLES = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM d JOIN m ON node = doc_id LEFT JOIN n USING (doc_id)""",
     "op8_quality": _op8_sql(),
+    "op9_chat": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+        e AS (SELECT *, length(replace(replace(role, '\', '\\'), '<', '\<')) + length(replace(replace(text, '\', '\\'), '<', '\<')) + 20 AS n FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
 }
