@@ -269,7 +269,7 @@ ORACLES = {
     "parse_amount_refusals": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{v}', {'NULL' if (x := _READ.get(c, (None, None))[v == money.COMMA]) is None else repr(x)})" for c, v in CASES) + ") AS t(raw, convention, amount)",
     "format_amount": f"SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '(£' || {_SHOWN} || ')' ELSE '£' || {_SHOWN} END AS dot, CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE '' END || translate({_SHOWN}, ',.', '.,') || ' EUR' AS comma FROM orders",
     "normalise_period_forms": """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 7 THEN NULL WHEN 6 THEN '20' || strftime(o_orderdate, '%y-%m') ELSE strftime(o_orderdate, '%Y-%m') END AS day_first,
-        CASE WHEN o_orderkey % 8 = 7 THEN NULL WHEN o_orderkey % 8 = 6 THEN '20' || strftime(o_orderdate, CASE WHEN day(o_orderdate) <= 12 THEN '%y-%d' ELSE '%y-%m' END) WHEN o_orderkey % 8 = 2 AND day(o_orderdate) <= 12 THEN strftime(o_orderdate, '%Y-%d') ELSE strftime(o_orderdate, '%Y-%m') END AS month_first FROM orders""",
+        CASE WHEN o_orderkey % 8 = 7 THEN NULL WHEN o_orderkey % 8 = 6 THEN '20' || CASE WHEN day(o_orderdate) <= 12 THEN strftime(o_orderdate, '%y-%d') ELSE strftime(o_orderdate, '%y-%m') END WHEN o_orderkey % 8 = 2 AND day(o_orderdate) <= 12 THEN strftime(o_orderdate, '%Y-%d') ELSE strftime(o_orderdate, '%Y-%m') END AS month_first FROM orders""",
     "date_likeness": "SELECT o_orderkey, o_orderkey % 8 <> 7 AS dated FROM orders",
     "canonical_rows": f"WITH {_FILE} SELECT content_hash, spreadsheet_row, key, currency, period, {_text('gross')} AS gross, {_text('tax')} AS tax, {_text('discount')} AS commission, {_text('net')} AS net, 2 AS n_attributes, gross_raw FROM good",
     "quarantine_split": f"""WITH {_FILE} SELECT content_hash, spreadsheet_row, CASE WHEN m % 60 = 0 THEN 'period: not a date, day first' WHEN m % 50 = 0 THEN 'gross_premium: not an amount as comma_decimal' ELSE 'gross_premium: empty, nothing to reconcile' END AS reason,
