@@ -6,11 +6,11 @@
    Jaccard similarity 0.8 agree in at least `least` of 40 coordinates but for a chance of 5e-9, so, with a document's values in
    order of how many documents share them, all but the last least - 1 of its shared values (the prefix) must hold a common
    value of any pair: only the prefix is posted, and the values that very many documents share are mostly skipped.
-3. Lists are not expanded into all pairs. In each round a list's members are compared with a few pivots of it, confirmed
-   links join components, and a list whose members are all in one component is done: further links in it change nothing.
-   The number of pivots grows from round to round until it covers the longest list, so no pair that could link two
-   components is left out.
-4. A candidate pair must collide in at least `least` coordinates and is then confirmed on the full sets.
+3. Long lists are not expanded into all pairs. Their members are first compared with a few pivots, and confirmed links join
+   components; a list whose members are all in one component is done: further links in it change nothing. In what is left,
+   pairs of different components are compared unless their sizes, or by the triangle inequality their distances from a
+   pivot, rule a link out. Nothing else is left out, so no link between two components is lost.
+4. A candidate pair is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from tallyframe.llm.common import BROADCAST_KEYS, lacking, materialize
 from tallyframe.llm.components import components
 
 COORDINATES, LEAST = 40, 14
-#: Pivots of a list in each round; after the last, all members are pivots.
-PIVOTS = (1, 32, 1024)
+#: Lists up to this length have all their pairs compared; longer ones are first compared with about so many pivots.
+SHORT_LIST, PIVOTS = 32, 8
 
 
 def _random(n: int, seed: int) -> np.ndarray:
@@ -145,43 +145,83 @@ def _postings(reps: DataFrame, coordinates: int, least: int) -> DataFrame:
     return prefix.select(F.col("p.value").alias("value"), "rep")
 
 
+def _pairs(members: DataFrame, chosen: DataFrame, condition: str = "true") -> DataFrame:
+    """Pairs (a, b) of a chosen and any member of one list, in different components and near enough in size. A pair that
+    shares several lists is made in the one of its smallest common value only."""
+    x, y = chosen.alias("x"), members.alias("y")
+    once = "x.value = array_min(array_intersect(x.posted, y.posted))"
+    on = F.expr(f"x.value = y.value AND x.c <> y.c AND (NOT y.pivot OR x.rep < y.rep) AND {condition} AND {once}")
+    return x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+
+
+def _alike(common: str, percent: int) -> str:
+    return f"100L * {common} >= {percent}L * (na + nb - {common})"
+
+
+def _confirmed_in_cells(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """The linked ones of (a, b). Representatives are dealt into blocks of about `block`, pairs into cells of two blocks, so
+    that a set travels once for each cell and not for each of its pairs; a cell never holds more than two blocks' sets."""
+    n = max(1, sets.count() // block)
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
+    pairs = materialize(pairs.select(of("a").alias("i"), of("b").alias("j"), "a", "b"), "cells")
+    wanted = pairs.select("i", "j", F.col("a").alias("rep")).union(pairs.select("i", "j", F.col("b").alias("rep"))).distinct().join(sets, "rep").toDF("rep", "k", "l", "shingles")
+    kind = sets.schema["rep"].dataType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        shingles = dict(zip(right.column("rep").to_pylist(), (np.asarray(v.values).view(np.uint64) for v in right.column("shingles")), strict=True))
+        keep = []
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
+            x, y = shingles[a], shingles[b]
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                at = np.searchsorted(x, y)
+                common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            else:
+                keep.append(False)
+        linked = left.filter(pa.array(keep, pa.bool_()))
+        return pa.table({"u": linked.column("a"), "v": linked.column("b")})
+
+    return pairs.groupBy("i", "j").cogroup(wanted.groupBy("k", "l")).applyInArrow(run, f"u {kind}, v {kind}")
+
+
 def links(docs: DataFrame, text: str, key: str, size: int, percent: int, reps: DataFrame, coordinates: int, least: int) -> DataFrame | None:
     """(node, component) of representatives that have a link to another."""
-    postings = materialize(_postings(reps, coordinates, least), "postings")
+    posted = _postings(reps, coordinates, least)
+    counted = posted.groupBy("rep").agg(F.collect_list("value").alias("posted")).join(reps.select("rep", "n_shingles"), "rep")
+    postings = materialize(counted.select("rep", F.col("n_shingles").alias("n"), "posted", F.explode("posted").alias("value")), "postings")
     sets = materialize(_sets(docs, text, key, size, postings.select("rep").distinct()), "sets")
-    signatures = reps.select("rep", "n_shingles", "signature")
-    found: DataFrame | None = None
-    grouped: DataFrame | None = None
-    tested: DataFrame | None = None
     unit = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / float(1 << 40)
-    for pivots in (*PIVOTS, None):
-        members = postings.withColumn("c", F.col("rep"))
-        if grouped is not None:
-            members = postings.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", F.coalesce("component", "rep").alias("c"))
-        lists = members.groupBy("value").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(unit).alias("nearest"))
-        lists = lists.where("low < high").select("value", "n", "nearest")
-        if tested is not None:
-            # a list that was shorter than the last round's pivots has had all its pairs
-            lists = lists.where(F.col("n") > last)
-        members = members.join(lists, "value")
-        chosen = members if pivots is None else members.where((unit <= F.col("nearest")) | (unit < F.lit(float(pivots)) / F.col("n")) | (F.col("n") <= pivots))
-        pairs = chosen.select("value", F.col("rep").alias("x"), F.col("c").alias("cx")).join(members.select("value", F.col("rep").alias("y"), F.col("c").alias("cy")), "value").where("cx <> cy")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.join(signatures.toDF("a", "na", "sa"), "a").join(signatures.toDF("b", "nb", "sb"), "b")
-        pairs = materialize(pairs.select("a", "b", "na", "nb", ((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.size(F.array_intersect("sa", "sb")) >= least)).alias("likely")), "pairs")
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        both = pairs.where("likely").join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").withColumn("common", F.size(F.array_intersect("xa", "xb")))
-        new = both.where(F.col("common") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        new = materialize(new, "links")
-        if not new.isEmpty():
-            found = new if found is None else found.union(new)
-            grouped = components(found)
-        last = pivots
-        if pivots is not None and lists.where(F.col("n") > pivots).isEmpty():
-            break
-    return grouped
+    sized = f"100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n)"
+
+    # first round: short lists have all their pairs, long ones those with some pivots
+    lists = postings.groupBy("value").agg(F.count("*").alias("length"), F.min(unit).alias("nearest")).where("length > 1")
+    members = postings.join(lists, "value").withColumn("c", F.col("rep"))
+    members = members.withColumn("pivot", (F.col("length") <= SHORT_LIST) | (unit <= F.col("nearest")) | (unit < F.lit(float(PIVOTS)) / F.col("length")))
+    pairs = _pairs(members, members.where("pivot"), sized)
+    signatures = reps.select("rep", "n_shingles", "signature")
+    pairs = pairs.join(signatures.toDF("a", "na", "sa"), "a").join(signatures.toDF("b", "nb", "sb"), "b")
+    pairs = materialize(pairs.where(F.size(F.array_intersect("sa", "sb")) >= least).select("a", "b", "na", "nb"), "pairs")
+    tested = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").withColumn("common", F.size(F.array_intersect("xa", "xb")))
+    tested = materialize(tested.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"), F.expr(_alike("common", percent)).alias("linked")), "tested")
+    found = tested.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    grouped = None if found.isEmpty() else components(found)
+
+    # second round: long lists that hold more than one component
+    c = postings.withColumn("c", F.col("rep")) if grouped is None else postings.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    mixed = c.groupBy("value").agg(F.count("*").alias("length"), F.min("c").alias("low"), F.max("c").alias("high")).where(f"length > {SHORT_LIST} AND low < high").select("value")
+    mixed = materialize(mixed, "mixed-lists")
+    if mixed.isEmpty():
+        return grouped
+    both = tested.select(F.col("a").alias("rep"), F.col("b").alias("p"), "d", "linked").union(tested.select("b", "a", "d", "linked"))
+    central = both.groupBy("p").agg(F.sum(F.col("linked").cast("long")).alias("links"))
+    # each member's distance to the most linked pivot that it was compared with
+    nearest = both.join(central, "p").groupBy("rep").agg(F.max_by(F.struct("p", "d"), F.struct("links", "p")).alias("r")).select("rep", "r.p", "r.d")
+    members = c.join(mixed, "value", "left_semi").join(nearest, "rep", "left").withColumn("pivot", F.lit(True))
+    # the triangle inequality of the Jaccard distance: two that lie that far apart as seen from one pivot cannot be linked
+    reachable = f"(x.p IS NULL OR y.p IS NULL OR x.p <> y.p OR abs(x.d - y.d) <= {1 - percent / 100 + 1e-9})"
+    pairs = _pairs(members, members, f"{sized} AND {reachable}")
+    more = materialize(_confirmed_in_cells(pairs, sets, percent), "links")
+    return grouped if more.isEmpty() else components(found.union(more))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, coordinates: int = COORDINATES, least: int = LEAST) -> DataFrame:
