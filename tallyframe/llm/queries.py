@@ -31,10 +31,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc32_mod("doc_id", 5) == 0)
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.where("NOT held_out").join(labels, "doc_id"), label="toxic")
-    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc32_mod("doc_id", 5) != 0)
+    model = toxicity.fit(docs, labels)
+    return toxicity.score(docs.withColumn("held_out", crc32_mod("doc_id", 5) == 0), model).select("doc_id", "held_out", "score", "predicted")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

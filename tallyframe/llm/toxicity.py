@@ -127,15 +127,18 @@ def train(toxic: list[bytes], ordinary: list[bytes], prior: float, ordinary_size
     return Model(base + false_alarms, loud, tuple(float(v) for v in _fitted(x, y, weight)))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", toxic_texts: int = 2000, ordinary_texts: int = 4000, most_bytes: int = 6000) -> Model:
-    """Learn from a bounded sample of labelled rows: about toxic_texts texts with label 1 and ordinary_texts with label 0,
-    chosen by a hash of the key; of a longer one, most_bytes of its letters from a place that depends on the text.
-    Rows with another or no label teach nothing."""
-    rows = labelled.select(F.col(label).alias("label"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(key).alias("key")).where("label IN (0, 1)")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", toxic_texts: int = 2000, ordinary_texts: int = 4000, most_bytes: int = 6000) -> Model:
+    """Learn from a bounded sample of labelled rows: about toxic_texts keys with label 1 and ordinary_texts with label 0,
+    chosen by a hash of the key; of a longer text, most_bytes of its letters from a place that depends on the text.
+    Rows with another or no label, or without a text, teach nothing. The sample of labels is drawn before it meets the texts,
+    so that they are scanned and not shuffled."""
+    marks = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).where("label IN (0, 1)")
+    counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     unit = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(unit < F.when(F.col("label") == 1, toxic_texts / max(1, n1)).otherwise(ordinary_texts / max(1, n0))).select("label", "text")
+    sample = marks.where(unit < F.when(F.col("label") == 1, toxic_texts / max(1, n1)).otherwise(ordinary_texts / max(1, n0)))
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    chosen = texts.join(F.broadcast(sample), "key").select("label", "text")  # of a bounded number of rows
 
     def pieces(batches):
         for batch in batches:
