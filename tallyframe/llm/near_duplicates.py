@@ -49,7 +49,7 @@ class _Words(dict):
     """word -> its 64-bit hash; forgets all when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 120_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -85,7 +85,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def _slices(batch: pa.RecordBatch, text: str, chars: int = 2_000_000):
+def _slices(batch: pa.RecordBatch, text: str, chars: int = 1_000_000):
     texts, first, n = batch.column(text).cast(pa.binary()).to_pylist(), 0, 0
     for i, t in enumerate(texts):
         n += len(t or b"")
