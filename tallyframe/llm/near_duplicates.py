@@ -8,8 +8,8 @@
    value of any pair: only the prefix is posted, and the values that very many documents share are mostly skipped.
 3. Long lists are not expanded into all pairs. Their members are first compared with a few pivots, and confirmed links join
    components; a list whose members are all in one component is done: further links in it change nothing. In what is left,
-   pairs of different components are compared unless their sizes, or by the triangle inequality their distances from a
-   pivot, rule a link out. Nothing else is left out, so no link between two components is lost.
+   members outside a list's most frequent component meet all its members, in cells of two blocks: pairs are not written
+   out. Those of different components are compared, as sets if sizes and collisions allow a link.
 4. A candidate pair is confirmed on the full sets.
 """
 
@@ -30,6 +30,8 @@ from tallyframe.llm.components import components
 COORDINATES, LEAST = 40, 14
 #: Lists up to this length have all their pairs compared; longer ones are first compared with about so many pivots.
 SHORT_LIST, PIVOTS = 32, 8
+#: A block of a long list holds sets of about so many shingles together; a member counts for some more than its own.
+CELL_COST, MEMBER_COST = 1_000_000, 100
 
 
 def _random(n: int, seed: int) -> np.ndarray:
@@ -145,7 +147,7 @@ def _postings(reps: DataFrame, coordinates: int, least: int) -> DataFrame:
     return prefix.select(F.col("p.value").alias("value"), "rep")
 
 
-def _pairs(members: DataFrame, chosen: DataFrame, condition: str = "true") -> DataFrame:
+def _pairs(members: DataFrame, chosen: DataFrame, condition: str) -> DataFrame:
     """Pairs (a, b) of a chosen and any member of one list, in different components and near enough in size. A pair that
     shares several lists is made in the one of its smallest common value only."""
     x, y = chosen.alias("x"), members.alias("y")
@@ -158,30 +160,59 @@ def _alike(common: str, percent: int) -> str:
     return f"100L * {common} >= {percent}L * (na + nb - {common})"
 
 
-def _confirmed_in_cells(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """The linked ones of (a, b). Representatives are dealt into blocks of about `block`, pairs into cells of two blocks, so
-    that a set travels once for each cell and not for each of its pairs; a cell never holds more than two blocks' sets."""
-    n = max(1, sets.count() // block)
-    of = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
-    pairs = materialize(pairs.select(of("a").alias("i"), of("b").alias("j"), "a", "b"), "cells")
-    wanted = pairs.select("i", "j", F.col("a").alias("rep")).union(pairs.select("i", "j", F.col("b").alias("rep"))).distinct().join(sets, "rep").toDF("rep", "k", "l", "shingles")
-    kind = sets.schema["rep"].dataType.simpleString()
+def _linked_in_cells(members: DataFrame, lists: DataFrame, whole: DataFrame, percent: int, least: int) -> DataFrame:
+    """Links (u, v) that join all components that any link within the lists joins.
+
+    members: (value, rep, c, posted); lists: (value, main, outside, inside), the list's most frequent component and into how
+    many blocks the members outside it, and all members, are dealt; whole: (rep, signature, shingles). Every member outside
+    `main` meets every member in one cell of two blocks, so no pair is written out and a cell holds two blocks' sets at most.
+    """
+    dealt, kind = members.select("value", "rep", "c", "posted").join(lists, "value"), whole.schema["rep"].dataType.simpleString()
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = ("rep", "c", "posted", "signature", "shingles")
+    left = dealt.where("c <> main").join(whole, "rep").select(F.col("value").alias("list"), block("outside").alias("i"), F.col("inside"), *held).withColumn("j", every("inside")).drop("inside")
+    right = dealt.join(whole, "rep").select("value", block("inside").alias("l"), F.col("outside"), *held).withColumn("k", every("outside")).drop("outside")
+    right = right.toDF(*right.columns)  # so that the two sides, of one origin, do not share column ids
+
+    def read(t: pa.Table) -> tuple:
+        """reps, components, signatures (a row each), the same with 0 where a value is not posted, and the sets."""
+        rows = lambda name: [np.asarray(v.values) for v in t.column(name)]
+        signature = np.array(rows("signature")).reshape(t.num_rows, -1)
+        posted = np.array([np.where(np.isin(s, p), s, 0) for s, p in zip(signature, rows("posted"), strict=True)]).reshape(signature.shape)
+        return t.column("rep").to_pylist(), t.column("c").to_pylist(), signature, posted, [v.view(np.uint64) for v in rows("shingles")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        shingles = dict(zip(right.column("rep").to_pylist(), (np.asarray(v.values).view(np.uint64) for v in right.column("shingles")), strict=True))
-        keep = []
-        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
-            x, y = shingles[a], shingles[b]
-            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                at = np.searchsorted(x, y)
-                common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            else:
-                keep.append(False)
-        linked = left.filter(pa.array(keep, pa.bool_()))
-        return pa.table({"u": linked.column("a"), "v": linked.column("b")})
-
-    return pairs.groupBy("i", "j").cogroup(wanted.groupBy("k", "l")).applyInArrow(run, f"u {kind}, v {kind}")
+        u, v, kept = [], [], (left if left.num_rows else right).column("rep").type
+        if left.num_rows and right.num_rows:
+            value = left.column("list")[0].as_py()
+            reps, own, signature, posted, sets = read(left)
+            others, theirs, signatures, posteds, near = read(right)
+            sizes, names = np.array([len(s) for s in near]), {}
+            # which component each is in, as links are found
+            ours = np.array([names.setdefault(c, len(names)) for c in own])
+            at = np.array([names.setdefault(c, len(names)) for c in theirs])
+            for x in range(len(reps)):
+                mine = len(sets[x])
+                near_enough = (at != ours[x]) & (100 * np.minimum(sizes, mine) >= percent * np.maximum(sizes, mine))
+                some = np.flatnonzero(near_enough)
+                some = some[(signatures[some] == signature[x]).sum(axis=1) >= least]
+                # a pair that shares several lists is compared in the one of its smallest common value
+                common = (posteds[some] == posted[x]) & (posted[x] != 0)
+                some = some[np.where(common, posteds[some], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == value]
+                for y in some:
+                    if at[y] != ours[x]:
+                        place = np.minimum(np.searchsorted(sets[x], near[y]), mine - 1)
+                        shared = int((sets[x][place] == near[y]).sum())
+                        if 100 * shared >= percent * (mine + len(near[y]) - shared):
+                            u.append(reps[x])
+                            v.append(others[y])
+                            joined = at[y]
+                            at[at == joined] = ours[x]
+                            ours[ours == joined] = ours[x]
+        return pa.table({"u": pa.array(u, kept), "v": pa.array(v, kept)})
+
+    return left.groupBy("list", "i", "j").cogroup(right.groupBy("value", "k", "l")).applyInArrow(run, f"u {kind}, v {kind}")
 
 
 def links(docs: DataFrame, text: str, key: str, size: int, percent: int, reps: DataFrame, coordinates: int, least: int) -> DataFrame | None:
@@ -202,25 +233,20 @@ def links(docs: DataFrame, text: str, key: str, size: int, percent: int, reps: D
     pairs = pairs.join(signatures.toDF("a", "na", "sa"), "a").join(signatures.toDF("b", "nb", "sb"), "b")
     pairs = materialize(pairs.where(F.size(F.array_intersect("sa", "sb")) >= least).select("a", "b", "na", "nb"), "pairs")
     tested = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").withColumn("common", F.size(F.array_intersect("xa", "xb")))
-    tested = materialize(tested.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"), F.expr(_alike("common", percent)).alias("linked")), "tested")
-    found = tested.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = materialize(tested.where(_alike("common", percent)).select(F.col("a").alias("u"), F.col("b").alias("v")), "found")
     grouped = None if found.isEmpty() else components(found)
 
     # second round: long lists that hold more than one component
     c = postings.withColumn("c", F.col("rep")) if grouped is None else postings.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    mixed = c.groupBy("value").agg(F.count("*").alias("length"), F.min("c").alias("low"), F.max("c").alias("high")).where(f"length > {SHORT_LIST} AND low < high").select("value")
-    mixed = materialize(mixed, "mixed-lists")
-    if mixed.isEmpty():
+    parts = c.groupBy("value", "c").agg(F.count("*").alias("size"), F.sum(F.col("n") + MEMBER_COST).alias("cost"))
+    lists = parts.groupBy("value").agg(F.sum("size").alias("length"), F.count("*").alias("parts"), F.sum("cost").alias("cost"), F.max_by(F.struct("c", "cost"), F.struct("size", "c")).alias("main"))
+    blocks = lambda cost: F.ceil(cost / F.lit(CELL_COST))
+    lists = lists.where(f"length > {SHORT_LIST} AND parts > 1").select("value", F.col("main.c").alias("main"), blocks(F.col("cost") - F.col("main.cost")).alias("outside"), blocks(F.col("cost")).alias("inside"))
+    lists = materialize(lists, "mixed-lists")
+    if lists.isEmpty():
         return grouped
-    both = tested.select(F.col("a").alias("rep"), F.col("b").alias("p"), "d", "linked").union(tested.select("b", "a", "d", "linked"))
-    central = both.groupBy("p").agg(F.sum(F.col("linked").cast("long")).alias("links"))
-    # each member's distance to the most linked pivot that it was compared with
-    nearest = both.join(central, "p").groupBy("rep").agg(F.max_by(F.struct("p", "d"), F.struct("links", "p")).alias("r")).select("rep", "r.p", "r.d")
-    members = c.join(mixed, "value", "left_semi").join(nearest, "rep", "left").withColumn("pivot", F.lit(True))
-    # the triangle inequality of the Jaccard distance: two that lie that far apart as seen from one pivot cannot be linked
-    reachable = f"(x.p IS NULL OR y.p IS NULL OR x.p <> y.p OR abs(x.d - y.d) <= {1 - percent / 100 + 1e-9})"
-    pairs = _pairs(members, members, f"{sized} AND {reachable}")
-    more = materialize(_confirmed_in_cells(pairs, sets, percent), "links")
+    whole = signatures.select("rep", "signature").join(sets, "rep")
+    more = materialize(_linked_in_cells(c, lists, whole, percent, least), "links")
     return grouped if more.isEmpty() else components(found.union(more))
 
 
