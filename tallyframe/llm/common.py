@@ -42,6 +42,12 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """(row, doc): the rows of df as structs, each with a number of its own, null and repeated rows too. Written to the
+    shared folder, so that a row has the same number whenever it is read."""
+    return materialize(df.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")), name)
+
+
 def crc32_mod(column: str, modulus: int):
     """crc32 of the decimal text of an id, modulo: the fold that labels are split by. Null ids get fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(0))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import BROADCAST_KEYS, lacking, materialize
+from tallyframe.llm.common import BROADCAST_KEYS, lacking, materialize, numbered
 from tallyframe.llm.components import components
 
 COORDINATES, LEAST = 40, 14
@@ -273,6 +273,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """docs with one document of each group of near-duplicates; the columns stay as they are."""
-    dropped = materialize(near_duplicates(docs, text, key, **options).where("NOT kept").select(key).distinct(), "dropped")
-    return lacking(docs, key, dropped)
+    """docs with one row of each group of near-duplicate rows; the columns stay as they are.
+
+    Rows are compared and dropped one by one, whether their key is null, repeated or neither. A group keeps the row with the
+    smallest key, null last; of equal keys the one with the smallest hash of its text, of equal texts any one.
+    """
+    rows = numbered(docs, "rows")
+    texts = rows.select("row", F.col("doc")[text].alias("text"))
+    grouped = materialize(near_duplicates(texts, "text", "row", **options).where("n_shingles > 0").select("row", "component_id"), "grouped")
+    several = grouped.join(grouped.groupBy("component_id").count().where("count > 1").select("component_id"), "component_id")
+    name = F.col("doc")[key]
+    order = rows.select("row", F.struct(name.isNull().alias("none"), name.alias("key"), F.xxhash64(F.col("doc")[text]).alias("hash"), "row").alias("o"))
+    elected = order.join(several, "row").groupBy("component_id").agg(F.min("o")["row"].alias("row")).select("row")
+    dropped = materialize(several.select("row").join(elected, "row", "left_anti"), "dropped")
+    return lacking(rows, "row", dropped).select("doc.*")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import lacking, materialize, without
+from tallyframe.llm.common import materialize, without
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: rule -> (its ratio, cutoffs from the mildest on); a row fails where the ratio is above the cutoff.
@@ -117,6 +117,20 @@ def cutoffs(labelled: DataFrame, stratum: str = "stratum", label: str = "label",
     return runs.select(stratum, "rule", stands.alias("t"), F.array_max(F.transform(stands, lambda x: x["caught"])).alias("most")).where("most > 0").select(stratum, "rule", F.array_min(F.transform(F.filter("t", lambda x: x["caught"] == F.col("most")), lambda x: x["i"])).alias("i"), "t").select(stratum, "rule", F.filter("t", lambda x: x["i"] == F.col("i"))[0]["cutoff"].alias("cutoff"))
 
 
+def _judged(docs: DataFrame, labels: DataFrame, text: str, key: str, stratum: str | None, label: str, risk: float, error: float, *carried) -> DataFrame:
+    """_key, the columns that judge() adds and, if it is carried, the column _doc of the same row."""
+    columns = [F.col(key).alias("_key"), F.col(text).alias("_text"), F.coalesce(F.col(stratum).cast("string") if stratum else F.lit(""), F.lit("")).alias("_stratum")]
+    counted = materialize(base_counts(docs.select(*columns, *carried), "_text").drop("_text"), "quality")
+    marks = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).where(F.col(label).isin(0, 1))
+    table = cutoffs(counted.join(marks, "_key"), "_stratum", "_label", risk, error)
+    table = materialize(table.groupBy("_stratum").agg(*[F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"_c_{rule}") for rule in RULES]), "cutoffs")
+    table = F.broadcast(table) if table.count() <= FEW_STRATA else table
+    rows = counted.join(table, "_stratum", "left")
+    failed = F.array_compact(F.array(*[F.when(F.expr(ratio) > F.col(f"_c_{rule}"), F.lit(rule)) for rule, (ratio, _) in RULES.items()]))
+    rows = rows.select("_key", *BASE, "n_lines", base_failed().alias("base_failed"), failed.alias("failed_rules"), *(["_doc"] if carried else []))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str | None = "lang", label: str = "quality", risk: float = 0.02, error: float = 0.05) -> DataFrame:
     """docs with the base counts, base_failed, failed_rules (names of the rules that reject the row, in order) and kept.
 
@@ -124,18 +138,11 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     labelled rows, and every stratum without labels at all, has no rules beyond base_failed. Repeated rows are judged each by
     itself; a key with several labels counts with each.
     """
-    counted = materialize(base_counts(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.coalesce(F.col(stratum).cast("string") if stratum else F.lit(""), F.lit("")).alias("_stratum")), "_text").drop("_text"), "quality")
-    marks = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).where(F.col(label).isin(0, 1))
-    table = cutoffs(counted.join(marks, "_key"), "_stratum", "_label", risk, error)
-    table = materialize(table.groupBy("_stratum").agg(*[F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"_c_{rule}") for rule in RULES]), "cutoffs")
-    table = F.broadcast(table) if table.count() <= FEW_STRATA else table
-    rows = counted.join(table, "_stratum", "left")
-    failed = F.array_compact(F.array(*[F.when(F.expr(ratio) > F.col(f"_c_{rule}"), F.lit(rule)) for rule, (ratio, _) in RULES.items()]))
-    rows = rows.select("_key", *BASE, "n_lines", base_failed().alias("base_failed"), failed.alias("failed_rules"))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).withColumnRenamed("_key", key)
+    return _judged(docs, labels, text, key, stratum, label, risk, error).withColumnRenamed("_key", key)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """docs that the rules keep; the columns stay as they are. Of rows with one key, all go if one is rejected."""
-    rejected = materialize(judge(docs, labels, key=key, **options).where("NOT kept").select(key).distinct(), "rejected")
-    return lacking(docs, key, rejected)
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str | None = "lang", label: str = "quality", risk: float = 0.02, error: float = 0.05) -> DataFrame:
+    """docs that the rules keep; the columns stay as they are. Each row is judged by itself, whether its key is null,
+    repeated or neither."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    return _judged(docs, labels, text, key, stratum, label, risk, error, whole).where("kept").select("_doc.*")
