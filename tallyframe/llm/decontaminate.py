@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import extended, without
+from tallyframe.llm.common import extended, numbered, without
 
 #: Words of the lower-cased text: digits, a-z and all that is not ASCII, as UTF-8.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -239,29 +239,31 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     A window is `window` consecutive words of an item; an item of fewer words is one window. Null and empty texts and
     items have no words and match nothing. Repeated items count once in item_ids if their ids are equal; a null item id
     stands as an empty string. Repeated documents are each reported. Columns of docs with the added names, in any letter
-    case, are replaced. A benchmark of more than block_bytes is searched in several passes whose spans are merged by
-    `key`, which then must be unique.
+    case, are replaced. A benchmark of more than block_bytes is searched in several passes over numbered rows, whose
+    results are merged by that number, whether keys are null, repeated or neither.
     """
-    base = without(docs, list(ADDED))
-    results = []
+    base, rows, results = without(docs, list(ADDED)), None, []
     for n, items in _blocks(benchmark, block_bytes):
         queries = docs.sparkSession.sparkContext.broadcast(prepare(sorted(items, key=lambda x: (x[0], x[1] or b"")), window))
 
-        def run(batches, queries=queries):
+        def run(batches, queries=queries, text=text if n == 1 else "text"):
             for batch in batches:
                 yield _annotated(batch, text, queries.value)
 
-        part = base if n == 1 else base.select(key, text)
-        results.append(part.mapInArrow(run, extended(part, **ADDED)))
-    if len(results) == 1:
-        return results[0]
-    hits = reduce(DataFrame.unionByName, [r.drop(text) for r in results]).groupBy(key).agg(
+        if n == 1:
+            return base.mapInArrow(run, extended(base, **ADDED))
+        if rows is None:
+            rows = numbered(base, "rows")
+        part = rows.select("row", F.col("doc")[text].alias("text"))
+        found = part.mapInArrow(run, extended(part, **ADDED)).drop("text")
+        results.append(found.where("n_hit > 0") if results else found)  # the first has every row's n_words
+    hits = reduce(DataFrame.unionByName, results).groupBy("row").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s")
     )
     none = F.array().cast("array<struct<first:long,last:long>>")
     merged = F.aggregate("s", none, lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["last"] + 1 >= x["first"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(a, F.array(x))))
-    hits = hits.select(key, "n_words", "item_ids", merged.alias("spans")).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1))
-    return base.join(hits, key, "left").select(*base.columns, *ADDED)
+    hits = hits.select("row", "n_words", "item_ids", merged.alias("spans")).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1))
+    return rows.join(hits, "row").select("doc.*", *ADDED)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tallyframe.llm import near_duplicates, quality
+from tallyframe.llm import decontaminate, near_duplicates, quality
 
 DOCS = "doc_id long, text string, lang string"
 GOOD = "one two three four five six seven eight nine ten eleven twelve"
@@ -34,3 +34,19 @@ def test_deduplicate_elects_one_row_of_each_group(spark):
     assert kept.columns == docs.columns
     want = [(1, a), (2, alone), (3, b), (None, c), (None, None), (None, ""), (5, ""), (5, "")]
     assert left(kept) == sorted((i is None, i or 0, t or "") for i, t in want)
+
+
+def test_decontaminate_in_several_passes_judges_each_row(spark):
+    r = random.Random(7)
+    say = lambda n: " ".join(r.choice("a b c d e f".split()) for _ in range(n))
+    items = spark.createDataFrame([(i, say(14)) for i in range(12)], "item_id long, text string")
+    first = [x.text for x in items.orderBy("item_id").collect()]
+    rows = [(None, "clean one"), (None, first[0]), (1, "clean two"), (1, f"x {first[1]} y {first[2]}"), (1, f"{first[3]} {first[4]}"), (1, "clean two"), (None, None), (2, say(200))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], DOCS)
+    seen = lambda df: sorted((x.text or "", x.doc_id or -1, x.n_words, x.n_hit, tuple(x.item_ids), tuple(map(tuple, x.spans))) for x in df.collect())
+    once = decontaminate.annotate(docs, items)
+    several = decontaminate.annotate(docs, items, block_bytes=60)
+    assert several.columns == once.columns and seen(several) == seen(once)
+    clean = decontaminate.decontaminate(docs, items, block_bytes=60)
+    assert clean.columns == docs.columns
+    assert left(clean) == left(decontaminate.decontaminate(docs, items)) and (True, 0, "clean one") in left(clean)
