@@ -36,9 +36,9 @@ que se sin sobre son su sus también te un una y ya
 # fixed values: elements
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
-DROPPED = frozenset("script style textarea title noscript template iframe xmp head svg math canvas object select button option datalist label dialog audio video".split())
+DROPPED = frozenset("script style textarea title noscript template iframe xmp head svg math canvas object select button option datalist label dialog audio video annotation annotation-xml".split())
 OUTSIDE = frozenset("nav footer aside menu form".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose mmultiscripts semantics".split())
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 # fixed values: words in class names, ids and roles of what is not the article
 HINTS = frozenset("""
@@ -49,6 +49,8 @@ comment comments commentlist disqus respond replies reply discussion
 cookie cookies consent gdpr notice notices alert popup modal overlay dialog newsletter subscribe subscription signup login
 paywall share sharing social related recommended recommendations outbrain taboola tags
 """.split())
+#: Words that leave a name's meaning as it is: site-footer is a footer, with-sidebar is no sidebar.
+NEUTRAL = frozenset("site main top bottom left right global primary secondary list box bar container wrapper wrap area block section inner outer content header the post posts item items form link links".split())
 COMMENTS = frozenset("comment comments reply replies respond".split())
 ONLY_OUTSIDE = frozenset("header heading title".split())
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
@@ -65,20 +67,35 @@ class Block:
     label: str = field(default="")
 
 
-def _hint(tag: str, attributes: str) -> str:
-    """"out" for what is not the article, "in" for the article, "top" for a page's header, else ""."""
+def _named(value: str | None) -> set[str]:
+    """The hints among the names of a class, an id or a role: of names that are made of hints and neutral words alone."""
+    found = set()
+    for name in html.unescape(value or "").split():
+        words = {w.lower() for w in _NAME_WORD.findall(name)}
+        if {w for w in words if not w.isdigit()} <= HINTS | COMMENTS | ONLY_OUTSIDE | NEUTRAL:
+            found |= words - NEUTRAL | words & ONLY_OUTSIDE
+    return found
+
+
+def _hint(tag: str, attributes: str, above: str = "") -> str:
+    """"out" for what is not the article, "named" if only its names say so, "comments" if they name comments, "in" for the
+    article, "top" for a page's header, else ""."""
     if tag in OUTSIDE:
         return "out"
     if attributes:
         found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
         role = (found.get("role") or "").lower()
-        names = {w.lower() for k in ("class", "id", "role") for w in _NAME_WORD.findall(html.unescape(found.get(k) or ""))}
+        names = _named(found.get("class")) | _named(found.get("role"))
+        own = _named(found.get("id"))
+        names |= own & COMMENTS if above == "in" else own  # inside an article an id is mostly a heading's anchor
         if tag in ("html", "body", "main"):  # their classes name what a page has, not what they are
             names = set()
         elif tag == "article":
             names &= COMMENTS
-        if names & HINTS or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style") or "") or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
+        if found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style") or "") or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
             return "out"
+        if names & HINTS:
+            return "comments" if names & COMMENTS else "named"
         if role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
             return "in"
         if tag not in ("article", "main") and names & ONLY_OUTSIDE and tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -92,6 +109,7 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order; markup, scripts, styles and form controls are left out."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # (element, its place)
+    why: dict[int, str] = {}  # depth of an element that is out -> the hint that put it there
     text: list[str] = []
     linked = at = 0
     place, links = "", 0
@@ -133,7 +151,7 @@ def blocks(page: str) -> list[Block]:
             elif tag == "p":
                 flush()
             continue
-        if tag in RAW or tag in DROPPED:
+        if tag in RAW or tag in DROPPED and not (tag == "math" and place == "in"):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}\Z", re.I).search(page, at)
             if tag not in INLINE:
                 flush() if tag not in ("label", "button", "select", "option") else text.append(" ")
@@ -163,15 +181,19 @@ def blocks(page: str) -> list[Block]:
             settle()
         if attributes.rstrip().endswith("/") and tag in INLINE:
             continue
-        hint, above = _hint(tag, attributes), stack[-1][1] if stack else ""
+        above = stack[-1][1] if stack else ""
+        hint = _hint(tag, attributes, above)
         if above == "out":
-            own = "in" if hint == "in" and not any(p == "out" for t, p in stack if t != "form") else "out"
+            # an article may stand in a form, and in what is out for its names alone; in comments only main may
+            back = hint == "in" and all(why[i] in ("form", "named") or why[i] == "comments" and tag == "main" for i, (_, p) in enumerate(stack) if p == "out" and why[i])
+            own = "in" if back else "out"
         elif hint == "top":
             own = above or "out"
         else:
-            own = hint or above
+            own = "out" if hint in ("named", "comments") else hint or above
         if tag in INLINE and own != above and own == "out":
             flush()
+        why[len(stack)] = "form" if tag == "form" else hint if hint in ("named", "comments", "out") else "top" if own == "out" and above != "out" else ""
         stack.append((tag, own))
         settle()
     if at < len(page):
@@ -184,10 +206,10 @@ def _judged(block: Block, inside: bool) -> str:
     """text, no, or for the second pass: short or near."""
     if block.place == "out" or inside and block.place != "in":
         return "no"
+    if block.place == "in":
+        return "text"
     if block.links > LINKS:
         return "no"
-    if inside:
-        return "text"
     if len(block.text) < SHORT:
         return "short"
     words = _WORD.findall(block.text.lower())
@@ -200,7 +222,7 @@ def _judged(block: Block, inside: bool) -> str:
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by two line feeds; empty if there are none.
 
-    If the page marks an article or main element with text, blocks outside it are no text. Else an ambiguous block takes the
+    If the page marks an article or main element with text, blocks outside it are no text; all in it, links too, are. Else an ambiguous block takes the
     label of the nearest decided block; of two as near, a longer block takes the better and a short one the worse. If
     nothing on the page is decided, ambiguous blocks are text.
     """
