@@ -169,6 +169,15 @@ def deductions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = grid.to_cells(statements.file_rows(spark, sf_dir)).where(F.col("header").isin(*statements.HEADERS[:3]))
+    return _profiled(cells)
+
+
+def profile_all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of every file; profile_columns is the part that has SQL."""
+    return _profiled(grid.to_cells(statements.file_rows(spark, sf_dir)))
+
+
+def _profiled(cells: DataFrame) -> DataFrame:
     found = profile.profile_columns(cells)
     return found.select("content_hash", "header", "non_empty", F.round("monetary", 6).alias("monetary"), "convention", money.money_text(F.col("magnitude")).alias("magnitude"), F.round("temporal", 6).alias("temporal"), "distinct", "categorical", "near_constant")
 
@@ -186,11 +195,10 @@ def mapping_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mapping_system(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mapping of one file by header and shape."""
-    rows = statements.file_rows(spark, sf_dir).where("content_hash = 'file-1'")
-    found = profile.profile_columns(grid.to_cells(rows)).collect()  # a row for each column of one file
-    outcome = mapping.propose(list(statements.HEADERS), {r["header"]: r.asDict() for r in found}, get_family("insurance"))
-    return spark.createDataFrame(sorted(outcome.columns.items()), "header string, field string")
+    """The mapping of each file by header and shape."""
+    rows = statements.file_rows(spark, sf_dir)
+    headers = rows.groupBy("content_hash").agg(F.first("headers").alias("headers"))  # the same in all rows of a file
+    return mapping.propose_all(headers, profile.profile_columns(grid.to_cells(rows)), get_family("insurance"))
 
 
 def mapping_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +232,7 @@ def results_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     parse_amount_dot, parse_amount_comma, parse_amount_refusals, format_amount, normalise_period_forms, date_likeness, canonical_rows, quarantine_split, lineage_explode, lineage_complete,
     declared_total_last_nonempty, internal_arithmetic, reconcile_status, reconcile_status_counts, reconcile_discrepancies, reconcile_with_tolerance, reconcile_false_matched, reconcile_missing_side,
-    reconcile_duplicates, reconcile_review_rules, batch_totals, repeated_keys_held, expected_vs_reported, deductions_json, profile_columns, magnitude_rank, mapping_methods, mapping_system, mapping_abstain,
+    reconcile_duplicates, reconcile_review_rules, batch_totals, repeated_keys_held, expected_vs_reported, deductions_json, profile_columns, profile_all_columns, magnitude_rank, mapping_methods, mapping_system, mapping_abstain,
     proposal_containment, ingest_idempotent, results_digest,
 )}
 
