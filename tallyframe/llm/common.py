@@ -6,7 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +71,14 @@ def lacking(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Rows of df whose key is not in keys (one column of that name). keys should be cheap to read twice: they are counted,
     and broadcast if they are few; else both sides are shuffled."""
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, "left_anti")
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about `most` bytes of a text or binary column, a longer row alone: so much is turned into
+    Python objects at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+        yield batch.slice(first, last - first)
+        first = last

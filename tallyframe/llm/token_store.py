@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import slices
 from tallyframe.llm.encoding import encoder
 
 #: Of the dictionary's training sample: documents, pieces of each, bytes of a piece.
@@ -34,8 +35,8 @@ def _frame_dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "key", size: int = 32 << 10) -> bytes:
-    """A dictionary from serialized ids of a bounded sample: about SAMPLE_DOCUMENTS documents, chosen by a hash of their
-    key, and from each SAMPLE_PIECES evenly spaced pieces of SAMPLE_BYTES. It only sets how well frames compress.
+    """A dictionary from serialized ids of a bounded sample: at most 4 * SAMPLE_DOCUMENTS documents, about a quarter of that,
+    chosen by a hash of key and text, and from each SAMPLE_PIECES evenly spaced pieces of SAMPLE_BYTES. It only sets how well frames compress.
     Too little text gives a dictionary of the pieces themselves; none gives an empty one."""
     total = docs.count()
     share = F.lit(min(1.0, SAMPLE_DOCUMENTS / max(1, total)) * (1 << 30)).cast("long")
@@ -43,13 +44,14 @@ def train_dictionary(docs: DataFrame, tokenizer: str, text: str = "text", key: s
     def pieces(batches):
         encode = encoder(tokenizer)
         for batch in batches:
-            out = []
-            for raw in encode.ids(batch.column(text).to_pylist()):
-                step = max(SAMPLE_BYTES, len(raw) // SAMPLE_PIECES // 4 * 4)
-                out += [raw[i : i + SAMPLE_BYTES] for i in range(0, len(raw), step)][:SAMPLE_PIECES]
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(out, pa.binary())})
-
-    sample = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share)).select(text)
+            for part in slices(batch, text):
+                out = []
+                for raw in encode.ids(part.column(text).to_pylist()):
+                    step = max(SAMPLE_BYTES, len(raw) // SAMPLE_PIECES // 4 * 4)
+                    out += [raw[i : i + SAMPLE_BYTES] for i in range(0, len(raw), step)][:SAMPLE_PIECES]
+                yield pa.RecordBatch.from_pydict({"piece": pa.array(out, pa.binary())})
+
+    sample = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(key, text), F.lit(1 << 30)) < share)).select(text).limit(4 * SAMPLE_DOCUMENTS)
     found = sorted(r[0] for r in sample.mapInArrow(pieces, "piece binary").collect() if r[0])
     try:
         return zstandard.train_dictionary(size, found).as_bytes()
@@ -90,8 +92,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
 
         for batch in batches:
             arrow = batch.schema.field("key").type
-            for i in range(0, batch.num_rows, 512):
-                some = batch.slice(i, 512)
+            for some in slices(batch, "text"):
                 for k, ids in zip(some.column("key").to_pylist(), encode.ids(some.column("text").to_pylist()), strict=True):
                     frame = compress(ids + end)
                     keys.append(k)
@@ -135,7 +136,7 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     def documents(batches):
         decompress = zstandard.ZstdDecompressor(dict_data=_frame_dictionary(shared.value)).decompress
         for batch in batches:
-            for b in batch.to_pylist():
+            for b in (row for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()):
                 if b["dictionary_sha256"] != digest:
                     raise ValueError(f"block {b['part']}/{b['block']} was written with another dictionary")
                 ends = [*b["offsets"][1:], len(b["payload"])]

@@ -20,7 +20,6 @@ DOCS = "doc_id long, text string"
 
 def whole(path, text):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
