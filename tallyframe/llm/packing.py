@@ -10,6 +10,7 @@ of two, which need no padding. There is no shuffle: sequence ids hold the task's
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict, deque
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import slices
 from tallyframe.llm.encoding import encoder
 
 #: Bits of a sequence id below the task's number.
@@ -25,14 +27,16 @@ LOCAL_BITS = 33
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
+def fill(counts: dict[int, int], capacity: int, lengths: list[int] | None = None) -> dict[int, int]:
     """The multiset of lengths, from counts, with the largest sum up to capacity: length -> how many.
 
     reach[i] has a bit for each sum that the first i choices can make. Choices are lengths with powers of two of their
-    counts, largest first; it stops at the first that reaches capacity exactly.
+    counts, largest first; it stops at the first that reaches capacity exactly. lengths: those of counts in ascending order.
     """
     limit, reach, choices = (1 << (capacity + 1)) - 1, [1], []
-    for length in sorted((x for x in counts if x <= capacity), reverse=True):
+    lengths = sorted(counts) if lengths is None else lengths
+    for at in range(bisect_right(lengths, capacity) - 1, -1, -1):
+        length = lengths[at]
         n, k = min(counts[length], capacity // length), 1
         while n > 0:
             k = min(k, n)
@@ -56,6 +60,9 @@ class Packer:
     def __init__(self, capacity: int, window: int, first: int) -> None:
         self.capacity, self.window, self.next, self.waiting = capacity, window, first, 0
         self.rest: dict[int, deque] = defaultdict(deque)
+        #: How many remainders of each length wait, and the lengths in ascending order.
+        self.counts: dict[int, int] = {}
+        self.lengths: list[int] = []
 
     def _sequence(self) -> int:
         self.next += 1
@@ -66,21 +73,30 @@ class Packer:
         for start in range(0, whole, self.capacity):
             yield doc, start, ids[start : start + self.capacity], n, self._sequence(), 0
         if whole < n:
-            self.rest[n - whole].append((doc, whole, ids[whole:], n))
-            self.waiting += 1
+            self._wait(n - whole, (doc, whole, ids[whole:], n))
             if self.waiting >= self.window:
                 yield from self.drain(self.window // 2)
 
+    def _wait(self, length: int, piece: tuple) -> None:
+        if length not in self.counts:
+            insort(self.lengths, length)
+        self.counts[length] = self.counts.get(length, 0) + 1
+        self.rest[length].append(piece)
+        self.waiting += 1
+
+    def _next(self, length: int) -> tuple:
+        self.counts[length] -= 1
+        if not self.counts[length]:
+            del self.counts[length]
+            del self.lengths[bisect_left(self.lengths, length)]
+        self.waiting -= 1
+        return self.rest[length].popleft()
+
     def _take(self) -> list:
-        counts = {k: len(v) for k, v in self.rest.items()}
-        largest = max(counts)
-        counts[largest] -= 1
-        chosen = [largest, *(k for k, n in fill({k: n for k, n in counts.items() if n}, self.capacity - largest).items() for _ in range(n))]
-        out = [self.rest[k].popleft() for k in chosen]
-        for k in set(chosen):
-            if not self.rest[k]:
-                del self.rest[k]
-        self.waiting -= len(out)
+        largest = self.lengths[-1]
+        out = [self._next(largest)]
+        for length, n in fill(self.counts, self.capacity - largest, self.lengths).items():
+            out += [self._next(length) for _ in range(n)]
         return out
 
     def drain(self, until: int = 0):
@@ -130,8 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key:
         end = np.array([end_id], encode.dtype)
         for batch in batches:
             kind = batch.schema.field(key).type
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in slices(batch, text):
                 encoded = encode.ids(part.column(text).to_pylist())
                 yield from rows(p for doc, raw in zip(part.column(key).to_pylist(), encoded, strict=True) for p in packer.add(doc, np.concatenate((np.frombuffer(raw, encode.dtype), end))))
         yield from rows(packer.drain())
