@@ -1,21 +1,23 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at its block elements. The first pass decides a block by its place (article, menu, comments and so
-on, from element names, roles and class names), by link density, by length and by the density of stop words. Blocks that stay
-ambiguous, mostly short ones, then take the label of the nearest decided neighbours.
+A page is cut into blocks at its block elements, and each block knows its place (article, menu, comments and so on, from
+element names, roles and class names). The first pass decides blocks by the density of stop words, by length and by link
+density; a place outside the article, where a page marks one, is decided too. Blocks that stay ambiguous, mostly short ones,
+then take the label of the nearest decided neighbours of their region.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import extended, without
+from tallyframe.llm.common import extended, in_arrow, slices, without
 
 ADDED = {"main_text": "string"}
 #: Share of a block's characters in links from which it is no text; lengths of short and of long blocks, in characters; shares
@@ -108,11 +110,12 @@ def _hint(tag: str, attributes: str, above: str = "") -> str:
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order; markup, scripts, styles and form controls are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # (element, its place)
-    why: dict[int, str] = {}  # depth of an element that is out -> the hint that put it there
+    stack: list[tuple[str, str, str]] = []  # (element, its place, the hint that put it out)
+    open_: Counter[str] = Counter()  # how many of each element, and of each hint, are in the stack
+    unclosed: set[str] = set()
     text: list[str] = []
     linked = at = 0
-    place, links = "", 0
+    place = ""
 
     def flush() -> None:
         nonlocal linked
@@ -126,13 +129,18 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         shown = html.unescape(raw) if "&" in raw else raw
         text.append(shown)
-        if links:
+        if open_["a"]:
             linked += len("".join(shown.split()))
 
     def settle() -> None:
-        nonlocal place, links
+        nonlocal place
         place = stack[-1][1] if stack else ""
-        links = sum(t == "a" for t, _ in stack)
+
+    def pop() -> str:
+        tag, _, why = stack.pop()
+        open_[tag] -= 1
+        open_["?" + why] -= 1
+        return tag
 
     while (m := _MARKUP.search(page, at)) is not None:
         if m.start() > at:
@@ -144,20 +152,22 @@ def blocks(page: str) -> list[Block]:
         if m[1] or m[4]:  # an end
             if tag not in INLINE:
                 flush()
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if open_[tag]:
+                while pop() != tag:
                     pass
                 settle()
             elif tag == "p":
                 flush()
             continue
         if tag in RAW or tag in DROPPED and not (tag == "math" and place == "in"):
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}\Z", re.I).search(page, at)
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}\Z", re.I).search(page, at)
             if tag not in INLINE:
                 flush() if tag not in ("label", "button", "select", "option") else text.append(" ")
             if end:
                 at = end.end()
-            elif tag in RAW and tag != "title":
+                continue
+            unclosed.add(tag)
+            if tag in RAW and tag != "title":
                 at = len(page)
             continue
         if tag == "br" or tag in VOID:
@@ -170,14 +180,19 @@ def blocks(page: str) -> list[Block]:
                 names = CLOSES[tag].split()
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in names:
-                        del stack[i:]
+                        while len(stack) > i:
+                            pop()
                         break
                     if stack[i][0] not in INLINE and stack[i][0] != "p":
                         break
-            elif any(t == "p" for t, _ in stack):  # a block ends an open paragraph
-                last = max(i for i, (t, _) in enumerate(stack) if t == "p")
-                if all(t in INLINE for t, _ in stack[last + 1 :]):
-                    del stack[last:]
+            elif open_["p"]:  # a block ends an open paragraph, unless another block stands between
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == "p":
+                        while len(stack) > i:
+                            pop()
+                        break
+                    if stack[i][0] not in INLINE:
+                        break
             settle()
         if attributes.rstrip().endswith("/") and tag in INLINE:
             continue
@@ -185,7 +200,7 @@ def blocks(page: str) -> list[Block]:
         hint = _hint(tag, attributes, above)
         if above == "out":
             # an article may stand in a form, and in what is out for its names alone; in comments only main may
-            back = hint == "in" and all(why[i] in ("form", "named") or why[i] == "comments" and tag == "main" for i, (_, p) in enumerate(stack) if p == "out" and why[i])
+            back = hint == "in" and not open_["?out"] and not open_["?top"] and (tag == "main" or not open_["?comments"])
             own = "in" if back else "out"
         elif hint == "top":
             own = above or "out"
@@ -193,8 +208,10 @@ def blocks(page: str) -> list[Block]:
             own = "out" if hint in ("named", "comments") else hint or above
         if tag in INLINE and own != above and own == "out":
             flush()
-        why[len(stack)] = "form" if tag == "form" else hint if hint in ("named", "comments", "out") else "top" if own == "out" and above != "out" else ""
-        stack.append((tag, own))
+        why = "" if own != "out" else "form" if tag == "form" else hint if hint in ("named", "comments", "out") else "top" if above != "out" else ""
+        stack.append((tag, own, why))
+        open_[tag] += 1
+        open_["?" + why] += 1
         settle()
     if at < len(page):
         add(page[at:])
@@ -203,70 +220,76 @@ def blocks(page: str) -> list[Block]:
 
 
 def _judged(block: Block, inside: bool) -> str:
-    """text, no, or for the second pass: short or near."""
+    """The first pass: text, no, or for the second pass, short or near; inside: the page marks an article with text."""
     if block.place == "out" or inside and block.place != "in":
         return "no"
-    if block.place == "in":
-        return "text"
-    if block.links > LINKS:
-        return "no"
+    if block.links > LINKS:  # a list of links; in an article it may be its references
+        return "short" if block.place == "in" else "no"
     if len(block.text) < SHORT:
         return "short"
     words = _WORD.findall(block.text.lower())
     share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if share >= STOP_HIGH:
         return "text" if len(block.text) >= LONG else "near"
-    return "near" if share >= STOP_LOW or len(block.text) >= LONG else "no"
+    return "near" if share >= STOP_LOW or len(block.text) >= LONG or block.place == "in" else "no"
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, joined by two line feeds; empty if there are none.
-
-    If the page marks an article or main element with text, blocks outside it are no text; all in it, links too, are. Else an ambiguous block takes the
-    label of the nearest decided block; of two as near, a longer block takes the better and a short one the worse. If
-    nothing on the page is decided, ambiguous blocks are text.
-    """
+def judged(page: str | None) -> list[tuple[Block, bool, str]]:
+    """Each block of a page, whether it is text, and what decided it: place, density (with length and links), neighbours,
+    or default where no block of its region is decided."""
     found = blocks(page or "")
     inside = any(b.place == "in" and b.links <= LINKS for b in found)
     for b in found:
         b.label = _judged(b, inside)
-    decided = [i for i, b in enumerate(found) if b.label in ("text", "no") and b.place != "out"]
+    # neighbours count inside a region: the article, or the page where no article is marked
+    region = [i for i, b in enumerate(found) if b.place != "out" and (b.place == "in" or not inside)]
+    decided = [i for i in region if found[i].label in ("text", "no")]
     any_text = any(found[i].label == "text" for i in decided)
-    before, last = [], None
-    sure = set(decided)
-    for i in range(len(found)):
-        before.append(last)
-        last = i if i in sure else last
-    after, last = [None] * len(found), None
-    for i in range(len(found) - 1, -1, -1):
+    order = {i: n for n, i in enumerate(region)}
+    before, after, last = {}, {}, None
+    for i in region:
+        before[i] = last
+        last = i if found[i].label in ("text", "no") else last
+    last = None
+    for i in reversed(region):
         after[i] = last
-        last = i if i in sure else last
-    kept = []
+        last = i if found[i].label in ("text", "no") else last
+    out = []
     for i, b in enumerate(found):
-        good = b.label == "text"
-        if b.label in ("short", "near"):
-            sides = [(abs(i - j), found[j].label == "text") for j in (before[i], after[i]) if j is not None]
-            least = min((d for d, _ in sides), default=0)
-            votes = [g for d, g in sides if d == least]
-            good = (any(votes) if b.label == "near" else all(votes)) if votes else True
-            if not any_text and b.label == "near":
-                good = True
-        if good:
-            kept.append(b.text)
-    return "\n\n".join(kept)
+        if b.label in ("text", "no"):
+            out.append((b, b.label == "text", "place" if i not in order else "density"))
+            continue
+        sides = [(abs(order[i] - order[j]), found[j].label == "text") for j in (before[i], after[i]) if j is not None]
+        least = min((d for d, _ in sides), default=0)
+        votes = [g for d, g in sides if d == least]
+        good = (any(votes) if b.label == "near" else all(votes)) if votes else True
+        out.append((b, good or b.label == "near" and not any_text, "neighbours" if votes else "default"))
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The article's blocks, joined by two line feeds; empty if there are none.
+
+    If the page marks an article or main element with text, blocks outside it are no text; in it none is decided against, so
+    that its ambiguous blocks, links too, follow the dense ones. Else an ambiguous block takes the label of the nearest
+    decided block; of two as near, a longer block takes the better and a short one the worse. If nothing in the region is
+    decided, ambiguous blocks are text.
+    """
+    return "\n\n".join(b.text for b, good, _ in judged(page) if good)
 
 
 def extract(pages: DataFrame, markup: str = "html") -> DataFrame:
-    """pages with main_text. Null and empty pages have an empty text; whole pages are read, however long. Rows that repeat
-    are each extracted. A column of that name, in any letter case, is replaced."""
+    """pages with main_text. Null and empty pages have an empty text; whole pages are read, however long or deeply nested, in
+    time in proportion. Rows that repeat are each extracted, an empty table gives an empty one. A column of that name, in any
+    letter case, is replaced, other columns stay."""
     base = without(pages, list(ADDED))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, markup)):
             texts = pa.array([main_text(p) for p in batch.column(markup).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, *ADDED])
 
-    return base.mapInArrow(run, extended(base, **ADDED))
+    return in_arrow(base, run, extended(base, **ADDED))
 
 
 def digest(pages: DataFrame) -> DataFrame:
