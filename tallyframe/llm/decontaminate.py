@@ -1,10 +1,12 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
-Each Arrow batch of documents is a shard. Its words become ids of the benchmark's vocabulary (0: not in it), and a sorted
-array of its suffixes is built. Every test suffix is looked up by binary search, which gives the range of training
-suffixes that start with a window of the item, and the longest verbatim match with its place. Only suffixes whose next
-words are all in the benchmark's vocabulary, for at least the shortest window, are sorted: no other can match.
-The benchmark is sent to the tasks only in blocks of a checked size; larger benchmarks take several passes.
+Each run of some megabytes of documents is a shard. Its words become ids of the benchmark's vocabulary (0: not in it), and a
+sorted array of its suffixes is built. Every test suffix is looked up by binary search: its neighbours give its longest
+verbatim match. Where that reaches a window's length, the range of training suffixes that start with the window gives all its
+places; at each of them the longest match with any item is found the other way round, in the benchmark's own suffix array.
+Only training suffixes whose next words are all in the benchmark's vocabulary, for at least the shortest window, are sorted: no
+other can hold a window. The benchmark is sent to the tasks as a few flat arrays, in blocks of a checked size; a larger
+benchmark takes several passes.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import repeat
 
 import numpy as np
@@ -20,56 +22,153 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import extended, numbered, without
+from tallyframe.llm.common import extended, in_arrow, numbered, slices, without
 
 #: Words of the lower-cased text: digits, a-z and all that is not ASCII, as UTF-8.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
-ADDED = {"n_words": "long", "n_hit": "long", "item_ids": "array<string>", "spans": "array<struct<first:long,last:long>>"}
+ADDED = {"n_words": "long", "n_hit": "long", "item_ids": "array<string>", "spans": "array<struct<first:long,last:long>>", "longest_match": "long", "longest_at": "long"}
+#: Bytes of text in a shard.
+SHARD = 4_000_000
+#: Bytes of benchmark in one pass. As flat arrays it takes some ten times as much.
+BLOCK = 8 << 20
 
 
 def words(text: bytes | None) -> list[bytes]:
     return WORDS.findall(text.lower()) if text else []
 
 
+def _sorted_suffixes(stream: np.ndarray, at: np.ndarray, size: int, depth: int) -> np.ndarray:
+    """Places in a stream of ids below size, in order of what follows them for depth ids; the stream goes on as far as that."""
+    bits = max(1, math.ceil(math.log2(size + 1)))
+    packed = max(1, 62 // bits)
+
+    def key(places: np.ndarray) -> np.ndarray:
+        """The next few ids in one integer that sorts as they do."""
+        out = np.zeros(len(places), np.int64)
+        for j in range(packed):
+            out = (out << bits) | stream[np.minimum(places + j, len(stream) - 1)]
+        return out
+
+    keys = key(at)
+    order = np.argsort(keys, kind="stable")
+    at, keys = at[order], keys[order]
+    group = np.concatenate(([0], np.cumsum(keys[1:] != keys[:-1]))) if len(at) else np.zeros(0, np.int64)
+    for deep in range(packed, depth, packed):
+        same = group[1:] == group[:-1]
+        tied = np.zeros(len(at), bool)
+        tied[1:] |= same
+        tied[:-1] |= same
+        todo = np.flatnonzero(tied)
+        if not len(todo):
+            break
+        part, g, keys = at[todo], group[todo], key(at[todo] + deep)
+        order = np.lexsort((keys, g))
+        at[todo], g, keys = part[order], g[order], keys[order]
+        new = np.concatenate(([False], (g[1:] == g[:-1]) & (keys[1:] != keys[:-1])))  # splits inside a group
+        group[todo] = g
+        step = np.zeros(len(at), np.int64)
+        step[todo] = new
+        group = group + np.cumsum(step)
+    return at
+
+
+def _common(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many ids from a[at] and from b[to] on are equal, up to size."""
+    n, left = np.zeros(len(at), np.int64), np.arange(len(at))
+    while len(left):
+        left = left[n[left] < size[left]]
+        left = left[a[np.minimum(at[left] + n[left], len(a) - 1)] == b[np.minimum(to[left] + n[left], len(b) - 1)]]
+        n[left] += 1
+    return n
+
+
+def _search(a: np.ndarray, suffixes: np.ndarray, b: np.ndarray, query: np.ndarray, size: np.ndarray, through: bool) -> np.ndarray:
+    """How many of the sorted suffixes of a come before a query of so many ids of b; through: or start with it."""
+    low, high = np.zeros(len(query), np.int64), np.full(len(query), len(suffixes), np.int64)
+    while len(todo := np.flatnonzero(low < high)):
+        middle = (low[todo] + high[todo]) // 2
+        at, to, most = suffixes[middle], query[todo], size[todo]
+        n = _common(a, at, b, to, most)
+        before = np.where(n == most, through, a[np.minimum(at + n, len(a) - 1)] < b[np.minimum(to + n, len(b) - 1)])
+        low[todo[before]] = middle[before] + 1
+        high[todo[~before]] = middle[~before]
+    return low
+
+
+def _longest(a: np.ndarray, suffixes: np.ndarray, b: np.ndarray, query: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the length of its longest match among the sorted suffixes of a, and the place of one."""
+    low = _search(a, suffixes, b, query, size, False)
+    best, place = np.zeros(len(query), np.int64), np.full(len(query), -1, np.int64)
+    for near in (low - 1, low) if len(suffixes) else ():
+        at = suffixes[np.clip(near, 0, len(suffixes) - 1)]
+        n = np.where((near >= 0) & (near < len(suffixes)), _common(a, at, b, query, size), 0)
+        better = n > best
+        best[better], place[better] = n[better], at[better]
+    return best, place
+
+
 @dataclass
 class Queries:
-    """The test side: items' words in one stream with -1 between items, and their distinct windows."""
+    """The test side, in flat arrays: items' words in one stream with 0 between items, every suffix, the distinct windows."""
 
-    vocabulary: dict[bytes, int]
+    listed: bytes  # the vocabulary's words in order of their ids, from 1 on
     stream: np.ndarray
-    at: np.ndarray  # a window's place in the stream
-    size: np.ndarray  # its number of words
-    item_of: list[list[str]]  # the items that hold it
     suffix_at: np.ndarray  # every test suffix
-    suffix_item: list[str]
-    suffix_start: np.ndarray
+    suffix_size: np.ndarray  # its words up to the item's end
+    suffix_item: np.ndarray
+    suffix_window: np.ndarray  # the distinct window that it starts with, -1 if it is shorter
+    ordered: np.ndarray  # the suffixes' places, sorted
+    at: np.ndarray  # a place of each distinct window
+    size: np.ndarray  # its words
+    item_first: np.ndarray  # where its items begin in item_of
+    item_of: np.ndarray
+    names: list[str]
+    window: int
+
+    @cached_property
+    def vocabulary(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.listed.split(b" "), 1)} if self.listed else {}
+
+    @property
+    def depth(self) -> int:
+        return int(self.suffix_size.max(initial=1))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "vocabulary"}
 
 
 def prepare(items: list[tuple[str, bytes | None]], window: int) -> Queries:
     vocabulary: dict[bytes, int] = {}
-    stream, suffix_at, suffix_item, suffix_start = [-1], [], [], []
-    seen: dict[tuple[int, ...], int] = {}
-    at, size, item_of = [], [], []
+    parts, starts, lengths, names, n = [np.zeros(1, np.int32)], [], [], [], 1
     for item, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)]
-        if not ids:
+        ws = words(text)
+        if not ws:
             continue
-        base, k = len(stream), min(window, len(ids))
-        stream += [*ids, -1]
-        for p in range(len(ids)):
-            suffix_at.append(base + p)
-            suffix_item.append(item)
-            suffix_start.append(p)
-            if p + k <= len(ids):
-                n = seen.setdefault(tuple(ids[p : p + k]), len(at))
-                if n == len(at):
-                    at.append(base + p)
-                    size.append(k)
-                    item_of.append([])
-                if item not in item_of[n][-1:]:
-                    item_of[n].append(item)
-    whole = np.array(stream + [-1] * (max(size, default=1) + 1), np.int64)
-    return Queries(vocabulary, whole, np.array(at, np.int64), np.array(size, np.int64), item_of, np.array(suffix_at, np.int64), suffix_item, np.array(suffix_start, np.int64))
+        names.append(item)
+        starts.append(n)
+        lengths.append(len(ws))
+        parts += [np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws), np.int32, len(ws)), np.zeros(1, np.int32)]
+        n += len(ws) + 1
+    sizes, base = np.array(lengths, np.int64), np.array(starts, np.int64)
+    depth = int(sizes.max(initial=1))
+    stream = np.concatenate([*parts, np.zeros(depth + 64, np.int32)])
+    item = np.repeat(np.arange(len(sizes)), sizes)
+    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at, left, least = np.repeat(base, sizes) + within, np.repeat(sizes, sizes) - within, np.repeat(np.minimum(sizes, window), sizes)
+    # equal windows: those of one size stand together where suffixes are sorted by so many words
+    whole = np.flatnonzero(left >= least)
+    columns = [np.where(j < least[whole], stream[at[whole] + j], 0) for j in range(window)]
+    order = np.lexsort(columns[::-1]) if len(whole) else whole
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = reduce(np.logical_or, [c[order][1:] != c[order][:-1] for c in columns])
+    number = np.cumsum(new) - 1
+    of = np.full(len(at), -1, np.int64)
+    of[whole[order]] = number
+    first = whole[order][new]
+    pairs = np.unique(np.stack([number, item[whole[order]]]), axis=1) if len(order) else np.zeros((2, 0), np.int64)
+    listed = b" ".join(vocabulary)
+    return Queries(listed, stream, at, left, item, of, _sorted_suffixes(stream, at, len(vocabulary) + 1, depth), at[first], least[first], np.searchsorted(pairs[0], np.arange(len(first) + 1)), pairs[1], names, window)
 
 
 class Shard:
@@ -84,157 +183,79 @@ class Shard:
             parts += [np.fromiter(map(get, ws, repeat(0)), np.int32, len(ws)), gap]
             n += len(ws) + 1
         self.starts = np.array(starts, np.int64)
-        self.depth = int(np.diff(np.flatnonzero(queries.stream < 0)).max(initial=1))
-        self.bits = max(1, math.ceil(math.log2(len(queries.vocabulary) + 2)))
-        self.packed = max(1, 62 // self.bits)
-        self.stream = np.concatenate([*parts, np.zeros(self.depth + self.packed + 1, np.int32)]).astype(np.int64)
-        self.suffixes = self._sorted()
-
-    def _key(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The next few words in one integer that sorts as they do."""
-        key = np.zeros(len(at), np.int64)
-        for j in range(self.packed):
-            key = (key << self.bits) | stream[at + j]
-        return key
-
-    def _sorted(self) -> np.ndarray:
-        least = int(self.q.size.min(initial=1))
-        zeros = np.flatnonzero(self.stream == 0)
-        at = np.flatnonzero(self.stream)
-        at = at[zeros[np.searchsorted(zeros, at)] - at >= least]
-        key = self._key(self.stream, at)
-        order = np.argsort(key, kind="stable")
-        at, key = at[order], key[order]
-        tied = np.zeros(len(at), bool)
-        if len(at) > 1:
-            same = key[1:] == key[:-1]
-            tied[1:] |= same
-            tied[:-1] |= same
-        group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1]))) if len(at) else np.zeros(0, np.int64)
-        for depth in range(self.packed, self.depth, self.packed):
-            todo = np.flatnonzero(tied)
-            if not len(todo):
-                break
-            part, g = at[todo], group[todo]
-            live = part + depth < len(self.stream) - self.packed
-            key = np.where(live, self._key(self.stream, np.where(live, part + depth, 0)), 0)
-            order = np.lexsort((key, g))
-            part, key, g = part[order], key[order], g[order]
-            at[todo] = part
-            same = (key[1:] == key[:-1]) & (g[1:] == g[:-1])
-            group[todo] = np.concatenate(([0], np.cumsum(~same))) + len(at) * (depth + 1)
-            tied[todo] = False
-            tied[todo[1:]] |= same
-            tied[todo[:-1]] |= same
-        return at
-
-    def _before(self, at: np.ndarray, query: np.ndarray, size: np.ndarray, through: bool) -> np.ndarray:
-        """Whether a training suffix sorts before a query of so many words; through: or starts with it."""
-        result = np.full(len(at), through)
-        left = np.arange(len(at))
-        for j in range(int(size.max(initial=0))):
-            left = left[size[left] > j]
-            a, b = self.stream[np.minimum(at[left] + j, len(self.stream) - 1)], self.q.stream[query[left] + j]
-            decided = a != b
-            result[left[decided]] = a[decided] < b[decided]
-            left = left[~decided]
-            if not len(left):
-                break
-        return result
-
-    def _search(self, query: np.ndarray, size: np.ndarray, through: bool) -> np.ndarray:
-        low, high = np.zeros(len(query), np.int64), np.full(len(query), len(self.suffixes), np.int64)
-        while len(open_ := np.flatnonzero(low < high)):
-            middle = (low[open_] + high[open_]) // 2
-            before = self._before(self.suffixes[middle], query[open_], size[open_], through)
-            low[open_[before]] = middle[before] + 1
-            high[open_[~before]] = middle[~before]
-        return low
-
-    def occurrences(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each occurrence of a window: the window and its place in the shard."""
-        low, high = self._search(self.q.at, self.q.size, False), self._search(self.q.at, self.q.size, True)
-        n = high - low
-        window = np.repeat(np.arange(len(n)), n)
-        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        return window, self.suffixes[rank]
+        self.stream = np.concatenate([*parts, np.zeros(queries.depth + 64, np.int32)])
+        self.zeros, at = np.flatnonzero(self.stream == 0), np.flatnonzero(self.stream)
+        at = at[self._known(at) >= int(queries.size.min(initial=1))]
+        self.suffixes = _sorted_suffixes(self.stream, at, len(queries.vocabulary) + 1, queries.depth)
+
+    def _known(self, at: np.ndarray) -> np.ndarray:
+        """How many words from a place on are all in the benchmark's vocabulary."""
+        return self.zeros[np.searchsorted(self.zeros, at)] - at
 
     def longest(self) -> tuple[np.ndarray, np.ndarray]:
         """For every test suffix, the length of its longest match in this shard and the place of one such match."""
-        q = self.q.suffix_at
-        ends = np.flatnonzero(self.q.stream < 0)
-        size = ends[np.searchsorted(ends, q)] - q
-        low = self._search(q, size, False)
-        best, place = np.zeros(len(q), np.int64), np.full(len(q), -1, np.int64)
-        if len(self.suffixes):
-            for near in (low - 1, low):
-                ok = (near >= 0) & (near < len(self.suffixes))
-                at = self.suffixes[np.clip(near, 0, len(self.suffixes) - 1)]
-                n, left = np.zeros(len(q), np.int64), np.flatnonzero(ok)
-                while len(left):
-                    left = left[(n[left] < size[left])]
-                    left = left[self.stream[np.minimum(at[left] + n[left], len(self.stream) - 1)] == self.q.stream[q[left] + n[left]]]
-                    n[left] += 1
-                better = n > best
-                best[better], place[better] = n[better], at[better]
-        return best, place
+        return _longest(self.stream, self.suffixes, self.q.stream, self.q.suffix_at, self.q.suffix_size)
+
+    def occurrences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each occurrence of a window: the window, its place in the shard, in order of place, and the longest match there:
+        with any item, if it is as long as a full window, else the short item that it is."""
+        q = self.q
+        best, _ = self.longest()
+        found = np.unique(q.suffix_window[(q.suffix_window >= 0) & (best >= q.size[q.suffix_window])])
+        low, high = (_search(self.stream, self.suffixes, q.stream, q.at[found], q.size[found], through) for through in (False, True))
+        n = high - low
+        window = np.repeat(found, n)
+        at = self.suffixes[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        order = np.argsort(at, kind="stable")
+        window, at = window[order], at[order]
+        places, back = np.unique(at, return_inverse=True)
+        reach, _ = _longest(q.stream, q.ordered, self.stream, places, np.minimum(self._known(places), q.depth))
+        reach = reach[back]
+        return window, at, np.where((reach >= q.window) & (q.size[window] == q.window), reach, q.size[window])
 
     def document(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, side="right") - 1
 
 
-def _slices(column: pa.Array, chars: int = 16_000_000):
-    """(first row, texts) of runs of rows; a run is a shard."""
-    first, run, n = 0, [], 0
-    for i, text in enumerate(column.to_pylist()):
-        run.append(text)
-        n += len(text or b"")
-        if n > chars:
-            yield first, run
-            first, run, n = i + 1, [], 0
-    if run:
-        yield first, run
-
-
 def _annotated(batch: pa.RecordBatch, text: str, queries: Queries) -> pa.RecordBatch:
+    """A batch, whose texts are one shard, with the added columns."""
     rows = []
-    for _, texts in _slices(batch.column(text).cast(pa.binary())):
-        documents = [words(t) for t in texts]
-        shard = Shard(documents, queries)
-        window, at = shard.occurrences()
-        order = np.argsort(at, kind="stable")
-        window, at = window[order], at[order]
-        doc = shard.document(at)
-        cut = np.searchsorted(doc, np.arange(len(documents) + 1))
-        for i, ws in enumerate(documents):
-            a, b = cut[i], cut[i + 1]
-            if a == b:
-                rows.append((len(ws), 0, [], []))
-                continue
-            first, last = at[a:b] - shard.starts[i], at[a:b] - shard.starts[i] + queries.size[window[a:b]]
-            reach = np.maximum.accumulate(last)
-            new = np.flatnonzero(np.concatenate(([True], first[1:] > reach[:-1])))
-            starts, ends = first[new], reach[np.concatenate((new[1:] - 1, [len(reach) - 1]))]
-            items = sorted({x for w in set(window[a:b].tolist()) for x in queries.item_of[w]})
-            rows.append((len(ws), int((ends - starts).sum()), items, [{"first": int(s), "last": int(e) - 1} for s, e in zip(starts, ends, strict=True)]))
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))]
-    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)]
+    documents = [words(t) for t in batch.column(text).cast(pa.binary()).to_pylist()]
+    shard = Shard(documents, queries)
+    window, at, reach = shard.occurrences()
+    doc = shard.document(at)
+    cut = np.searchsorted(doc, np.arange(len(documents) + 1))
+    for i, ws in enumerate(documents):
+        a, b = cut[i], cut[i + 1]
+        if a == b:
+            rows.append((len(ws), 0, [], [], 0, -1))
+            continue
+        first, last = at[a:b] - shard.starts[i], at[a:b] - shard.starts[i] + queries.size[window[a:b]]
+        far = np.maximum.accumulate(last)
+        new = np.flatnonzero(np.concatenate(([True], first[1:] > far[:-1])))
+        starts, ends = first[new], far[np.concatenate((new[1:] - 1, [len(far) - 1]))]
+        items = sorted({queries.names[x] for w in set(window[a:b].tolist()) for x in queries.item_of[queries.item_first[w] : queries.item_first[w + 1]].tolist()})
+        longest = int(np.argmax(reach[a:b]))
+        rows.append((len(ws), int((ends - starts).sum()), items, [{"first": int(s), "last": int(e) - 1} for s, e in zip(starts, ends, strict=True)], int(reach[a + longest]), int(first[longest])))
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.int64(), pa.int64()]
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)]
     return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *ADDED])
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, bytes | None]]] | object:
-    """The benchmark in blocks of about block_bytes at most, one after the other."""
+def _blocks(benchmark: DataFrame, block_bytes: int):
+    """The benchmark in blocks of about block_bytes at most, one after the other: how many there are, and one's items."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    total = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     n = max(1, math.ceil(1.3 * total / block_bytes)) if total > block_bytes else 1
     for b in range(n):
         some = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
         yield n, [(r[0], r[1]) for r in some.collect()]
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", window: int = 10, block_bytes: int = 64 << 20) -> DataFrame:
+def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", window: int = 10, block_bytes: int = BLOCK) -> DataFrame:
     """docs with n_words, n_hit (words inside an occurrence of a window of an item), item_ids (items with an
-    occurring window, sorted as strings) and spans (merged runs of hit words).
+    occurring window, sorted as strings), spans (merged runs of hit words), longest_match (the longest verbatim match, in
+    words, that holds a window; 0 if there is none) and longest_at (the word, from 0, at which it first begins; -1 if there is none).
 
     A window is `window` consecutive words of an item; an item of fewer words is one window. Null and empty texts and
     items have no words and match nothing. Repeated items count once in item_ids if their ids are equal; a null item id
@@ -248,21 +269,23 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
 
         def run(batches, queries=queries, text=text if n == 1 else "text"):
             for batch in batches:
-                yield _annotated(batch, text, queries.value)
+                for shard in slices(batch, text, SHARD):
+                    yield _annotated(shard, text, queries.value)
 
         if n == 1:
-            return base.mapInArrow(run, extended(base, **ADDED))
+            return in_arrow(base, run, extended(base, **ADDED))
         if rows is None:
             rows = numbered(base, "rows")
         part = rows.select("row", F.col("doc")[text].alias("text"))
-        found = part.mapInArrow(run, extended(part, **ADDED)).drop("text")
+        found = in_arrow(part, run, extended(part, **ADDED)).drop("text")
         results.append(found.where("n_hit > 0") if results else found)  # the first has every row's n_words
     hits = reduce(DataFrame.unionByName, results).groupBy("row").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s")
-    )
+        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"),
+        F.max("longest_match").alias("longest_match"), F.min(F.struct((-F.col("longest_match")).alias("n"), "longest_at"))["longest_at"].alias("longest_at"),
+    )
     none = F.array().cast("array<struct<first:long,last:long>>")
     merged = F.aggregate("s", none, lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["last"] + 1 >= x["first"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(a, F.array(x))))
-    hits = hits.select("row", "n_words", "item_ids", merged.alias("spans")).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1))
+    hits = hits.select("row", "n_words", "item_ids", merged.alias("spans"), "longest_match", "longest_at").withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1))
     return rows.join(hits, "row").select("doc.*", *ADDED)
 
 
@@ -274,7 +297,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return annotate(docs, benchmark, **options).where("n_hit = 0").select(*docs.columns)
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = 64 << 20) -> DataFrame:
+def longest_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK) -> DataFrame:
     """For every test suffix (item_id, start): the longest verbatim match in the training text, in words, and the
     place of one (the smallest key among equals in different shards; 0 and nulls if even the first word is absent)."""
     base, results = docs.select(F.col(key).cast("string").alias("place"), text), []
@@ -283,13 +306,14 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", k
 
         def run(batches, queries=queries):
             q = queries.value
+            items, starts = [q.names[i] for i in q.suffix_item.tolist()], q.suffix_at - q.suffix_at[np.searchsorted(q.suffix_item, q.suffix_item)] if len(q.suffix_at) else q.suffix_at
             for batch in batches:
-                keys = batch.column("place").to_pylist()
-                for first, texts in _slices(batch.column(text).cast(pa.binary())):
-                    shard = Shard([words(t) for t in texts], q)
+                for part in slices(batch, text, SHARD):
+                    keys = part.column("place").to_pylist()
+                    shard = Shard([words(t) for t in part.column(text).cast(pa.binary()).to_pylist()], q)
                     best, at = shard.longest()
                     doc = shard.document(at)
-                    yield pa.RecordBatch.from_pydict({"item_id": q.suffix_item, "start": q.suffix_start, "n_match": best, "place": [keys[first + d] if n else None for d, n in zip(doc.tolist(), best.tolist(), strict=True)], "at": [int(a - shard.starts[d]) if n else None for a, d, n in zip(at.tolist(), doc.tolist(), best.tolist(), strict=True)]})
+                    yield pa.RecordBatch.from_pydict({"item_id": items, "start": starts, "n_match": best, "place": [keys[d] if n else None for d, n in zip(doc.tolist(), best.tolist(), strict=True)], "at": [int(a - shard.starts[d]) if n else None for a, d, n in zip(at.tolist(), doc.tolist(), best.tolist(), strict=True)]})
 
-        results.append(base.mapInArrow(run, "item_id string, start long, n_match long, place string, at long"))
+        results.append(in_arrow(base, run, "item_id string, start long, n_match long, place string, at long"))
     return reduce(DataFrame.union, results).groupBy("item_id", "start").agg(F.max_by(F.struct("n_match", "place", "at"), "n_match").alias("m")).select("item_id", "start", "m.*")

@@ -13,7 +13,7 @@ from tallyframe.llm.common import crc32_mod, scratch_path, table
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.annotate(docs, table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest_match", "longest_at")
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,12 +107,16 @@ ORACLES = {
         dw AS (SELECT doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') AS words
                FROM (SELECT doc_id, w, k, unnest(range(1, greatest(len(w) - k, -1) + 2)) AS p FROM d, ks)),
         hits AS (SELECT doc_id, p, k, item_id FROM dw JOIN bw USING (k, words)),
+        bq AS (SELECT r, k, p AS q, array_to_string(w[p : p + k - 1], ' ') AS words FROM (SELECT r, w, least(10, len(w)) AS k, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS p FROM (SELECT *, row_number() OVER () AS r FROM b WHERE len(w) > 0))),
+        runs AS (SELECT doc_id, k + count(*) - 1 AS n, min(p) - 1 AS first FROM (SELECT doc_id, k, p, r, p - q AS d, p - row_number() OVER (PARTITION BY doc_id, r, p - q ORDER BY p) AS g FROM dw JOIN bq USING (k, words)) GROUP BY doc_id, k, r, d, g),
+        far AS (SELECT doc_id, max(n) AS n, arg_min(first, struct_pack(a := -n, b := first)) AS first FROM runs GROUP BY doc_id),
         n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY doc_id),
         i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
               FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)""",
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+               coalesce(far.n, 0) AS longest_match, coalesce(far.first, -1) AS longest_at
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN far USING (doc_id)""",
     "op3_near_duplicates": """
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + least(4, len(w)) - 1], ' ') AS g
