@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import in_arrow
+
 TURN, BODY, END = "<turn>", "<body>", "</turn>\n"
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 ATTACHMENT = pa.struct([("kind", pa.string()), ("ref", pa.string()), ("at", pa.int64()), ("n_tokens", pa.int64())])
@@ -93,7 +95,7 @@ def format_turns(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(formatted, pa.string()), pa.array(first, pa.int64()), pa.array(end, pa.int64()), pa.array(attached, pa.list_(ATTACHMENT)), pa.array(tokens, pa.int64())], names=["conv_id", "turn", "formatted", "loss_first", "loss_end", "attachments", "n_placeholder_tokens"])
 
     kind, number = source.schema["conv_id"].dataType.simpleString(), source.schema["turn"].dataType.simpleString()
-    return source.mapInArrow(run, f"conv_id {kind}, turn {number}, formatted string, loss_first long, loss_end long, attachments array<struct<kind:string,ref:string,at:long,n_tokens:long>>, n_placeholder_tokens long")
+    return in_arrow(source, run, f"conv_id {kind}, turn {number}, formatted string, loss_first long, loss_end long, attachments array<struct<kind:string,ref:string,at:long,n_tokens:long>>, n_placeholder_tokens long")
 
 
 def parse(formatted: str) -> tuple[str, str]:
@@ -143,4 +145,4 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
         if started:
             yield rows([(now, n, turns_sha.hexdigest(), loss, loss_sha.hexdigest(), chars)])
 
-    return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return in_arrow(ordered, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -73,7 +73,20 @@ def lacking(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, "left_anti")
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+#: Bytes of an Arrow batch between Spark and a Python worker. Spark's own limit of 64 MB for each direction of each task, in
+#: buffers that are not given back, would be most of what an executor has outside its heap.
+BATCH_BYTES = 4_000_000
+
+
+def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow, with the session's limit of an Arrow batch lowered to BATCH_BYTES if it has Spark's default."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, "67108864b") == "67108864b":
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows with about `most` bytes of a text or binary column, a longer row alone: so much is turned into
     Python objects at once."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)

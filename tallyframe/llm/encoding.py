@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 #: Chunks of more characters are encoded each time.
 LONGEST_KEPT = 64
 #: Characters of the texts that are encoded together.
-GROUP_CHARS = 3_000_000
+GROUP_CHARS = 4_000_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿªµº"
 #: Characters for which Python's classes and the tokenizer's agree, so that pieces can be cut further.
 _PLAIN = re.compile(rf"[\n -~¡-©«-±´¶-¸»¿×÷{_LETTERS}]*")

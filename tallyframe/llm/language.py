@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import extended, without
+from tallyframe.llm.common import extended, in_arrow, slices, without
 from tallyframe.llm.compression import lengths, letters
 
 UNDETERMINED = "und"
@@ -42,7 +42,7 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: st
     chosen = rows.where(unit < share[F.col("language")]).select("language", "text")
 
     def pieces(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             out = []
             for text in batch.column("text").to_pylist():
                 b = letters(text)
@@ -51,7 +51,7 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: st
             yield pa.RecordBatch.from_arrays([batch.column("language"), pa.array(out, pa.binary())], names=["language", "piece"])
 
     found: dict[str, list[bytes]] = {}
-    for r in chosen.mapInArrow(pieces, "language string, piece binary").collect():
+    for r in in_arrow(chosen, pieces, "language string, piece binary").collect():
         if r["piece"]:
             found.setdefault(r["language"], []).append(bytes(r["piece"]))
     contents = {}
@@ -92,10 +92,10 @@ def identify(docs: DataFrame, contents: dict[str, bytes], text: str = "text", na
 
     def run(batches):
         measures = _measures(model.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             rows = [_one(t, measures, narrow) for t in batch.column(text).to_pylist()]
             columns = zip(*rows, strict=True) if rows else [[]] * 4
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*batch.schema.names, *ADDED])
 
-    return base.mapInArrow(run, extended(base, **ADDED))
+    return in_arrow(base, run, extended(base, **ADDED))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import BROADCAST_KEYS, lacking, materialize, numbered
+from tallyframe.llm.common import BROADCAST_KEYS, in_arrow, lacking, materialize, numbered, slices
 from tallyframe.llm.components import components
 
 COORDINATES, LEAST = 40, 14
@@ -87,13 +87,9 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def _slices(batch: pa.RecordBatch, text: str, chars: int = 1_000_000):
-    texts, first, n = batch.column(text).cast(pa.binary()).to_pylist(), 0, 0
-    for i, t in enumerate(texts):
-        n += len(t or b"")
-        if n > chars or i + 1 == len(texts):
-            yield batch.slice(first, i + 1 - first), texts[first : i + 1]
-            first, n = i + 1, 0
+def _texts(batch: pa.RecordBatch, text: str):
+    for part in slices(batch, text, 1_000_000):
+        yield part, part.column(text).cast(pa.binary()).to_pylist()
 
 
 def features(docs: DataFrame, text: str, key: str, size: int, coordinates: int = COORDINATES) -> DataFrame:
@@ -102,7 +98,7 @@ def features(docs: DataFrame, text: str, key: str, size: int, coordinates: int =
 
     def run(batches):
         for batch in batches:
-            for part, texts in _slices(batch, text):
+            for part, texts in _texts(batch, text):
                 sets = shingles(texts, size)
                 counts = np.array([len(s) for s in sets])
                 full = np.flatnonzero(counts)
@@ -121,7 +117,7 @@ def features(docs: DataFrame, text: str, key: str, size: int, coordinates: int =
                     "signature": pa.array([next(rows) if n else None for n in counts], pa.list_(pa.int64())),
                 })
 
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, n_shingles long, set_a long, set_b long, signature array<long>")
+    return in_arrow(docs.select(key, text), run, f"key {kind}, n_shingles long, set_a long, set_b long, signature array<long>")
 
 
 def _sets(docs: DataFrame, text: str, key: str, size: int, wanted: DataFrame) -> DataFrame:
@@ -130,12 +126,12 @@ def _sets(docs: DataFrame, text: str, key: str, size: int, wanted: DataFrame) ->
 
     def run(batches):
         for batch in batches:
-            for part, texts in _slices(batch, text):
+            for part, texts in _texts(batch, text):
                 yield pa.RecordBatch.from_pydict({"rep": part.column(key), "shingles": pa.array([_signed(s) for s in shingles(texts, size)], pa.list_(pa.int64()))})
 
     few = wanted.count() <= BROADCAST_KEYS
     chosen = docs.select(key, text).join(F.broadcast(wanted) if few else wanted, F.col(key) == F.col("rep"), "left_semi")
-    return chosen.mapInArrow(run, f"rep {kind}, shingles array<long>")
+    return in_arrow(chosen, run, f"rep {kind}, shingles array<long>")
 
 
 def _postings(reps: DataFrame, coordinates: int, least: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import slices
+from tallyframe.llm.common import in_arrow, slices
 from tallyframe.llm.encoding import encoder
 
 #: Bits of a sequence id below the task's number.
@@ -151,4 +151,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key:
                 yield from rows(p for doc, raw in zip(part.column(key).to_pylist(), encoded, strict=True) for p in packer.add(doc, np.concatenate((np.frombuffer(raw, encode.dtype), end))))
         yield from rows(packer.drain())
 
-    return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, {SCHEMA}")
+    return in_arrow(source, run, f"`{key}` {source.schema[key].dataType.simpleString()}, {SCHEMA}")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import in_arrow
 from tallyframe.llm.encoding import encoder
 
 SCHEMA = "field string, section long, first_char long, n_chars long, n_tokens long, n_crossing long"
@@ -84,4 +85,4 @@ def token_counts(docs: DataFrame, tokenizer: str, fields: list[str], key: str =
                 kinds = (batch.schema.field(key).type, pa.string(), *[pa.int64()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, names, numbers, firsts, sizes, counts, crossing), kinds, strict=True)], names=[key, *(x.split()[0] for x in SCHEMA.split(", "))])
 
-    return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, {SCHEMA}")
+    return in_arrow(source, run, f"`{key}` {source.schema[key].dataType.simpleString()}, {SCHEMA}")

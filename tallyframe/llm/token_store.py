@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import slices
+from tallyframe.llm.common import in_arrow, slices
 from tallyframe.llm.encoding import encoder
 
 #: Of the dictionary's training sample: documents, pieces of each, bytes of a piece.
@@ -52,7 +52,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, text: str = "text", key: s
                 yield pa.RecordBatch.from_pydict({"piece": pa.array(out, pa.binary())})
 
     sample = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(key, text), F.lit(1 << 30)) < share)).select(text).limit(4 * SAMPLE_DOCUMENTS)
-    found = sorted(r[0] for r in sample.mapInArrow(pieces, "piece binary").collect() if r[0])
+    found = sorted(r[0] for r in in_arrow(sample, pieces, "piece binary").collect() if r[0])
     try:
         return zstandard.train_dictionary(size, found).as_bytes()
     except zstandard.ZstdError:  # too few or too small
@@ -108,7 +108,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
 
     ordered = docs.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
     schema = f"part long, block long, dictionary_sha256 string, keys array<{kind}>, offsets array<long>, n_tokens array<long>, starts array<long>, first {kind}, last {kind}, payload binary"
-    ordered.mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    in_arrow(ordered, blocks, schema).write.option("compression", "none").parquet(f"{path}/blocks")
     # One row for each task that wrote blocks: their number, not the data's, is what the window holds.
     parts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,7 +146,7 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                 out = {"key": pa.array(b["keys"], batch.schema.field("keys").type.value_type), "start": [b["base"] + s for s in b["starts"]], "n_tokens": b["n_tokens"], "ids_crc32": [zlib.crc32(a.tobytes()) for a in arrays]}
                 yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array([a.astype(np.int64) for a in arrays], pa.list_(pa.int64()))} if ids else {}))
 
-    return based.mapInArrow(documents, f"key {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
+    return in_arrow(based, documents, f"key {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
 def fetch(spark: SparkSession, path: str, key) -> list[list[int]]:
