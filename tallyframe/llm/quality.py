@@ -9,6 +9,9 @@ correction over rules and strata), so with probability 1 - error no stratum reje
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,18 +80,34 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series ten steps up, and back down."""
+    y = x + 10
+    down = F.log(reduce(lambda a, i: a * (x + i), range(1, 10), x))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - down
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X binomial with n and p: the sum of its terms, each from the one before, in logarithms."""
-    first = n * F.log1p(F.lit(-p))
-    start = F.struct(first.alias("term"), first.alias("total"))
-    odds = F.log(F.lit(p / (1 - p)))
+    """P(X <= k) for X binomial with n and p: the term of k times the sum of the terms below it relative to it; from the mean
+    on, one less the same of the terms above. Terms farther than ten standard deviations do not count, so that there are
+    about as many as the root of n, never k."""
+    k, n, q = k.cast("double"), n.cast("double"), 1 - p
+    far = F.ceil(10 * F.sqrt(n * p * q)) + 50
+
+    def series(at: Column, most: Column, ratio) -> Column:
+        term = F.exp(_log_gamma(n + 1) - _log_gamma(at + 1) - _log_gamma(n - at + 1) + at * math.log(p) + (n - at) * math.log(q))
+        start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+        def step(s: Column, j: Column) -> Column:
+            now = s["term"] * ratio(j.cast("double"))
+            return F.struct(now.alias("term"), (s["total"] + now).alias("total"))
 
-    def step(s: Column, i: Column) -> Column:
-        term = s["term"] + F.log((n - i + 1) / i) + odds
-        high = F.greatest(term, s["total"])
-        return F.struct(term.alias("term"), (high + F.log1p(F.exp(F.least(term, s["total"]) - high))).alias("total"))
+        steps = F.sequence(F.lit(0).cast("long"), F.least(most, far).cast("long"))
+        return term * F.aggregate(F.filter(steps, lambda j: j > 0), start, step, lambda s: s["total"])
 
-    return F.when(k >= n, F.lit(1.0)).otherwise(F.exp(F.when(k <= 0, first).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long"))), start, step, lambda s: s["total"]))))
+    below = series(k, k, lambda j: (k - j + 1) * q / ((n - k + j) * p))
+    above = series(k + 1, n - k - 1, lambda j: (n - k - j) * p / ((k + 1 + j) * q))
+    return F.when(k >= n, F.lit(1.0)).when(k < 0, F.lit(0.0)).when(k < n * p, below).otherwise(1 - above)
 
 
 def cutoffs(labelled: DataFrame, stratum: str = "stratum", label: str = "label", risk: float = 0.02, error: float = 0.05) -> DataFrame:
@@ -132,8 +151,10 @@ def _judged(docs: DataFrame, labels: DataFrame, text: str, key: str, stratum: st
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str | None = "lang", label: str = "quality", risk: float = 0.02, error: float = 0.05) -> DataFrame:
-    """docs with the base counts, base_failed, failed_rules (names of the rules that reject the row, in order) and kept.
+    """key, the base counts, n_lines, base_failed, failed_rules (names of the rules that reject the row, in order) and kept;
+    other columns of docs are left out. Whole texts are counted, however long; an empty table gives an empty one.
 
+    The bound holds for good rows that pass the base rules: what base_failed rejects comes on top.
     labels (key, label) are the holdout: 1 good, 0 bad, other values unused. Null strata are one stratum, ''. A stratum without
     labelled rows, and every stratum without labels at all, has no rules beyond base_failed. Repeated rows are judged each by
     itself; a key with several labels counts with each.

@@ -173,11 +173,14 @@ def test_quality_counts_and_bounds(spark):
     df = spark.createDataFrame(list(enumerate(texts)), DOCS)
     got = {x.doc_id: (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) for x in quality.base_counts(df).collect()}
     assert got == {i: counts_of(t) for i, t in enumerate(texts)}
-    cases = [(0, 100), (3, 100), (40, 2000), (0, 5), (5, 5)]
+    cases = [(0, 100), (3, 100), (40, 2000), (0, 5), (5, 5), (1, 100), (30, 2000), (12, 2000), (4, 5)]
     tails = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality.binomial_tail(F.col("k"), F.col("n"), 0.01).alias("p")).collect()
     for x in tails:
         exact = sum(math.comb(x.n, i) * 0.01**i * 0.99 ** (x.n - i) for i in range(x.k + 1))
         assert math.isclose(x.p, exact, rel_tol=1e-9)
+    # millions of rejected rows: as many terms as the root of n
+    many = spark.createDataFrame([(2_200_000_000, 1_000_000_000_000), (9_990_000_000, 1_000_000_000_000), (9_999_900_000, 1_000_000_000_000)], "k long, n long").select(quality.binomial_tail(F.col("k"), F.col("n"), 0.01).alias("p")).collect()
+    assert many[0].p == 0 and 0 <= many[1].p < 1e-20 and 0.1 < many[2].p < 0.2
 
 
 def test_quality_keeps_good_rows_and_drops_bad_ones(spark):
