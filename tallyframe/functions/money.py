@@ -27,30 +27,42 @@ _BRACKETS, _TRAILING = "\x01", "\x02"
 
 
 def plain(raw: Column) -> Column:
-    """An amount's text without white space, symbols and codes, with a mark for brackets and for a trailing minus."""
+    """An amount's text without white space, symbols and codes, with a mark for brackets and for a trailing minus. What is
+    read of a cell is read of this; where more than one thing is read, make it a column first."""
     inner = F.regexp_replace(strip(raw), r"(?s)^\((.*)\)$", f"{_BRACKETS}$1")
     bare = F.regexp_replace(inner, r"(?iU)[£$€\s ]|GBP|EUR|USD", "")
-    return F.regexp_replace(bare, r"(?s)^(.*)-$", f"{_TRAILING}$1")
+    # most cells are bare already, which one match tells
+    return F.when(raw.rlike("^[0-9.,]*$"), raw).otherwise(F.regexp_replace(bare, r"(?s)^(.*)-$", f"{_TRAILING}$1"))
+
+
+def plain_is_amount(bare: Column, convention: str) -> Column:
+    group, mark = _MARKS[convention]
+    return F.coalesce(bare.rlike(rf"^{_TRAILING}?{_BRACKETS}?-?([0-9]+|[0-9]{{1,3}}([{group}][0-9]{{3}})+)([{mark}][0-9]*)?$"), F.lit(False))
+
+
+def plain_amount(bare: Column, convention: str, scale: int = 2) -> Column:
+    group, mark = _MARKS[convention]
+    # marks and group signs go, the decimal mark becomes a point; digits after the one that decides the rounding are cut
+    # off, so that it is rounded once
+    digits = F.translate(bare, f"{mark}{group}{_BRACKETS}{_TRAILING}", ".")
+    digits = F.regexp_replace(digits, rf"\.([0-9]{{0,{scale + 1}}})[0-9]*$", ".$1")
+    value = F.round(F.when(plain_is_amount(bare, convention), F.concat(digits, F.when(digits.contains("."), F.lit("0")).otherwise(F.lit("")))).try_cast(f"decimal(38,{scale + 2})"), scale)
+    negated = bare.startswith(_BRACKETS) | (bare.startswith(_TRAILING) & ~bare.startswith(_TRAILING + _BRACKETS))
+    return F.when(negated, -value).otherwise(value).try_cast(f"decimal(18,{scale})")
 
 
 def is_amount(raw: Column, convention: str) -> Column:
     """Whether a cell is an amount under the declared convention; the convention is never guessed."""
-    group, mark = _MARKS[convention]
-    return F.coalesce(plain(raw).rlike(rf"^{_TRAILING}?{_BRACKETS}?-?([0-9]+|[0-9]{{1,3}}([{group}][0-9]{{3}})+)([{mark}][0-9]*)?$"), F.lit(False))
+    return plain_is_amount(plain(raw), convention)
 
 
 def parse_amount(raw: Column, convention: str, scale: int = 2) -> Column:
-    """The amount in a cell, rounded half up to scale, or NULL where it cannot be read exactly.
+    """The amount in a cell, rounded half up once to scale, or NULL where it cannot be read exactly.
 
     `(x)` and `x-` negate, each, on top of a leading minus. Currency symbols and codes are dropped anywhere inside the
     parentheses. A grouped part has one to three digits and then groups of three.
     """
-    group, mark = _MARKS[convention]
-    # marks and group signs go, the decimal mark becomes a point
-    digits = F.regexp_replace(F.translate(plain(raw), f"{mark}{group}{_BRACKETS}{_TRAILING}", "."), r"\.$", "")
-    value = F.round(F.when(is_amount(raw, convention), digits).try_cast("decimal(38,10)"), scale)
-    negated = plain(raw).rlike(f"^({_BRACKETS}|{_TRAILING}[^{_BRACKETS}])")
-    return F.when(negated, -value).otherwise(value).try_cast(f"decimal(18,{scale})")
+    return plain_amount(plain(raw), convention, scale)
 
 
 def money_text(amount: Column, scale: int = 2) -> Column:

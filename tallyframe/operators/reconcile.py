@@ -2,7 +2,8 @@
 
 Both sides are first reduced to one row for each key (count, first row in input order), so repeated keys never multiply, and
 then meet in one full outer join on the same hash of the key. Status and evidence are one CASE in a fixed order: repeated key,
-presence, currency, each row's own arithmetic, fields on one side only, differences beyond tolerance. Only what is left matches.
+presence, currency, each row's own arithmetic, fields on one side only, differences beyond tolerance. Only what is left matches,
+and every test passes on a proven TRUE alone: an unknown currency or gross is never taken for agreement.
 """
 
 from __future__ import annotations
@@ -17,14 +18,19 @@ RULES = ("repeated_key", "absent_on_one_side", "currency_disagreement", "interna
 _DISCREPANCY = f"array<struct<field:string,statement:{MONEY},ledger:{MONEY},difference:{MONEY},within_tolerance:boolean,tolerance_applied:string>>"
 
 
+def known(deductions: Column) -> Column:
+    """The deductions that have an amount; none for a null map. A null amount is an absent deduction, never zero."""
+    return F.map_filter(F.coalesce(deductions, F.create_map().cast(f"map<string,{MONEY}>")), lambda k, v: v.isNotNull())
+
+
 def net_of_deductions(gross: Column, deductions: Column) -> Column:
-    total = F.aggregate(F.map_values(deductions), F.lit(0).cast("decimal(28,4)"), lambda a, x: (a + x).cast("decimal(28,4)"))
+    total = F.aggregate(F.map_values(known(deductions)), F.lit(0).cast("decimal(28,4)"), lambda a, x: (a + x).cast("decimal(28,4)"))
     return (gross.cast("decimal(28,4)") - total).cast(MONEY)
 
 
 def arithmetic_holds(gross: Column, deductions: Column, net: Column) -> Column:
-    """Whether gross less deductions is net; null where there is no net."""
-    return F.when(net.isNotNull(), net_of_deductions(gross, deductions) == net)
+    """Whether gross less deductions is net; null where there is no net, false where there is no gross to hold it against."""
+    return F.when(net.isNotNull(), F.coalesce(net_of_deductions(gross, deductions) == net, F.lit(False)))
 
 
 def _one_per_key(side: DataFrame, ordinal: str) -> DataFrame:
@@ -33,9 +39,11 @@ def _one_per_key(side: DataFrame, ordinal: str) -> DataFrame:
 
 
 def _fields(row: Column) -> Column:
-    """gross, deductions and net as one map; a null net is no field."""
-    own = F.map_concat(F.create_map(F.lit("gross"), row["gross"].cast(MONEY)), row["deductions"])
-    return F.when(row["net"].isNotNull(), F.map_concat(own, F.create_map(F.lit("net"), row["net"].cast(MONEY)))).otherwise(own)
+    """gross, deductions and net as one map, without those that are null. A deduction called gross or net is shown as
+    deductions.gross or deductions.net, so that it is compared with its like alone."""
+    named = F.transform_keys(known(row["deductions"]), lambda k, v: F.when(k.rlike(r"^(deductions\.)*(gross|net)$"), F.concat(F.lit("deductions."), k)).otherwise(k))
+    own = [F.when(row[name].isNotNull(), F.create_map(F.lit(name), row[name].cast(MONEY))).otherwise(F.create_map().cast(f"map<string,{MONEY}>")) for name in ("gross", "net")]
+    return F.map_concat(own[0], named, own[1])
 
 
 def pair(statement: DataFrame, ledger: DataFrame, ordinal: str = "spreadsheet_row") -> DataFrame:
@@ -51,7 +59,9 @@ def reconcile(statement: DataFrame, ledger: DataFrame, tolerance: Tolerance = EX
     """One row for each key on either side: key, status, rule, detail, discrepancies, one_sided, candidate_keys, n_s, n_l, s, l.
 
     Sides have key, currency, gross, deductions (MAP of decimals), net (null if absent) and an ordinal that gives the input's
-    order. A field on one side only is never compared with zero.
+    order. A field on one side only is never compared with zero. Null deductions, and null amounts among them, are absent. A
+    null currency, on either side or both, is no agreement; a row without a gross does not hold by itself. Rows with a null
+    key match nothing: they are missing, or duplicate if there are several. Other columns do not matter.
     """
     rows = pair(statement, ledger, ordinal).withColumns({"fs": _fields(F.col("s")), "fl": _fields(F.col("l"))})
     single = (F.col("n_s") == 1) & (F.col("n_l") == 1)
@@ -66,13 +76,12 @@ def reconcile(statement: DataFrame, ledger: DataFrame, tolerance: Tolerance = EX
     in_both = F.filter("names", lambda f: F.map_contains_key("fs", f) & F.map_contains_key("fl", f))
     in_one = F.filter("names", lambda f: F.map_contains_key("fs", f) != F.map_contains_key("fl", f))
     rows = rows.select("*", F.transform(in_both, compared).alias("all_d"), in_one.alias("one_sided"))
-    bad_s = ~F.coalesce(arithmetic_holds(F.col("s.gross"), F.col("s.deductions"), F.col("s.net")), F.lit(True))
-    bad_l = ~F.coalesce(arithmetic_holds(F.col("l.gross"), F.col("l.deductions"), F.col("l.net")), F.lit(True))
-    outside = F.filter("all_d", lambda d: ~d["within_tolerance"])
+    bad_s, bad_l = (F.col(f"{x}.gross").isNull() | ~F.coalesce(arithmetic_holds(F.col(f"{x}.gross"), F.col(f"{x}.deductions"), F.col(f"{x}.net")), F.lit(True)) for x in "sl")
+    outside = F.filter("all_d", lambda d: ~F.coalesce(d["within_tolerance"], F.lit(False)))
     rule = (
         F.when((F.col("n_s") > 1) | (F.col("n_l") > 1), "repeated_key")
         .when(~F.col("single"), "absent_on_one_side")
-        .when(F.col("s.currency") != F.col("l.currency"), "currency_disagreement")
+        .when(~F.coalesce(F.col("s.currency") == F.col("l.currency"), F.lit(False)), "currency_disagreement")
         .when(bad_s | bad_l, "internal_arithmetic")
         .when(F.size("one_sided") > 0, "field_present_on_one_side")
         .when(F.size(outside) > 0, "field_difference")
@@ -84,9 +93,9 @@ def reconcile(statement: DataFrame, ledger: DataFrame, tolerance: Tolerance = EX
     side = F.when(F.col("bad_s"), F.col("s")).otherwise(F.col("l"))
     detail = (
         F.when(F.col("rule") == "repeated_key", F.concat(F.greatest("n_s", "n_l").cast("string"), F.lit(" rows have this key in the "), F.when(F.col("n_s") > 1, "statement").otherwise("ledger")))
-        .when(F.col("rule") == "absent_on_one_side", F.concat(F.lit("only in the "), F.when(F.col("n_s") == 0, "ledger").otherwise("statement"), F.lit(": "), text(F.coalesce(F.col("s.gross"), F.col("l.gross")))))
-        .when(F.col("rule") == "currency_disagreement", F.concat(F.col("s.currency"), F.lit(" against "), F.col("l.currency")))
-        .when(F.col("rule") == "internal_arithmetic", F.concat(F.when(F.col("bad_s"), "statement").otherwise("ledger"), F.lit(": net "), text(side["net"]), F.lit(", gross less deductions "), text(net_of_deductions(side["gross"], side["deductions"]))))
+        .when(F.col("rule") == "absent_on_one_side", F.concat(F.lit("only in the "), F.when(F.col("n_s") == 0, "ledger").otherwise("statement"), F.lit(": "), F.coalesce(text(F.coalesce(F.col("s.gross"), F.col("l.gross"))), F.lit("no gross"))))
+        .when(F.col("rule") == "currency_disagreement", F.concat(F.coalesce("s.currency", F.lit("none")), F.lit(" against "), F.coalesce("l.currency", F.lit("none"))))
+        .when(F.col("rule") == "internal_arithmetic", F.concat(F.when(F.col("bad_s"), "statement").otherwise("ledger"), F.lit(": net "), F.coalesce(text(side["net"]), F.lit("none")), F.lit(", gross less deductions "), F.coalesce(text(net_of_deductions(side["gross"], side["deductions"])), F.lit("unknown"))))
         .when(F.col("rule") == "field_present_on_one_side", F.concat(F.lit("on one side only: "), F.array_join("one_sided", ", ")))
         .when(F.col("rule") == "field_difference", F.array_join(F.transform("outside", lambda d: F.concat(d["field"], F.lit(" differs by "), text(d["difference"]))), "; "))
         .otherwise(F.when(F.exists("all_d", lambda d: d["difference"] != 0), F.lit(f"all fields agree within {tolerance.absolute}")).otherwise("all fields agree"))
@@ -110,8 +119,10 @@ def by_status(results: DataFrame) -> DataFrame:
 
 
 def false_matched(results: DataFrame) -> DataFrame:
-    """Results that match in spite of a difference beyond tolerance: there are none unless the CASE is broken."""
-    return results.where((F.col("status") == "matched") & F.exists("discrepancies", lambda d: ~d["within_tolerance"]))
+    """Results that match although a compared field is not proven to be within tolerance, or none was compared: there are
+    none unless the CASE is broken."""
+    proven = F.coalesce((F.size("discrepancies") > 0) & F.forall("discrepancies", lambda d: F.coalesce(d["within_tolerance"], F.lit(False))), F.lit(False))
+    return results.where((F.col("status") == "matched") & ~proven)
 
 
 def batch_totals(rows: DataFrame, declared: DataFrame, by: list[str], amount: str = "gross") -> DataFrame:

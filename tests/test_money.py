@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import money, period
 
+# fixed values: cells that must be read as these amounts
 READ = [
     ("1,234.56", money.DOT, "1234.56"), ("1.234,56", money.COMMA, "1234.56"), ("1234.56", money.DOT, "1234.56"), ("1234,56", money.COMMA, "1234.56"),
     ("1 234,56", money.COMMA, "1234.56"), ("1 234,56", money.COMMA, "1234.56"), ("38,867.16", money.DOT, "38867.16"), ("1.234", money.DOT, "1.23"),
     ("1.234", money.COMMA, "1234.00"), ("(12.34)", money.DOT, "-12.34"), ("(£12.34)", money.DOT, "-12.34"), ("12.34-", money.DOT, "-12.34"), ("(-5)", money.DOT, "5.00"),
+    ("0.00499999999999", money.DOT, "0.00"), ("1.00499999999", money.DOT, "1.00"), ("1.00500000001", money.DOT, "1.01"), ("-0,005", money.COMMA, "-0.01"), ("12345678901234.999", money.DOT, "12345678901235.00"), ("7,", money.COMMA, "7.00"),
     ("1.005", money.DOT, "1.01"), ("1.015", money.DOT, "1.02"), ("2.675", money.DOT, "2.68"), ("-1.005", money.DOT, "-1.01"), ("1,234.", money.DOT, "1234.00"),
 ]
 REFUSED = ["1,234,56", "", "   ", "n/a", "TBC", "-", "abc", ".50", "£(12.34)", "(12.34) GBP", ",123", "1,2345", None]

@@ -28,6 +28,39 @@ CASES = {
 }
 
 
+def nulls(**changed):
+    names = ("key", "currency", "gross", "deductions", "net", "n")
+    return tuple((dict(zip(names, row("a"), strict=True)) | changed).values())
+
+
+UNPROVEN = {
+    "currency": ([row("a")], [nulls(currency=None)]),
+    "both currencies": ([nulls(currency=None)], [nulls(currency=None)]),
+    "gross": ([row("a")], [nulls(gross=None)]),
+    "both gross and net": ([nulls(gross=None, net=None)], [nulls(gross=None, net=None)]),
+    "a deduction": ([row("a")], [nulls(deductions={"tax": D(100), "commission": None})]),
+    "all deductions": ([row("a")], [nulls(deductions=None)]),
+}
+
+
+def test_nothing_unproven_matches(spark):
+    for name, (left, right) in UNPROVEN.items():
+        got = R.reconcile(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA))
+        assert [r.status for r in got.collect()] == ["review"], name
+    without = nulls(deductions=None, net=D(1000))
+    assert [r.status for r in R.reconcile(spark.createDataFrame([without], SCHEMA), spark.createDataFrame([nulls(deductions={}, net=D(1000))], SCHEMA)).collect()] == ["matched"]
+    blind = spark.createDataFrame([("k", "matched", [(None,)]), ("l", "matched", None), ("m", "matched", [(True,)])], "key string, status string, discrepancies array<struct<within_tolerance:boolean>>")
+    assert {r.key for r in R.false_matched(blind).collect()} == {"k", "l"}
+
+
+def test_null_keys_match_nothing_and_names_do_not_clash(spark):
+    one = spark.createDataFrame([nulls(key=None)], SCHEMA)
+    assert [r.status for r in R.reconcile(one, one).collect()] == ["missing", "missing"]
+    odd = lambda x: spark.createDataFrame([nulls(deductions={"gross": D(x), "net": D(1)}, net=D(999) - D(x))], SCHEMA)
+    assert [r.status for r in R.reconcile(odd(5), odd(5)).collect()] == ["matched"]
+    assert [r.status for r in R.reconcile(odd(5), odd(6)).collect()] == ["mismatch"]
+
+
 def test_each_status(spark):
     for name, (left, right, status, rule) in CASES.items():
         got = R.reconcile(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)).collect()
