@@ -1,7 +1,7 @@
 """Statement rows to canonical rows with lineage, or to quarantine with a reason.
 
-Input: rows of sources.grid (content_hash, sheet, spreadsheet_row, headers, cells) and a mapping header -> field. All of it is
-one projection: no shuffle, no Python.
+Input: rows of sources.grid (content_hash, sheet, spreadsheet_row, headers, cells) and a mapping header -> field, of one
+layout or, in a column, of each row's own. All of it is one projection: no shuffle, no Python.
 """
 
 from __future__ import annotations
@@ -12,69 +12,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.adapters import DEDUCTION, GROSS, KEY, NET, PERIOD, Family
-from tallyframe.functions.money import DOT, MONEY, is_amount, parse_amount, strip
+from tallyframe.functions.money import COMMA, DOT, MONEY, parse_amount, plain, plain_amount, plain_is_amount, strip
 from tallyframe.functions.period import normalise_period
 from tallyframe.sources.grid import cell
 
 
 @dataclass(frozen=True)
 class Profile:
-    """What a sender declares of its files; none of it is guessed from values."""
+    """What a sender declares of its files; none of it is guessed from values. What is None is declared by each row, in a
+    column of that name: rows of many senders are read in one plan."""
 
     sender: str
-    currency: str
-    convention: str = DOT
-    day_first: bool = True
+    currency: str | None
+    convention: str | None = DOT
+    day_first: bool | None = True
     mapping_version: int = 1
 
 
-def lineage(profile: Profile, header: str, raw: Column) -> Column:
-    at = F.struct(F.col("sheet").alias("sheet"), F.col("spreadsheet_row").cast("int").alias("row"), F.lit(header).alias("column"))
+def lineage(profile: Profile, header: Column, raw: Column) -> Column:
+    at = F.struct(F.col("sheet").alias("sheet"), F.col("spreadsheet_row").cast("int").alias("row"), header.alias("column"))
     return F.struct(F.col("content_hash").alias("source_content_hash"), at.alias("cell"), F.lit(profile.mapping_version).alias("mapping_version"), raw.alias("raw_value"))
 
 
-def canonicalise(rows: DataFrame, mapping: dict[str, str], family: Family, profile: Profile) -> DataFrame:
+def canonicalise(rows: DataFrame, mapping: dict[str, str] | None, family: Family, profile: Profile) -> DataFrame:
     """All rows with a non-blank mapped cell: key, currency, period, gross, deductions, net, attributes (each value with its
     lineage), and quarantine_reason and quarantine_raw, null for canonical rows.
 
-    Checks in order: period, key, gross unreadable, gross empty, deductions, net, an amount too large to store. Blank optional
-    money is null, never zero. Of headers mapped to one field the last one counts.
+    mapping: header -> field; of headers mapped to one field the last one counts. None: each row's own, in a column `mapping`
+    (MAP field -> header). Checks in order: period, key, gross unreadable, gross empty, deductions, net, an amount too large
+    to store. Blank optional money is null, never zero.
     """
-    by_field = {field: header for header, field in mapping.items()}
+    if mapping is None:
+        header = {f.name: F.col("mapping")[f.name] for f in family.fields}
+    else:
+        header = {f: F.lit(h) for h, f in mapping.items()}
 
     def first(role: str) -> str | None:
         return next(iter(family.of_role(role)), None)
 
     key, period, gross, net = (first(r) for r in (KEY, PERIOD, GROSS, NET))
-    money = [gross, *[d for d in family.of_role(DEDUCTION) if d in by_field], *([net] if net in by_field else [])]
-    # one column for each cell, then for what is read in it; inline() keeps filters on the outcome from repeating the reading
-    cells = rows.select("content_hash", "sheet", "spreadsheet_row", *[cell(h).alias(f"_{f}") for f, h in by_field.items()])
-    raw = {f: F.col(f"_{f}") for f in by_field}
+    money = [gross, *[d for d in family.of_role(DEDUCTION) if d in header], *([net] if net in header else [])]
+    # one column for each cell, for what is left of an amount without its dress, and for what is read in it; inline() keeps
+    # filters on the outcome from repeating the reading
+    currency = F.lit(profile.currency) if profile.currency else F.col("currency")
+    declared = [name for name, own in (("convention", profile.convention), ("day_first", profile.day_first)) if own is None]
+    by_convention = lambda read: read(profile.convention) if profile.convention else F.when(F.col("convention") == DOT, read(DOT)).when(F.col("convention") == COMMA, read(COMMA))
+    month_of = lambda raw: normalise_period(raw, profile.day_first) if profile.day_first is not None else F.when(F.col("day_first"), normalise_period(raw, True)).otherwise(normalise_period(raw, False))
+    cells = rows.select("content_hash", "sheet", "spreadsheet_row", currency.alias("currency"), *declared, *[cell(h).alias(f"_{f}") for f, h in header.items()], *[h.alias(f"at_{f}") for f, h in header.items()])
+    header, raw = {f: F.col(f"at_{f}") for f in header}, {f: F.col(f"_{f}") for f in header}
     present = cells.where(F.concat_ws("", *raw.values()) != "")
     absent = F.lit("")
+    bare = present.select("*", F.inline(F.array(F.struct(*[plain(raw.get(f, absent)).alias(f"plain_{f}") for f in money]))))
     reading = (
-        normalise_period(raw.get(period, absent), profile.day_first).alias("month"),
-        *[parse_amount(raw.get(f, absent), profile.convention).alias(f"amount_{f}") for f in money],
-        *[is_amount(raw.get(f, absent), profile.convention).alias(f"reads_{f}") for f in money],
+        month_of(raw.get(period, absent)).alias("month"),
+        *[by_convention(lambda c, f=f: plain_amount(F.col(f"plain_{f}"), c)).alias(f"amount_{f}") for f in money],
+        *[F.coalesce(by_convention(lambda c, f=f: plain_is_amount(F.col(f"plain_{f}"), c)), F.lit(False)).alias(f"reads_{f}") for f in money],
         *[(strip(raw.get(f, absent)) == "").alias(f"empty_{f}") for f in (*money, key)],
     )
-    read = present.select("*", F.inline(F.array(F.struct(*reading))))
+    read = bare.select("*", F.inline(F.array(F.struct(*reading))))
     month, amount = F.col("month"), {f: F.col(f"amount_{f}") for f in money}
     empty, unreadable = {f: F.col(f"empty_{f}") for f in (*money, key)}, {f: ~F.col(f"empty_{f}") & ~F.col(f"reads_{f}") for f in money}
 
     def tracked(field: str, value: Column) -> Column:
-        return F.struct(value.alias("value"), lineage(profile, by_field.get(field, ""), raw.get(field, absent)).alias("lineage"))
+        return F.struct(value.alias("value"), lineage(profile, header.get(field, absent), raw.get(field, absent)).alias("lineage"))
 
-    reason, at_fault = F.when(month.isNull(), F.lit(f"{period}: not a date, {'day' if profile.day_first else 'month'} first")), F.when(month.isNull(), raw.get(period, absent))
+    reason, at_fault = F.when(month.isNull(), F.concat(F.lit(f"{period}: not a date, "), F.when(F.lit(profile.day_first) if profile.day_first is not None else F.col("day_first"), "day").otherwise("month"), F.lit(" first"))), F.when(month.isNull(), raw.get(period, absent))
 
-    def held(when: Column, why: str, what: Column) -> None:
+    def held(when: Column, why: str | Column, what: Column) -> None:
         nonlocal reason, at_fault
-        reason, at_fault = reason.when(when, F.lit(why)), at_fault.when(when, what)
+        reason, at_fault = reason.when(when, F.lit(why) if isinstance(why, str) else why), at_fault.when(when, what)
 
     if key in raw:
         held(empty[key], f"{key}: empty, the row has no identity", absent)
     for f in money:
-        held(unreadable[f], f"{f}: not an amount as {profile.convention}", raw.get(f, absent))
+        held(unreadable[f], F.concat(F.lit(f"{f}: not an amount as "), F.lit(profile.convention) if profile.convention else F.col("convention")), raw.get(f, absent))
         if f == gross:
             held(empty[f], f"{f}: empty, nothing to reconcile", absent)
         held(~empty[f] & amount[f].isNull(), f"{f}: too large to store", raw.get(f, absent))
@@ -91,7 +102,7 @@ def canonicalise(rows: DataFrame, mapping: dict[str, str], family: Family, profi
         "sheet",
         "spreadsheet_row",
         family.identity(raw.get(key, F.lit("")), month).alias("key"),
-        F.lit(profile.currency).alias("currency"),
+        "currency",
         month.alias("period"),
         tracked(gross, amount[gross].cast(MONEY)).alias("gross"),
         entries(deductions, f"map<string,struct<value:{MONEY},lineage:{where}>>").alias("deductions"),

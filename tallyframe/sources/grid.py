@@ -44,13 +44,15 @@ def _column(reference: str) -> int:
 
 
 def xlsx_records(content: bytes, sheet: str | None = None) -> tuple[str, list[tuple[int, list[str]]]]:
-    """The named or the first sheet's name, and (number, cells) of its records with a non-blank cell; values, not formulas."""
+    """The named sheet's name, an error if it is absent, or the first one's, and (number, cells) of its records with a non-blank cell; values, not formulas."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         read = lambda name: ElementTree.fromstring(book.read(name))
         shared = [] if "xl/sharedStrings.xml" not in book.namelist() else ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in read("xl/sharedStrings.xml")]
         targets = {r.get("Id"): r.get("Target") for r in read("xl/_rels/workbook.xml.rels")}
         sheets = [(s.get("name"), targets[s.get(f"{_REL}id")]) for s in read("xl/workbook.xml").iter(f"{_MAIN}sheet")]
-        name, target = next((s for s in sheets if s[0] == sheet), sheets[0])
+        name, target = sheets[0] if sheet is None else next((s for s in sheets if s[0] == sheet), (sheet, None))
+        if target is None:
+            raise ValueError(f"no sheet is named {sheet!r}")
         out = []
         for n, row in enumerate(read("xl/" + target.removeprefix("/xl/")).iter(f"{_MAIN}row"), 1):
             cells: list[str] = []
@@ -72,9 +74,16 @@ def read_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataF
     """One row for each data record of each file under path: the file's hash, sheet, headers and cells.
 
     The first record is the header; row_index counts data records from 0 and spreadsheet_row is header row + 1 + row_index.
-    Short records are padded with empty cells.
+    Short records are padded with empty cells. The sheet of a CSV file is its name without the ending. A file is read in one
+    task and is at most 2 GB, the limit of a binary value.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("content_hash"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return rows_of(files, sheet)
+
+
+def rows_of(files: DataFrame, sheet: str | None = None) -> DataFrame:
+    """read_rows() of files (path, content) that are there as bytes, such as those of a stream's batch."""
+    files = files.select("path", F.sha2("content", 256).alias("content_hash"), "content")
 
     def run(batches):
         for batch in batches:
@@ -82,7 +91,7 @@ def read_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataF
                 if p.lower().endswith((".xlsx", ".xlsm")):
                     name, records = xlsx_records(content, sheet)
                 else:
-                    name, records = "csv", csv_records(content)
+                    name, records = p.rsplit("/", 1)[-1].rsplit(".", 1)[0], csv_records(content)
                 if not records:
                     continue
                 (_, headers), data = records[0], records[1:]
@@ -99,15 +108,13 @@ def read_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataF
 
 
 def to_cells(rows: DataFrame) -> DataFrame:
-    """Long form: a row for each cell under a header; of equal headers, each has its own column index."""
+    """Long form: a row for each cell under a header; of equal headers the first column counts, as in cell()."""
     zipped = F.arrays_zip(F.col("headers").alias("header"), F.slice("cells", F.lit(1), F.size("headers")).alias("raw"))
-    return rows.select("content_hash", "sheet", "row_index", "spreadsheet_row", F.posexplode(zipped).alias("col_index", "c")).select("content_hash", "sheet", "row_index", "spreadsheet_row", "col_index", "c.header", F.coalesce("c.raw", F.lit("")).alias("raw"))
+    numbered = F.transform(zipped, lambda c, i: F.struct(i.alias("col_index"), c["header"].alias("header"), F.coalesce(c["raw"], F.lit("")).alias("raw")))
+    first = F.filter(numbered, lambda c: F.array_position("headers", c["header"]) == c["col_index"] + 1)
+    return rows.select("content_hash", "sheet", "row_index", "spreadsheet_row", F.inline(first))
 
 
 def cell(header: str):
     """The cell under the first column with a header; empty if there is none or the record is short."""
     return F.coalesce(F.get("cells", F.array_position("headers", header).cast("int") - 1), F.lit(""))
-
-
-def content_hashes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("content_hash"))
