@@ -1,12 +1,14 @@
 """Ledger tables on a shared folder: idempotent ingest, repeated keys held, mapping contracts, audit.
 
-A file's ledger and quarantine rows are written as one partition folder of their tables, named by the content hash, and the row
-of `ingested_file` is written last: readers join on it, so rows of an ingest that broke off are invisible, and ingesting the
-file again overwrites them. Writers of one folder are assumed to be one at a time; a file system gives no primary key.
+Any number of files is ingested in one plan: those whose hash is known are taken out by one anti-join, the ledger and quarantine
+rows of all others are appended with the name of the ingest, and their rows of `ingested_file` are written last, in one write.
+Readers join on file and ingest, so rows of an ingest that broke off are invisible, and ingesting its files again is right.
+Writers of one folder are assumed to be one at a time; a file system gives no primary key.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -18,19 +20,21 @@ from tallyframe.functions.text import mapping_digest
 
 _LINEAGE = "array<struct<source_content_hash:string,cell:struct<sheet:string,row:int,column:string>,mapping_version:int,raw_value:string>>"
 SCHEMAS = {
-    "ingested_file": "content_hash string, sender string, filename string, family string, mapping_version int, period string, row_count long, quarantined_count long, status string, ingested_at timestamp, object_key string",
+    "ingested_file": "content_hash string, sender string, filename string, family string, mapping_version int, period string, row_count long, quarantined_count long, status string, ingested_at timestamp, object_key string, ingest string",
     "mapping_contract": "sender string, version int, family string, columns map<string,string>, confirmed_by string, confirmed_at timestamp, digest string",
-    "ledger_row": f"source_content_hash string, mapping_version int, key string, period string, currency string, gross {MONEY}, deductions map<string,{MONEY}>, net {MONEY}, attributes map<string,string>, lineage {_LINEAGE}, spreadsheet_row long",
-    "quarantine": "source_content_hash string, spreadsheet_row long, reason string, raw_value string, resolved_at timestamp, resolved_by string",
+    "ledger_row": f"source_content_hash string, mapping_version int, key string, period string, currency string, gross {MONEY}, deductions map<string,{MONEY}>, net {MONEY}, attributes map<string,string>, lineage {_LINEAGE}, spreadsheet_row long, ingest string",
+    "quarantine": "source_content_hash string, spreadsheet_row long, reason string, raw_value string, resolved_at timestamp, resolved_by string, ingest string",
     "audit_event": "at timestamp, event string, actor string, subject string, payload string",
 }
-#: Tables that have a folder for each file.
+#: Tables whose rows are those of files.
 _BY_FILE = ("ledger_row", "quarantine")
 
 
 def split_repeated(rows: DataFrame) -> DataFrame:
-    """rows with `repeats`: how many rows of the file share the key. All rows of a repeated key are held."""
-    return rows.withColumn("repeats", F.count("*").over(Window.partitionBy("key")))
+    """rows with `repeats`: how many rows of the file share the key. All rows of a repeated key are held. Rows of several files
+    have a content_hash."""
+    by = [c for c in ("content_hash",) if c in rows.columns]
+    return rows.withColumn("repeats", F.count("*").over(Window.partitionBy(*by, "key")))
 
 
 def money_json(deductions):
@@ -43,44 +47,82 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        """A table's rows; those of files whose ingest did not end are not among them."""
+        """A table's rows; those of files whose ingest did not end are not among them. A table that was never written is empty."""
         try:
-            df = self.spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", "true").parquet(f"{self.root}/{name}")
-        except AnalysisException:
+            df = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], SCHEMAS[name])
         if name in _BY_FILE:
-            done = self.table("ingested_file").select(F.col("content_hash").alias("source_content_hash"))
-            df = df.join(done, "source_content_hash", "left_semi")
+            done = self.table("ingested_file").select(F.col("content_hash").alias("source_content_hash"), "mapping_version", "ingest")
+            on = ["source_content_hash", "ingest"] + ["mapping_version"] * (name == "ledger_row")
+            df = df.join(done, on, "left_semi").select(*df.columns)
         return df
 
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Add rows, which have the table's columns, to a table."""
+        rows.select(*[F.col(c.split()[0]) for c in self._columns(name)]).write.mode("append").parquet(f"{self.root}/{name}")
+
+    def _columns(self, name: str) -> list[str]:
+        return self.spark.createDataFrame([], SCHEMAS[name]).columns
+
     def _append(self, name: str, rows: list[tuple]) -> None:
         self.spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
 
     def audit(self, event: str, actor: str, subject: str, payload: str = "{}") -> None:
         self._append("audit_event", [(datetime.now(timezone.utc), event, actor, subject, payload)])
 
-    def ingest(self, content_hash: str, tagged: DataFrame, sender: str, filename: str, family: str, mapping_version: int = 1, actor: str = "pipeline") -> bool:
-        """Store a file's canonical rows and quarantine once: False, and only an audit event, if its bytes are known."""
-        if not self.table("ingested_file").where(F.col("content_hash") == content_hash).isEmpty():
-            self.audit("file_reingested", actor, content_hash)
-            return False
-        tagged = tagged.where(F.col("content_hash") == content_hash)
-        marked = split_repeated(tagged.where("quarantine_reason IS NULL"))
+    def audit_files(self, event: str, actor: str, files: DataFrame, payload=None) -> None:
+        """An audit event for each row of files (content_hash)."""
+        payload = F.lit("{}") if payload is None else payload
+        self.append("audit_event", files.select(F.lit(datetime.now(timezone.utc)).alias("at"), F.lit(event).alias("event"), F.lit(actor).alias("actor"), F.col("content_hash").alias("subject"), payload.alias("payload")))
+
+    def ingest(self, files: DataFrame, tagged: DataFrame, actor: str = "pipeline", replay: bool = False) -> int:
+        """Store the canonical rows and the quarantine of files, each once; the number of files that were new.
+
+        files: content_hash, sender, filename, family, mapping_version, a row for each. tagged: canonicalise() of their rows. A
+        file whose bytes are known is only audited, whatever its name. replay: a known file is stored again under a mapping
+        version that it does not have yet; older versions stay.
+        """
+        files = files.dropDuplicates(["content_hash"])
+        on = ["content_hash", "mapping_version"] if replay else ["content_hash"]
+        done = self.table("ingested_file").select(*on).distinct()
+        new, known = files.join(done, on, "left_anti"), files.join(done, on, "left_semi")
+        self.audit_files("file_reingested", actor, known)
+        if new.isEmpty():
+            return 0
+        ingest, now = uuid.uuid4().hex, datetime.now(timezone.utc)
+        rows = tagged.join(new.select("content_hash", "mapping_version"), "content_hash")
+        marked = split_repeated(rows.where("quarantine_reason IS NULL"))
         where = F.concat(F.array(F.col("gross.lineage")), F.transform(F.map_values("deductions"), lambda x: x["lineage"]), F.when(F.col("net").isNotNull(), F.array(F.col("net.lineage"))).otherwise(F.array().cast(_LINEAGE)), F.transform(F.map_values("attributes"), lambda x: x["lineage"]))
         kept = marked.where("repeats = 1").select(
-            F.col("content_hash").alias("source_content_hash"), F.lit(mapping_version).alias("mapping_version"), "key", "period", "currency", F.col("gross.value").alias("gross"),
-            F.transform_values("deductions", lambda k, v: v["value"]).alias("deductions"), F.col("net.value").alias("net"), F.transform_values("attributes", lambda k, v: v["value"]).alias("attributes"), where.alias("lineage"), "spreadsheet_row",
+            F.col("content_hash").alias("source_content_hash"), "mapping_version", "key", "period", "currency", F.col("gross.value").alias("gross"), F.transform_values("deductions", lambda k, v: v["value"]).alias("deductions"), F.col("net.value").alias("net"),
+            F.transform_values("attributes", lambda k, v: v["value"]).alias("attributes"), where.alias("lineage"), "spreadsheet_row", F.lit(ingest).alias("ingest"),
         )
         held = marked.where("repeats > 1").select("content_hash", "spreadsheet_row", F.concat(F.col("repeats").cast("string"), F.lit(" rows of this file have the key "), F.col("key")).alias("reason"), F.col("key").alias("raw_value"))
-        refused = tagged.where("quarantine_reason IS NOT NULL").select("content_hash", "spreadsheet_row", F.col("quarantine_reason").alias("reason"), F.col("quarantine_raw").alias("raw_value"))
-        waiting = held.unionByName(refused).withColumnRenamed("content_hash", "source_content_hash").withColumns({"resolved_at": F.lit(None).cast("timestamp"), "resolved_by": F.lit(None).cast("string")})
-        for name, rows in (("ledger_row", kept), ("quarantine", waiting)):
-            rows.write.mode("overwrite").parquet(f"{self.root}/{name}/file={content_hash}")
-        written = self.spark.read.schema(SCHEMAS["ledger_row"]).parquet(f"{self.root}/ledger_row/file={content_hash}").agg(F.count("*"), F.min("period")).first()
-        n = self.spark.read.schema(SCHEMAS["quarantine"]).parquet(f"{self.root}/quarantine/file={content_hash}").count()
-        self.audit("file_ingested", actor, content_hash, f'{{"quarantined": {n}, "rows": {written[0]}}}')
-        self._append("ingested_file", [(content_hash, sender, filename, family, mapping_version, written[1], written[0], n, "ingested", datetime.now(timezone.utc), None)])
-        return True
+        refused = rows.where("quarantine_reason IS NOT NULL").select("content_hash", "spreadsheet_row", F.col("quarantine_reason").alias("reason"), F.col("quarantine_raw").alias("raw_value"))
+        waiting = held.unionByName(refused).withColumnRenamed("content_hash", "source_content_hash").withColumns({"resolved_at": F.lit(None).cast("timestamp"), "resolved_by": F.lit(None).cast("string"), "ingest": F.lit(ingest)})
+        self.append("ledger_row", kept)
+        self.append("quarantine", waiting)
+        written, put_off = (self.spark.read.schema(SCHEMAS[t]).parquet(f"{self.root}/{t}").where(F.col("ingest") == ingest).withColumnRenamed("source_content_hash", "content_hash").groupBy("content_hash") for t in _BY_FILE)
+        counted = new.join(written.agg(F.count("*").alias("row_count"), F.min("period").alias("period")), "content_hash", "left").join(put_off.agg(F.count("*").alias("quarantined_count")), "content_hash", "left")
+        counted = counted.withColumns({"row_count": F.coalesce("row_count", F.lit(0)), "quarantined_count": F.coalesce("quarantined_count", F.lit(0)), "status": F.lit("ingested"), "ingested_at": F.lit(now), "object_key": F.lit(None).cast("string"), "ingest": F.lit(ingest)})
+        self.append("ingested_file", counted)  # the commit
+        stored = self.spark.read.schema(SCHEMAS["ingested_file"]).parquet(f"{self.root}/ingested_file").where(F.col("ingest") == ingest)
+        self.audit_files("file_ingested", actor, stored, F.to_json(F.struct(F.col("quarantined_count").alias("quarantined"), F.col("row_count").alias("rows"))))
+        return stored.count()
+
+    def reset(self) -> None:
+        """Every table without rows, as for tests."""
+        for name, schema in SCHEMAS.items():
+            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.root}/{name}")
+
+    def round_trip(self, amount) -> bool:
+        """Whether an exact amount comes back as it was written, to the last of its four decimals."""
+        path = f"{self.root}/round_trip"
+        self.spark.createDataFrame([(amount,)], f"x {MONEY}").write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path).first()[0] == amount
 
     def confirm(self, sender: str, version: int, family: str, columns: dict[str, str], by: str) -> bool:
         """Record a mapping contract; False if this version of the sender's is there already."""

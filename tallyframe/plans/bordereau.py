@@ -1,4 +1,4 @@
-"""One file against a ledger, from bytes to statuses."""
+"""Files against a ledger, from bytes to statuses: any number of files of one family in one plan."""
 
 from __future__ import annotations
 
@@ -16,25 +16,25 @@ from tallyframe.sources import grid
 
 @dataclass
 class Run:
-    mapping: mapping.Outcome
-    tagged: DataFrame | None  # None if the file abstained
-    results: DataFrame | None
+    outcomes: DataFrame  # mapping.assign() of each file
+    tagged: DataFrame  # rows of the files that could be mapped, canonical or with a reason
+    results: DataFrame
 
 
-def profiles_of(rows: DataFrame) -> tuple[list[str], dict[str, dict]]:
-    """The headers of a file and their profiles: as many rows as the file has columns."""
-    headers = rows.select("headers").first()
-    found = profile.profile_columns(grid.to_cells(rows)).collect()
-    return list(headers[0]) if headers else [], {r["header"]: r.asDict() for r in found}
+def outcomes_of(rows: DataFrame, family: Family) -> DataFrame:
+    """The mapping of each file, of those without data rows too."""
+    return mapping.propose(mapping.headers_of(rows), profile.profile_columns(grid.to_cells(rows)), family)
 
 
-def run_file(spark: SparkSession, path: str, family: Family, sender: canonical.Profile, ledger: DataFrame, tolerance: Tolerance = EXACT, sheet: str | None = None) -> Run:
-    """Read, profile, map, canonicalise and reconcile; a file whose required fields have no column abstains."""
+def tag(rows: DataFrame, outcomes: DataFrame, family: Family, sender: canonical.Profile) -> DataFrame:
+    """Rows of mappable files with the file's own mapping, canonicalised; a file whose required fields have no column abstains."""
+    own = outcomes.where("mappable").select("content_hash", "mapping")
+    return canonical.canonicalise(rows.join(own, "content_hash"), None, family, sender)
+
+
+def run_files(spark: SparkSession, path: str, family: Family, sender: canonical.Profile, ledger: DataFrame, tolerance: Tolerance = EXACT, sheet: str | None = None) -> Run:
+    """Read, profile, map, canonicalise and reconcile every file under path."""
     rows = grid.read_rows(spark, path, sheet)
-    headers, profiles = profiles_of(rows)
-    outcome = mapping.propose(headers, profiles, family)
-    if not outcome.mappable:
-        return Run(outcome, None, None)
-    tagged = canonical.canonicalise(rows, outcome.columns, family, sender)
-    statement = canonical.flat(canonical.accepted(tagged))
-    return Run(outcome, tagged, reconcile(statement, ledger, tolerance).orderBy(F.col("key")))
+    outcomes = outcomes_of(rows, family)
+    tagged = tag(rows, outcomes, family, sender)
+    return Run(outcomes, tagged, reconcile(canonical.flat(canonical.accepted(tagged)), ledger, tolerance).orderBy(F.col("key")))

@@ -1,4 +1,4 @@
-"""Files as they arrive: a binary-file stream whose batches go through the batch pipeline and the store's own check of hashes."""
+"""Files as they arrive: a binary-file stream whose micro-batches go through the batch pipeline, all files of one in one plan."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyframe.adapters import Family
-from tallyframe.operators import canonical, mapping
+from tallyframe.operators import canonical
 from tallyframe.operators.store import Store
-from tallyframe.plans.bordereau import profiles_of
+from tallyframe.plans.bordereau import outcomes_of, tag
 from tallyframe.sources import grid
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
@@ -21,13 +21,16 @@ def ingest_arrivals(spark: SparkSession, folder: str, checkpoint: str, store: St
     files = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", pattern).load(folder)
 
     def take(batch: DataFrame, _: int) -> None:
-        for r in batch.select("path", F.sha2("content", 256).alias("content_hash")).collect():  # names and hashes of new files
-            rows = grid.read_rows(spark, r["path"])
-            headers, profiles = profiles_of(rows)
-            outcome = mapping.propose(headers, profiles, family)
-            if outcome.mappable:
-                store.ingest(r["content_hash"], canonical.canonicalise(rows, outcome.columns, family, sender), sender.sender, r["path"].rpartition("/")[2], family.name, sender.mapping_version)
-            else:
-                store.audit("file_abstained", "stream", r["content_hash"])
+        # a file that is there twice in a batch is read once
+        named = batch.select(F.sha2("content", 256).alias("content_hash"), F.element_at(F.split("path", "/"), -1).alias("filename"), "path", "content")
+        once = named.groupBy("content_hash").agg(F.min_by(F.struct("filename", "path", "content"), "path").alias("f")).select("content_hash", "f.*")
+        rows = grid.rows_of(once.select("path", "content"))
+        outcomes = outcomes_of(rows, family)
+        described = once.drop("path", "content").withColumns({"sender": F.lit(sender.sender), "family": F.lit(family.name), "mapping_version": F.lit(sender.mapping_version)})
+        mapped = outcomes.where("mappable").select("content_hash")
+        again = named.groupBy("content_hash").agg((F.count("*") - 1).alias("n")).where("n > 0").select("content_hash", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+        store.ingest(described.join(mapped, "content_hash", "left_semi"), tag(rows, outcomes, family, sender), "stream")
+        store.audit_files("file_reingested", "stream", again)
+        store.audit_files("file_abstained", "stream", described.join(mapped, "content_hash", "left_anti"))
 
     return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

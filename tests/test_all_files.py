@@ -1,25 +1,13 @@
-"""The registered mapping covers every file."""
+"""The registered profiles and mappings cover every file and every column with a value."""
 
-from tallyframe.adapters import get_family
-from tallyframe.operators import mapping, profile
 from tallyframe.plans import queries, statements
-from tallyframe.sources import grid
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-def test_every_file_is_mapped(spark):
-    got: dict[str, dict[str, str]] = {}
-    for r in queries.mapping_system(spark, FOLDER).collect():
-        got.setdefault(r["content_hash"], {})[r["header"]] = r["field"]
-    profiles: dict[str, dict[str, dict]] = {}
-    for r in profile.profile_columns(grid.to_cells(statements.file_rows(spark, FOLDER))).collect():
-        profiles.setdefault(r["content_hash"], {})[r["header"]] = r.asDict()
-    assert len(profiles) > 1
-    assert got == {k: mapping.propose(list(statements.HEADERS), p, get_family("insurance")).columns for k, p in profiles.items()}
-
-
-def test_every_column_with_values_is_profiled(spark):
-    rows = queries.QUERIES["profile_all_columns"](spark, FOLDER).collect()
+def test_every_column_of_every_file_is_profiled_and_every_file_mapped(spark):
     files = {r["content_hash"] for r in statements.file_rows(spark, FOLDER).select("content_hash").distinct().collect()}
+    assert len(files) > 1
+    rows = queries.QUERIES["profile_columns"](spark, FOLDER).collect()
     assert {(r["content_hash"], r["header"]) for r in rows} == {(f, h) for f in files for h in statements.HEADERS if h != "Note"}  # notes are blank
+    assert {r["content_hash"] for r in queries.mapping_system(spark, FOLDER).collect()} == files
