@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.money import COMMA, MONEY, format_amount
 from tallyframe.functions.text import identity
 
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each line: ref, period, key, amounts to the cent, b (which decides what is planted) and an ordinal."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -20,12 +21,12 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"net": (F.col("gross") - F.col("discount") - F.col("tax")).cast("decimal(18,2)"), "key": identity(F.col("ref"), F.col("period")), "ordinal": F.struct("l_partkey", "l_suppkey", "gross", "l_quantity")})
 
 
-def _sides(rows: DataFrame) -> DataFrame:
+def sides(rows: DataFrame) -> DataFrame:
     return rows.select("key", "ref", "period", "currency", F.col("gross").cast(MONEY).alias("gross"), F.create_map(F.lit("discount"), F.col("discount").cast(MONEY), F.lit("tax"), F.col("tax").cast(MONEY)).alias("deductions"), F.col("net").cast(MONEY).alias("net"), "ordinal", "l_suppkey")
 
 
 def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sides(base(spark, sf_dir).where("b <> 4"))
+    return sides(base(spark, sf_dir).where("b <> 4"))
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "net": F.expr("CASE b WHEN 0 THEN net + 0.01 WHEN 1 THEN net + 123.45 WHEN 2 THEN net - 5 WHEN 6 THEN NULL ELSE net END"),
         "currency": F.expr("CASE b WHEN 7 THEN 'EUR' ELSE currency END"),
     })
-    return _sides(changed)
+    return sides(changed)
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
