@@ -74,7 +74,8 @@ def format_turns(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     mask, null if none), attachments and n_placeholder_tokens.
 
     parts: a column of PART arrays; a turn whose parts are null has its text as the only part. Null roles and texts are
-    empty. Placeholders are numbered inside a turn. Repeated rows are turns of their own; an empty table gives no rows.
+    empty. Placeholders are numbered inside a turn. Repeated rows are turns of their own, very long texts are formatted whole;
+    an empty table gives no rows. Other columns are left out.
     """
     columns = [F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")]
     source = turns.select(*columns, (F.col(parts) if parts else F.lit(None)).cast(f"array<{PART}>").alias("parts"))

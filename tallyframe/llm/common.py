@@ -63,14 +63,20 @@ def extended(df: DataFrame, **added: str) -> str:
     return ", ".join(own + [f"{name} {kind}" for name, kind in added.items()])
 
 
-#: Keys that may be broadcast, by count.
-BROADCAST_KEYS = 500_000
+#: Keys that may be broadcast: their number, and their bytes as text.
+BROADCAST_KEYS, BROADCAST_BYTES = 500_000, 8 << 20
+
+
+def are_few(keys: DataFrame, key: str) -> bool:
+    """Whether keys are few and small enough to be sent to every executor; they are read once for that."""
+    n, size = keys.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0))).first()
+    return n <= BROADCAST_KEYS and size <= BROADCAST_BYTES
 
 
 def lacking(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of df whose key is not in keys (one column of that name). keys should be cheap to read twice: they are counted,
-    and broadcast if they are few; else both sides are shuffled."""
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, "left_anti")
+    """Rows of df whose key is not in keys (one column of that name); a null key is in no keys. keys should be cheap to read
+    twice: they are measured, and broadcast if they are few; else both sides are shuffled."""
+    return df.join(F.broadcast(keys) if are_few(keys, key) else keys, key, "left_anti")
 
 
 #: Bytes of an Arrow batch between Spark and a Python worker. Spark's own limit of 64 MB for each direction of each task, in

@@ -26,10 +26,12 @@ WINDOW = 1024
 
 
 def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample: int = 400, piece: int = 512, size: int = 48 << 10, most: int = 1000) -> dict[str, bytes]:
-    """language -> dictionary content of at most `size` bytes, from about `sample` texts of each language, chosen by a hash
-    of the key, and from each a piece of at most `piece` bytes at a place that depends on the text.
+    """language -> dictionary content of at most `size` bytes: the first of the pieces, in a fixed shuffle, of about `sample`
+    texts of each language. Texts are chosen by a hash of key and text, equal rows once, and give a piece of at most `piece`
+    bytes each, at a place that depends on the text.
 
-    Rows with a null text or language, and texts without letters, teach nothing. More than `most` languages is an error.
+    Rows with a null text or language, and texts without letters, teach nothing. More than `most` languages is an error. The
+    sample is at most four times as large as named, whatever keys and texts repeat.
     """
     rows = labelled.select(F.col(language).alias("language"), F.col(text).alias("text"), F.col(key).alias("key")).where("language IS NOT NULL AND text IS NOT NULL")
     counts = rows.groupBy("language").count().limit(most + 1).collect()
@@ -38,8 +40,9 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: st
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["language"], min(1.0, sample / r["count"]))])
-    unit = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(unit < share[F.col("language")]).select("language", "text")
+    hashed = rows.withColumn("hash", F.xxhash64("key", "text"))
+    unit = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
+    chosen = hashed.where(unit < share[F.col("language")]).dropDuplicates(["language", "hash"]).limit(4 * sample * len(counts)).select("language", "text")
 
     def pieces(batches):
         for batch in (part for whole in batches for part in slices(whole, "text")):
@@ -84,8 +87,9 @@ def identify(docs: DataFrame, contents: dict[str, bytes], text: str = "text", na
     """docs with lang_pred, score (0 to 1), margin (of the best sum to the second) and rejected (a margin below `narrow`).
 
     Null and empty texts and texts without a letter are `und`, score 0, rejected; so is every text if nothing was learnt.
-    Equal sums go to the name that sorts first, with margin 0. Columns with the added names, in any letter case, are
-    replaced.
+    Equal sums go to the name that sorts first, with margin 0. Very long texts are read whole; rows that repeat get the same
+    answer each; an empty table gives an empty one. Columns with the added names, in any letter case, are replaced, others
+    stay.
     """
     base = without(docs, list(ADDED))
     model = docs.sparkSession.sparkContext.broadcast(tuple(sorted(contents.items())))

@@ -3,7 +3,7 @@
 1. A document's words give a set of shingles, the set a signature of `coordinates` minima. Documents with equal sets form a
    class, and one stands for it from here on: copies are never expanded.
 2. A document is posted under its (coordinate, value) pairs. Values that one document alone has cannot collide. Two sets of
-   Jaccard similarity 0.8 agree in at least `least` of 40 coordinates but for a chance of 5e-9, so, with a document's values in
+   Jaccard similarity 0.8 agree in at least `least` of 40 coordinates but for a chance of 2e-10, so, with a document's values in
    order of how many documents share them, all but the last least - 1 of its shared values (the prefix) must hold a common
    value of any pair: only the prefix is posted, and the values that very many documents share are mostly skipped.
 3. Long lists are not expanded into all pairs. Their members are first compared with a few pivots, and confirmed links join
@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import reduce
 
 import numpy as np
@@ -24,16 +25,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import BROADCAST_KEYS, in_arrow, lacking, materialize, numbered, slices
+from tallyframe.llm.common import are_few, in_arrow, lacking, materialize, numbered, slices
 from tallyframe.llm.components import components
 
-COORDINATES, LEAST = 40, 14
+COORDINATES = 40
+#: The chance with which a pair at the limit of similarity may collide in too few coordinates.
+MISS = 2e-10
 #: Lists up to this length have all their pairs compared; longer ones are first compared with about so many pivots.
 SHORT_LIST, PIVOTS = 32, 8
 #: A block of a long list holds sets of about so many shingles together; a member counts for some more than its own.
 CELL_COST, MEMBER_COST = 1_000_000, 100
 
 
+def collisions(percent: int, coordinates: int = COORDINATES) -> int:
+    """In how many coordinates, at least, two sets of Jaccard similarity percent / 100 agree, but for a chance of MISS: 14 of
+    40 for 80. An error if that is fewer than two, as then nothing could be told from the coordinates."""
+    least, missed, p = 0, 0.0, percent / 100
+    while least < coordinates and (missed := missed + math.comb(coordinates, least) * p**least * (1 - p) ** (coordinates - least)) <= MISS:
+        least += 1
+    if least < 2:
+        raise ValueError(f"{coordinates} coordinates cannot find pairs of similarity {p}; take more")
+    return least
+
+
 def _random(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, n, np.uint64)
 
@@ -129,8 +143,7 @@ def _sets(docs: DataFrame, text: str, key: str, size: int, wanted: DataFrame) ->
             for part, texts in _texts(batch, text):
                 yield pa.RecordBatch.from_pydict({"rep": part.column(key), "shingles": pa.array([_signed(s) for s in shingles(texts, size)], pa.list_(pa.int64()))})
 
-    few = wanted.count() <= BROADCAST_KEYS
-    chosen = docs.select(key, text).join(F.broadcast(wanted) if few else wanted, F.col(key) == F.col("rep"), "left_semi")
+    chosen = docs.select(key, text).join(F.broadcast(wanted) if are_few(wanted, "rep") else wanted, F.col(key) == F.col("rep"), "left_semi")
     return in_arrow(chosen, run, f"rep {kind}, shingles array<long>")
 
 
@@ -246,14 +259,16 @@ def links(docs: DataFrame, text: str, key: str, size: int, percent: int, reps: D
     return grouped if more.isEmpty() else components(found.union(more))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, coordinates: int = COORDINATES, least: int = LEAST) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
     """One row for each row of docs: key, n_shingles, component_id (the smallest key that links reach) and kept (key =
     component_id).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets. Null, empty and blank
     texts have empty sets, are linked with nothing and are kept. Rows that repeat a key count as one document. A null key
-    is kept, with a null component_id. Other columns of docs do not matter.
+    is kept, with a null component_id. Other columns of docs do not matter. An empty table gives an empty one. Lower
+    similarities need more coordinates; an error says so.
     """
+    least = collisions(percent, coordinates)
     feats = materialize(features(docs, text, key, size, coordinates), "features")
     full = feats.where("n_shingles > 0 AND key IS NOT NULL")
     classes = full.groupBy("set_a", "set_b").agg(F.min("key").alias("rep"))

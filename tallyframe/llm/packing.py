@@ -128,8 +128,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key:
 
     tokenizer: the path of a tokenizer file that every executor can read. A null or empty text has the end id alone. Every
     id lies in one piece. Sequences hold `capacity` ids or a power of two, except those that were filled from a full window
-    without reaching capacity. Repeated rows are packed as documents of their own. window: remainders that wait at most.
+    without reaching capacity. Repeated rows are packed as documents of their own; an empty table gives an empty one. Other columns of docs are left out; the key must not be named like one of the columns that are added. window: remainders that wait at most.
     """
+    if key.lower() in (x.split()[0] for x in SCHEMA.split(", ")):
+        raise ValueError(f"the key {key!r} is named like a column of the result; rename it first")
     source = docs.select(F.col(key), F.col(text))
 
     def run(batches):

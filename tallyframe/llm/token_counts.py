@@ -49,7 +49,8 @@ def token_counts(docs: DataFrame, tokenizer: str, fields: list[str], key: str =
 
     tokenizer: the path of a byte-level tokenizer file that every executor can read. section: a pattern after whose matches a
     field is cut; None leaves fields whole. A separator, as a section's end, belongs to the section before it. Null and
-    empty fields are sections of no character. Repeated rows are counted each.
+    empty fields are sections of no character. Repeated rows are counted each, very long texts whole; an empty table gives an
+    empty one. Columns that are not fields are left out.
     """
     cut = re.compile(section) if section else None
     source = docs.select(F.col(key), *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"_{i}") for i, f in enumerate(fields)])
