@@ -118,11 +118,15 @@ def by_status(results: DataFrame) -> DataFrame:
     return every.join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def false_matched(results: DataFrame) -> DataFrame:
-    """Results that match although a compared field is not proven to be within tolerance, or none was compared: there are
-    none unless the CASE is broken."""
+def unproven() -> Column:
+    """Whether a result matches although a compared field is not proven to be within tolerance, or none was compared."""
     proven = F.coalesce((F.size("discrepancies") > 0) & F.forall("discrepancies", lambda d: F.coalesce(d["within_tolerance"], F.lit(False))), F.lit(False))
-    return results.where((F.col("status") == "matched") & ~proven)
+    return (F.col("status") == "matched") & ~proven
+
+
+def false_matched(results: DataFrame) -> DataFrame:
+    """Unproven matches: there are none unless the CASE is broken."""
+    return results.where(unproven())
 
 
 def batch_totals(rows: DataFrame, declared: DataFrame, by: list[str], amount: str = "gross") -> DataFrame:
