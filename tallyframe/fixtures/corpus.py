@@ -23,13 +23,13 @@ INJECTIONS = {
 }
 PER_KIND = 3
 _SYMBOLS = {"GBP": "£", "EUR": "€", "USD": "$"}
-_LAYOUT = "number int, variant string, family string, held_out boolean, n_rows int, currency string, convention string, day_first boolean, dates string, periods string, style string, file string, footer string, headers array<string>, contents array<string>, mappable boolean"
+_LAYOUT = "number int, variant string, family string, held_out boolean, unseen boolean, n_rows int, currency string, convention string, day_first boolean, dates string, periods string, style string, file string, footer string, headers array<string>, contents array<string>, mappable boolean"
 
 
 def layouts(spark: SparkSession) -> DataFrame:
     """One row for each layout."""
     repeats = {REPEATING: len(REPEATS)}
-    rows = [(x.number, x.name, x.family, x.held_out, x.rows + repeats.get(x.name, 0), x.currency, x.convention, x.day_first, x.dates, x.periods, x.style, x.file, x.footer, [h for h, _ in x.columns], [c for _, c in x.columns], x.mappable) for x in LAYOUTS]
+    rows = [(x.number, x.name, x.family, x.held_out, x.unseen, x.rows + repeats.get(x.name, 0), x.currency, x.convention, x.day_first, x.dates, x.periods, x.style, x.file, x.footer, [h for h, _ in x.columns], [c for _, c in x.columns], x.mappable) for x in LAYOUTS]
     return spark.createDataFrame(rows, _LAYOUT)
 
 

@@ -28,6 +28,11 @@ class Layout:
     def mappable(self) -> bool:
         return self.columns[0][1] != "opaque"
 
+    @property
+    def unseen(self) -> bool:
+        """Whether its headers are declared to be in no layout that may be looked at."""
+        return self.name.endswith("unseen_vocabulary")
+
     @property
     def day_first(self) -> bool:
         return self.dates != "M/D/Y"

@@ -14,7 +14,7 @@ from tallyframe.fixtures import corpus
 from tallyframe.fixtures.layouts import LAYOUTS, REPEATING, REPEATS
 from tallyframe.functions import money, period
 from tallyframe.functions.text import frame_digest
-from tallyframe.operators import canonical, mapping, profile, reconcile, views
+from tallyframe.operators import canonical, mapping, profile, proposals, reconcile, views
 from tallyframe.operators.store import Store, money_json, split_repeated
 from tallyframe.plans import evaluation, statements
 from tallyframe.sources import grid, render
@@ -342,6 +342,40 @@ def truth_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return then.join(now, "variant").select("variant", "n", (F.col("gross") == F.col("true_gross")).alias("exact"))
 
 
+def column_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of the shape of every fixture file, of equal shapes the same."""
+    rows = corpus.file_rows(spark)
+    return proposals.digests(rows).join(rows.select("content_hash", "variant").distinct(), "content_hash").select("variant", "digest")
+
+
+def recorded_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers recorded for one shape, applied to every file that has it."""
+    rows = statements.file_rows(spark, sf_dir)
+    digest = proposals.column_digest(F.array(*map(F.lit, statements.HEADERS)))
+    recorded = spark.range(3).select(digest.alias("digest"), F.col("id").cast("int").alias("position"), F.element_at(F.array(F.lit("Note"), F.lit("Nowhere"), F.lit("Risk Reference")), (F.col("id") + 1).cast("int")).alias("header"), F.element_at(F.array(F.lit("peril"), F.lit("tax"), F.lit("policy_reference")), (F.col("id") + 1).cast("int")).alias("field"))
+    return proposals.replayed(rows, recorded, get_family("insurance")).groupBy("header", "field", "verdict").agg(F.count("*").alias("files"))
+
+
+def mapper_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mapper would be shown of each file: headers and at most five samples of each."""
+    rows = statements.file_rows(spark, sf_dir)
+    shown = proposals.payload(mapping.headers_of(rows), profile.profile_columns(grid.to_cells(rows)), get_family("insurance"))
+    columns = F.from_json("payload", "columns array<struct<header:string,samples:array<string>>>")["columns"]
+    return shown.select("content_hash", F.size(columns).alias("n_columns"), F.array_max(F.transform(columns, lambda c: F.size(c["samples"]))).alias("most_samples"))
+
+
+def held_out_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which layouts are held out by the rule."""
+    return proposals.held_out(corpus.layouts(spark).select("variant", "unseen")).select("variant", "held_out")
+
+
+def leaked_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of unseen vocabularies that may have been looked at, with one layout planted that leaks two."""
+    own = corpus.layouts(spark).select("variant", "unseen", "held_out", "headers")
+    planted = spark.createDataFrame([("planted", True, True, ["GWP", "Never Seen", "Period"])], own.schema)
+    return proposals.leaked_headers(own.union(planted))
+
+
 def evaluation_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.reconciliation_block(spark)
 
@@ -396,6 +430,7 @@ QUERIES = {f.__name__: f for f in (
     declared_total_last_nonempty, internal_arithmetic, reconcile_status, reconcile_status_counts, reconcile_discrepancies, reconcile_with_tolerance, reconcile_false_matched, reconcile_unproven, reconcile_missing_side,
     reconcile_duplicates, reconcile_review_rules, batch_totals, repeated_keys_held, expected_vs_reported, lost_to_quarantine, deductions_json, profile_columns, magnitude_rank, mapping_methods, mapping_system,
     unmapped_columns, mapping_abstain, proposal_containment, ingest_idempotent, additive_replay, store_screens, event_audit_log, canonical_digest, family_portability, content_hash_bytes, rendered_round_trip, truth_documents,
+    column_digests, recorded_proposals, mapper_payload, held_out_split, leaked_headers,
     evaluation_reconciliation, evaluation_mapping, evaluation_lineage, evaluation_abstention, evaluation_portability, evaluation_corpus, evaluation_lost, evaluation_totals, evaluation_determinism, evaluation_idempotency, results_digest,
 )}
 
@@ -503,6 +538,11 @@ ORACLES = {
     "family_portability": "SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'mismatch' ELSE 'matched' END AS status, CASE WHEN o_orderkey % 13 = 0 THEN 'field_difference' ELSE 'all_fields_agree' END AS rule, count(*) AS n FROM orders GROUP BY ALL",
     "rendered_round_trip": "SELECT variant, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS same FROM (VALUES " + ", ".join(f"('{x.name}', {x.rows + len(REPEATS) * (x.name == REPEATING) + (x.footer != 'none')})" for x in LAYOUTS) + ") AS t(variant, n)",
     "truth_documents": "SELECT variant, CAST(n AS BIGINT) AS n, true AS exact FROM (VALUES " + ", ".join(f"('{x.name}', {x.rows + len(REPEATS) * (x.name == REPEATING)})" for x in LAYOUTS if x.mappable) + ") AS t(variant, n)",
+    "column_digests": "SELECT variant, substr(sha256('[' || list_aggregate(list_transform(list_sort(h), lambda x: '\"' || x || '\"'), 'string_agg', ', ') || ']'), 1, 16) AS digest FROM (VALUES " + ", ".join(f"('{x.name}', [{', '.join(repr(h) for h, _ in x.columns)}])" for x in LAYOUTS) + ") AS t(variant, h)",
+    "recorded_proposals": f"WITH {_FILE} SELECT header, field, verdict, (SELECT count(DISTINCT content_hash) FROM f) AS files FROM (VALUES ('Note', 'peril', 'kept'), ('Nowhere', 'tax', 'unknown header'), ('Risk Reference', 'policy_reference', 'kept')) AS t(header, field, verdict)",
+    "mapper_payload": f"WITH {_FILE} SELECT content_hash, CAST(7 AS INTEGER) AS n_columns, CAST(least(5, count(*)) AS INTEGER) AS most_samples FROM c GROUP BY content_hash",
+    "held_out_split": "SELECT * FROM (VALUES " + ", ".join(f"('{x.name}', {x.held_out})" for x in LAYOUTS) + ") AS t(variant, held_out)",
+    "leaked_headers": "SELECT * FROM (VALUES ('planted', 'GWP'), ('planted', 'Period')) AS t(variant, header)",
     # the counts that the reference workload publishes; of the hold-out mapping it has 42 where these fixtures' values give 43
     "evaluation_reconciliation": "SELECT * FROM (VALUES (true, 715::BIGINT, 90::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT), (false, 1616, 195, 0, 272, 0)) AS t(held_out, rows, injected, false_matched, status_disagreements, unproven_matches)",
     "evaluation_mapping": "SELECT * FROM (VALUES " + ", ".join(f"({split}, '{m}', {n}::BIGINT, {total}::BIGINT)" for split, total, counts in (("true", 46, (16, 24, 30, 29, 43)), ("false", 92, (30, 57, 77, 65, 84))) for m, n in zip((*mapping.METHODS, "system"), counts, strict=True)) + ") AS t(held_out, method, correct, total)",
