@@ -115,7 +115,7 @@ ORACLES = {
               FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
-               coalesce(far.n, 0) AS longest_match, coalesce(far.first, -1) AS longest_at
+               CAST(coalesce(far.n, 0) AS BIGINT) AS longest_match, CAST(coalesce(far.first, -1) AS BIGINT) AS longest_at
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN far USING (doc_id)""",
     "op3_near_duplicates": """
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
