@@ -85,11 +85,19 @@ BATCH_BYTES = 4_000_000
 
 
 def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """df.mapInArrow, with the session's limit of an Arrow batch lowered to BATCH_BYTES if it has Spark's default."""
+    """df.mapInArrow, with the session's limit of an Arrow batch lowered to BATCH_BYTES if it has Spark's default. A worker
+    that waits for its next task gives back what Arrow holds."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name, "67108864b") == "67108864b":
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -7,9 +7,11 @@
    order of how many documents share them, all but the last least - 1 of its shared values (the prefix) must hold a common
    value of any pair: only the prefix is posted, and the values that very many documents share are mostly skipped.
 3. Long lists are not expanded into all pairs. Their members are first compared with a few pivots, and confirmed links join
-   components; a list whose members are all in one component is done: further links in it change nothing. In what is left,
-   members outside a list's most frequent component meet all its members, in cells of two blocks: pairs are not written
-   out. Those of different components are compared, as sets if sizes and collisions allow a link.
+   components; a list whose members are all in one component is done: further links in it change nothing. In what is
+   left, members outside a list's most frequent component meet all its members, in cells of two blocks: pairs are not
+   written out. A list of many cells is first split by a second value, as any pair that may be linked has two common values
+   among all but the last least - 2: what shares one frequent value alone meets nowhere. Those of different components are compared, as sets if sizes
+   and collisions allow a link.
 4. A candidate pair is confirmed on the full sets.
 """
 
@@ -35,6 +37,8 @@ MISS = 2e-10
 SHORT_LIST, PIVOTS = 32, 8
 #: A block of a long list holds sets of about so many shingles together; a member counts for some more than its own.
 CELL_COST, MEMBER_COST = 1_000_000, 100
+#: Lists of more cells are split by a second value first; either way finds the same links.
+WHOLE_CELLS = 64
 
 
 def collisions(percent: int, coordinates: int = COORDINATES) -> int:
@@ -147,13 +151,14 @@ def _sets(docs: DataFrame, text: str, key: str, size: int, wanted: DataFrame) ->
     return in_arrow(chosen, run, f"rep {kind}, shingles array<long>")
 
 
-def _postings(reps: DataFrame, coordinates: int, least: int) -> DataFrame:
-    """(value, rep, n): the prefix of each representative's shared values, in order of how many share them."""
+def _prefixes(reps: DataFrame, coordinates: int, least: int) -> DataFrame:
+    """(rep, n, posted, extended): of each representative's shared values, in order of how many share them, all but the last
+    least - 1 and all but the last least - 2. Of those that have fewer than least, nothing can be linked to another."""
     values = reps.select("rep", F.explode("signature").alias("value"))
     shared = values.groupBy("value").count().where("count > 1")
     own = values.join(shared, "value").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("count", "value"))).alias("v"))
-    prefix = own.where(F.size("v") >= least).select("rep", F.explode(F.slice("v", F.lit(1), F.size("v") - (least - 1))).alias("p"))
-    return prefix.select(F.col("p.value").alias("value"), "rep")
+    first = lambda less: F.transform(F.slice("v", F.lit(1), F.size("v") - less), lambda x: x["value"])
+    return own.where(F.size("v") >= least).select("rep", first(least - 1).alias("posted"), first(least - 2).alias("extended")).join(reps.select("rep", F.col("n_shingles").alias("n")), "rep")
 
 
 def _pairs(members: DataFrame, chosen: DataFrame, condition: str) -> DataFrame:
@@ -169,34 +174,42 @@ def _alike(common: str, percent: int) -> str:
     return f"100L * {common} >= {percent}L * (na + nb - {common})"
 
 
-def _linked_in_cells(members: DataFrame, lists: DataFrame, whole: DataFrame, percent: int, least: int) -> DataFrame:
-    """Links (u, v) that join all components that any link within the lists joins.
+def _linked_in_cells(members: DataFrame, parts: DataFrame, whole: DataFrame, percent: int, least: int) -> DataFrame:
+    """Links (u, v) that join all components that any link within the parts joins.
 
-    members: (value, rep, c, posted); lists: (value, main, outside, inside), the list's most frequent component and into how
-    many blocks the members outside it, and all members, are dealt; whole: (rep, signature, shingles). Every member outside
-    `main` meets every member in one cell of two blocks, so no pair is written out and a cell holds two blocks' sets at most.
+    members: (value, second, rep, c), second 0 for a list that is not split; parts: (value, second, main, outside, inside), a part's most frequent component and into
+    how many blocks the members outside it, and all members, are dealt; whole: (rep, signature, shingles, posted, extended).
+    Every member outside `main` meets every member in one cell of two blocks, so no pair is written out and a cell holds two
+    blocks' sets at most.
     """
-    dealt, kind = members.select("value", "rep", "c", "posted").join(lists, "value"), whole.schema["rep"].dataType.simpleString()
+    dealt, kind = members.join(parts, ["value", "second"]), whole.schema["rep"].dataType.simpleString()
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    held = ("rep", "c", "posted", "signature", "shingles")
-    left = dealt.where("c <> main").join(whole, "rep").select(F.col("value").alias("list"), block("outside").alias("i"), F.col("inside"), *held).withColumn("j", every("inside")).drop("inside")
-    right = dealt.join(whole, "rep").select("value", block("inside").alias("l"), F.col("outside"), *held).withColumn("k", every("outside")).drop("outside")
+    held = ("rep", "c", "posted", "extended", "signature", "shingles")
+    left = dealt.where("c <> main").join(whole, "rep").select(F.col("value").alias("list"), F.col("second").alias("part"), block("outside").alias("i"), F.col("inside"), *held).withColumn("j", every("inside")).drop("inside")
+    right = dealt.join(whole, "rep").select("value", "second", block("inside").alias("l"), F.col("outside"), *held).withColumn("k", every("outside")).drop("outside")
     right = right.toDF(*right.columns)  # so that the two sides, of one origin, do not share column ids
 
     def read(t: pa.Table) -> tuple:
-        """reps, components, signatures (a row each), the same with 0 where a value is not posted, and the sets."""
+        """reps, components, signatures (a row each), the same with 0 where a value is not posted, or not extended, and the sets."""
         rows = lambda name: [np.asarray(v.values) for v in t.column(name)]
         signature = np.array(rows("signature")).reshape(t.num_rows, -1)
-        posted = np.array([np.where(np.isin(s, p), s, 0) for s, p in zip(signature, rows("posted"), strict=True)]).reshape(signature.shape)
-        return t.column("rep").to_pylist(), t.column("c").to_pylist(), signature, posted, [v.view(np.uint64) for v in rows("shingles")]
+        only = lambda name: np.array([np.where(np.isin(s, p), s, 0) for s, p in zip(signature, rows(name), strict=True)]).reshape(signature.shape)
+        return t.column("rep").to_pylist(), t.column("c").to_pylist(), signature, only("posted"), only("extended"), [v.view(np.uint64) for v in rows("shingles")]
+
+    most = np.iinfo(np.int64).max
+
+    def smallest(theirs: np.ndarray, mine: np.ndarray, but: int | None = None) -> np.ndarray:
+        """The smallest common value with each of theirs."""
+        common = (theirs == mine) & (mine != 0) & (mine != but if but is not None else True)
+        return np.where(common, theirs, most).min(axis=1, initial=most)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         u, v, kept = [], [], (left if left.num_rows else right).column("rep").type
         if left.num_rows and right.num_rows:
-            value = left.column("list")[0].as_py()
-            reps, own, signature, posted, sets = read(left)
-            others, theirs, signatures, posteds, near = read(right)
+            value, second = left.column("list")[0].as_py(), left.column("part")[0].as_py()
+            reps, own, signature, posted, extended, sets = read(left)
+            others, theirs, signatures, posteds, extendeds, near = read(right)
             sizes, names = np.array([len(s) for s in near]), {}
             # which component each is in, as links are found
             ours = np.array([names.setdefault(c, len(names)) for c in own])
@@ -206,9 +219,10 @@ def _linked_in_cells(members: DataFrame, lists: DataFrame, whole: DataFrame, per
                 near_enough = (at != ours[x]) & (100 * np.minimum(sizes, mine) >= percent * np.maximum(sizes, mine))
                 some = np.flatnonzero(near_enough)
                 some = some[(signatures[some] == signature[x]).sum(axis=1) >= least]
-                # a pair that shares several lists is compared in the one of its smallest common value
-                common = (posteds[some] == posted[x]) & (posted[x] != 0)
-                some = some[np.where(common, posteds[some], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == value]
+                # a pair that shares several parts is compared in the one of its smallest common values
+                some = some[smallest(posteds[some], posted[x]) == value]
+                if second:
+                    some = some[smallest(extendeds[some], extended[x], value) == second]
                 for y in some:
                     if at[y] != ours[x]:
                         place = np.minimum(np.searchsorted(sets[x], near[y]), mine - 1)
@@ -221,15 +235,23 @@ def _linked_in_cells(members: DataFrame, lists: DataFrame, whole: DataFrame, per
                             ours[ours == joined] = ours[x]
         return pa.table({"u": pa.array(u, kept), "v": pa.array(v, kept)})
 
-    return left.groupBy("list", "i", "j").cogroup(right.groupBy("value", "k", "l")).applyInArrow(run, f"u {kind}, v {kind}")
+    return left.groupBy("list", "part", "i", "j").cogroup(right.groupBy("value", "second", "k", "l")).applyInArrow(run, f"u {kind}, v {kind}")
+
+
+def _mixed(members: DataFrame, by: list[str]) -> DataFrame:
+    """Of members (by, rep, n, c): the groups with more than one component, with their length, the most frequent component,
+    and into how many blocks the members outside it, and all members, are dealt."""
+    held = members.groupBy(*by, "c").agg(F.count("*").alias("size"), F.sum(F.col("n") + MEMBER_COST).alias("cost"))
+    every = held.groupBy(*by).agg(F.sum("size").alias("length"), F.count("*").alias("parts"), F.sum("cost").alias("cost"), F.max_by(F.struct("c", "cost"), F.struct("size", "c")).alias("main"))
+    blocks = lambda cost: F.ceil(cost / F.lit(CELL_COST))
+    return every.where("parts > 1").select(*by, "length", F.col("main.c").alias("main"), blocks(F.col("cost") - F.col("main.cost")).alias("outside"), blocks(F.col("cost")).alias("inside"))
 
 
 def links(docs: DataFrame, text: str, key: str, size: int, percent: int, reps: DataFrame, coordinates: int, least: int) -> DataFrame | None:
     """(node, component) of representatives that have a link to another."""
-    posted = _postings(reps, coordinates, least)
-    counted = posted.groupBy("rep").agg(F.collect_list("value").alias("posted")).join(reps.select("rep", "n_shingles"), "rep")
-    postings = materialize(counted.select("rep", F.col("n_shingles").alias("n"), "posted", F.explode("posted").alias("value")), "postings")
-    sets = materialize(_sets(docs, text, key, size, postings.select("rep").distinct()), "sets")
+    prefixes = materialize(_prefixes(reps, coordinates, least), "prefixes")
+    postings = materialize(prefixes.select("rep", "n", "posted", F.explode("posted").alias("value")), "postings")
+    sets = materialize(_sets(docs, text, key, size, prefixes.select("rep")), "sets")
     unit = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / float(1 << 40)
     sized = f"100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n)"
 
@@ -245,17 +267,19 @@ def links(docs: DataFrame, text: str, key: str, size: int, percent: int, reps: D
     found = materialize(tested.where(_alike("common", percent)).select(F.col("a").alias("u"), F.col("b").alias("v")), "found")
     grouped = None if found.isEmpty() else components(found)
 
-    # second round: long lists that hold more than one component
+    # second round: long lists that hold more than one component; those of many cells are split by a second value
     c = postings.withColumn("c", F.col("rep")) if grouped is None else postings.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    parts = c.groupBy("value", "c").agg(F.count("*").alias("size"), F.sum(F.col("n") + MEMBER_COST).alias("cost"))
-    lists = parts.groupBy("value").agg(F.sum("size").alias("length"), F.count("*").alias("parts"), F.sum("cost").alias("cost"), F.max_by(F.struct("c", "cost"), F.struct("size", "c")).alias("main"))
-    blocks = lambda cost: F.ceil(cost / F.lit(CELL_COST))
-    lists = lists.where(f"length > {SHORT_LIST} AND parts > 1").select("value", F.col("main.c").alias("main"), blocks(F.col("cost") - F.col("main.cost")).alias("outside"), blocks(F.col("cost")).alias("inside"))
-    lists = materialize(lists, "mixed-lists")
+    lists = materialize(_mixed(c, ["value"]).where(f"length > {SHORT_LIST}").drop("length"), "mixed-lists")
     if lists.isEmpty():
         return grouped
-    whole = signatures.select("rep", "signature").join(sets, "rep")
-    more = materialize(_linked_in_cells(c, lists, whole, percent, least), "links")
+    cells = F.col("outside") * F.col("inside")
+    few, many = lists.where(cells <= WHOLE_CELLS).withColumn("second", F.lit(0).cast("long")), lists.where(cells > WHOLE_CELLS)
+    split = c.join(many.select("value"), "value").select("value", "rep", "n", "c").join(prefixes.select("rep", "extended"), "rep")
+    split = materialize(split.select("value", "rep", "n", "c", F.explode(F.filter("extended", lambda x: x != F.col("value"))).alias("second")), "members")
+    members = split.drop("n").unionByName(c.join(few.select("value", "second"), "value").select("value", "rep", "c", "second"))
+    parts = materialize(few.unionByName(_mixed(split, ["value", "second"]).drop("length")), "parts")
+    whole = signatures.select("rep", "signature").join(sets, "rep").join(prefixes.select("rep", "posted", "extended"), "rep")
+    more = materialize(_linked_in_cells(members, parts, whole, percent, least), "links")
     return grouped if more.isEmpty() else components(found.union(more))
 
 

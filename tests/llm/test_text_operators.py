@@ -128,8 +128,9 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     docs += [(100 + i, " ".join(f"v{r.randrange(50)}" for _ in range(20))) for i in range(20)]
     df = spark.createDataFrame(docs, DOCS).withColumn("Key", F.lit(1))
     want = near_groups(docs, 4, 80)
-    for short, pivots, cost in ((32, 8, 1_000_000), (2, 0, 800)):  # the second: one pivot a list, and cells of several blocks
-        for name, value in (("SHORT_LIST", short), ("PIVOTS", pivots), ("CELL_COST", cost)):
+    # the second: one pivot a list, and cells of several blocks; the third: lists split by a second value, too
+    for short, pivots, cost, cells in ((32, 8, 1_000_000, 64), (2, 0, 800, 10_000), (2, 0, 800, 0)):
+        for name, value in (("SHORT_LIST", short), ("PIVOTS", pivots), ("CELL_COST", cost), ("WHOLE_CELLS", cells)):
             monkeypatch.setattr(near_duplicates, name, value)
         got = near_duplicates.near_duplicates(df, size=4).collect()
         assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
