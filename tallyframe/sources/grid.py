@@ -12,7 +12,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS = "path string, content_hash string, sheet string, headers array<string>, row_index long, spreadsheet_row long, cells array<string>"
@@ -115,6 +115,6 @@ def to_cells(rows: DataFrame) -> DataFrame:
     return rows.select("content_hash", "sheet", "row_index", "spreadsheet_row", F.inline(first))
 
 
-def cell(header: str):
+def cell(header: str | Column) -> Column:
     """The cell under the first column with a header; empty if there is none or the record is short."""
     return F.coalesce(F.get("cells", F.array_position("headers", header).cast("int") - 1), F.lit(""))
