@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontaminate, html_text, language, near_duplicates, packing, quality, token_counts, token_store, toxicity
+from tallyframe.llm import chat, decontaminate, html_text, language, merkle, near_duplicates, packing, quality, token_counts, token_store, toxicity
 from tallyframe.llm.common import crc32_mod, scratch_path, table
 
 
@@ -66,6 +66,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digest(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 3) == 0), merkle.leaf_hash(*fields, lowered))
+    proven = merkle.manifest(docs.select("doc_id", "lang", merkle.leaf_hash(*fields, F.col("text")).alias("leaf"), tampered.alias("tampered")))
+    shown = proven.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root"))
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def _op8_sql(risk: float = 0.02, error: float = 0.05) -> str:
     """The rules of op8_quality in DuckDB: counts by lists, binomial tails by lgamma."""
     rules = list(quality.RULES.items())
@@ -95,7 +105,34 @@ def _op8_sql(risk: float = 0.02, error: float = 0.05) -> str:
                coalesce(array_to_string(failed, ','), '') AS failed_rules FROM f"""
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_near_duplicates, op4_pack, op5_toxicity, op6_language, op7_token_counts, op8_quality, op9_chat, op10_html_text)}
+def _crc32_sql(text: str) -> str:
+    """crc32 of an ASCII text in DuckDB, bit by bit."""
+    byte = f"CASE WHEN s % 8 = 0 THEN xor(a, ascii(substr({text}, s // 8 + 1, 1))::BIGINT) ELSE a END"
+    return f"xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], range(0, 8 * length({text}))), lambda a, s: xor(({byte}) >> 1, 3988292384 * (({byte}) & 1))))"
+
+
+def _op12_sql() -> str:
+    """Trees, folded again with tampered leaves, in DuckDB: a level at a time by recursion."""
+    fields = [f"coalesce(octet_length(encode({x})) || ':' || {x}, '-')" for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)")]
+    hashed = lambda text: f"sha256({' || '.join(fields)} || coalesce(octet_length(encode({text})) || ':' || {text}, '-'))"
+    tampered = hashed("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    up = "SELECT {of}, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM {t} WHERE n > 1 GROUP BY {of}, level + 1, i // 8, (n + 7) // 8"
+    follow = "SELECT a.doc_id, a.level + 1, a.i // 8, (a.n + 7) // 8, sha256(string_agg(CASE WHEN b.i = a.i THEN a.h ELSE b.h END, '' ORDER BY b.i)), a.p || coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i <> a.i), '') FROM {t} a JOIN {of} b ON b.{key} IS NOT DISTINCT FROM a.{key} AND b.level = a.level AND b.i // 8 = a.i // 8 WHERE a.n > 1 GROUP BY a.doc_id, a.{key}, a.level, a.i, a.n, a.h, a.p"
+    follow = follow.replace("SELECT a.doc_id,", "SELECT a.doc_id, a.{key},")
+    return f"""
+        WITH RECURSIVE leaf AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+               {hashed('text')} AS h, CASE WHEN {_crc32_sql('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {tampered} ELSE {hashed('text')} END AS probe FROM documents),
+        low AS (SELECT lang, 0 AS level, i, n, h FROM leaf UNION ALL {up.format(of='lang', t='low')}),
+        subs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h FROM low WHERE n = 1),
+        high AS (SELECT 0 AS t, 0 AS level, i, n, h FROM subs UNION ALL {up.format(of='t', t='high')}),
+        walk AS (SELECT doc_id, lang, 0 AS level, i, n, probe AS h, '' AS p FROM leaf UNION ALL {follow.format(t='walk', of='low', key='lang')}),
+        climb AS (SELECT w.doc_id, 0 AS t, 0 AS level, s.i, s.n, w.h, w.p FROM walk w JOIN subs s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1 UNION ALL {follow.format(t='climb', of='high', key='t')}),
+        top AS (SELECT h FROM high WHERE n = 1)
+        SELECT l.doc_id, l.h AS leaf, s.h AS subroot, top.h AS root, sha256(c.p) AS proof_sha256, c.h AS folded_root, c.h = top.h AS verified
+        FROM leaf l JOIN subs s ON s.lang IS NOT DISTINCT FROM l.lang JOIN climb c ON c.doc_id = l.doc_id AND c.n = 1, top"""
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_near_duplicates, op4_pack, op5_toxicity, op6_language, op7_token_counts, op8_quality, op9_chat, op10_html_text, op12_manifest)}
 
 ORACLES = {
     "op1_decontaminate": """
@@ -137,4 +174,5 @@ ORACLES = {
                CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+    "op12_manifest": _op12_sql(),
 }
