@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontaminate, html_text, language, merkle, near_duplicates, packing, quality, token_counts, token_store, toxicity
+from tallyframe.llm import chat, collocations, decontaminate, html_text, language, merkle, near_duplicates, packing, quality, token_counts, token_store, toxicity
 from tallyframe.llm.common import crc32_mod, scratch_path, table
 
 
@@ -76,6 +76,10 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def _op8_sql(risk: float = 0.02, error: float = 0.05) -> str:
     """The rules of op8_quality in DuckDB: counts by lists, binomial tails by lgamma."""
     rules = list(quality.RULES.items())
@@ -132,7 +136,7 @@ def _op12_sql() -> str:
         FROM leaf l JOIN subs s ON s.lang IS NOT DISTINCT FROM l.lang JOIN climb c ON c.doc_id = l.doc_id AND c.n = 1, top"""
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_near_duplicates, op4_pack, op5_toxicity, op6_language, op7_token_counts, op8_quality, op9_chat, op10_html_text, op12_manifest)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_near_duplicates, op4_pack, op5_toxicity, op6_language, op7_token_counts, op8_quality, op9_chat, op10_html_text, op12_manifest, op13_collocations)}
 
 ORACLES = {
     "op1_decontaminate": """
@@ -175,4 +179,20 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
     "op12_manifest": _op12_sql(),
+    "op13_collocations": """
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+        spots AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+        f AS (SELECT lang, m, w[p : p + m - 1] AS words, count(*) AS f FROM spots GROUP BY ALL),
+        t AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE m > 1 AND f >= 100),
+        cut AS (SELECT lang, m, words, f AS a, unnest(range(1, m)) AS k FROM c),
+        s AS (SELECT cut.lang, cut.m, cut.words, a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+              FROM cut JOIN f x ON x.lang = cut.lang AND x.words = cut.words[1 : k] JOIN f y ON y.lang = cut.lang AND y.words = cut.words[k + 1 : cut.m] JOIN t ON t.lang = cut.lang),
+        best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+        inner_ AS (SELECT DISTINCT lang, f, words[i : i + z - 1] AS words FROM c, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(2, 5)) AS z) WHERE z < m AND i + z - 1 <= m),
+        kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = b.lang AND i.words = b.words AND 100 * i.f >= 100 * b.a)),
+        o AS (SELECT *, array_to_string(words, ' ') AS phrase FROM kept)
+        SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM o QUALIFY rank <= 2000""",
 }
