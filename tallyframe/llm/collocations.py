@@ -1,13 +1,15 @@
 """Collocations by suffix sorting: every phrase's count from one sorted pass over truncated suffixes.
 
-A suffix is a word and up to `most - 1` words after it in the same piece. Equal suffixes of a task are counted before they are
-shuffled by language and first words; each task sorts its suffixes in reverse order and reads them once with a stack of the
+A suffix is a word and up to `most - 1` words after it in the same piece. Equal suffixes of a batch are counted before they are
+shuffled by language and first word, and by the second one, too, so that no frequent word makes a task large: the counts of
+single words are there already; each task sorts its suffixes in reverse order and reads them once with a stack of the
 open prefixes, whose counts are whole when they close. Words too rare for any phrase cut suffixes, as no phrase that is asked
 for holds one. The parts of each phrase are joined afterwards.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -38,50 +40,89 @@ def _plain(text: Column) -> Column:
     return text
 
 
-def _grams(docs: DataFrame, text: str, lang: str, least: int, most: int, frequent=None) -> DataFrame:
-    """(key, n): language and words of the suffixes of least to most words, with the count of each in a batch. frequent: the
-    map of frequent words, broadcast."""
+def _found(batch: pa.RecordBatch):
+    """Languages and words of a batch, the language of each word, and hashes of the languages and words."""
+    langs = _escaped(pc.fill_null(batch.column("lang").cast(pa.large_string()), "und"))
+    found = split(_escaped(batch.column("text").cast(pa.large_string())), _KINDS)
+    return langs, found, np.repeat(np.arange(batch.num_rows, dtype=np.int32), found.counts)
 
-    def counted(batch: pa.RecordBatch) -> pa.Table:
-        langs = _escaped(pc.fill_null(batch.column("lang").cast(pa.large_string()), "und"))
-        found = split(_escaped(batch.column("text").cast(pa.large_string())), _KINDS)
+
+def _hashes(texts: pa.Array) -> np.ndarray:
+    """crc32 of each text, which is taken once of equal ones."""
+    coded = texts.dictionary_encode()
+    return np.fromiter(map(zlib.crc32, coded.dictionary.cast(pa.large_binary()).to_pylist()), np.int64, len(coded.dictionary))[coded.indices.to_numpy()]
+
+
+def _counts(langs: pa.Array, texts: pa.Array) -> pa.Table:
+    sums = pc.value_counts(pc.binary_join_element_wise(langs, texts, pa.scalar(_SEP, pa.large_string())))
+    return pa.table({"key": sums.field("values").cast(pa.string()), "n": sums.field("counts")})
+
+
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """(key, n): language and word, with its count in a batch."""
+
+    def run(batches):
+        for batch in batches:
+            for some in slices(batch, "text"):
+                langs, found, of = _found(some)
+                yield from _counts(langs.take(pa.array(of)), found.words).to_batches(max_chunksize=50_000)
+
+    return in_arrow(docs, run, "key string, n long")
+
+
+def _suffixes(docs: DataFrame, most: int, frequent) -> DataFrame:
+    """(key, n): language and words of each suffix of two to most words, with its count in a batch; a task has all those that
+    begin with the same two words. On their way they are packed, sorted, as a task's compressed batch for another, which takes
+    a third of the bytes of rows. frequent: the map of frequent words, broadcast."""
+    tasks = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
+
+    def pack(batch: pa.RecordBatch):
+        langs, found, of = _found(batch)
         n = len(found.sizes)
-        of = np.repeat(np.arange(batch.num_rows), found.counts)
-        at, length = np.arange(n), np.ones(n, np.int64)
-        if most > 1:
-            coded = found.words.dictionary_encode()
-            hashes = np.fromiter(map(zlib.crc32, coded.dictionary.cast(pa.large_binary()).to_pylist()), np.int64, len(coded.dictionary))[coded.indices.to_numpy()]
-            langs_hash = np.fromiter(map(zlib.crc32, langs.cast(pa.large_binary()).to_pylist()), np.int64, len(langs))
-            bit = (hashes ^ langs_hash[of]) & ((1 << _BITS) - 1)
-            rare = ((frequent.value[bit >> 5] >> (bit & 31)) & 1) == 0
-            ends = rare.copy()  # no suffix goes on after this word
-            ends[:-1] |= found.cut[1:] | rare[1:]
-            ends[-1:] = True
-            stops = np.flatnonzero(ends)
-            length = np.minimum(stops[np.searchsorted(stops, at)] - at + 1, most)
-            at = at[(length >= least) & ~rare]
-            length = length[at]
-        if not len(at):
-            return pa.table({"key": pa.array([], pa.large_string()), "n": pa.array([], pa.int64())})
+        if not n:
+            return
+        hashes, of_lang = _hashes(found.words), _hashes(langs)[of]
+        bit = (hashes ^ of_lang) & ((1 << _BITS) - 1)
+        rare = ((frequent.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1) == 0
+        ends = rare.copy()  # no suffix goes on after this word
+        ends[:-1] |= found.cut[1:] | rare[1:]
+        ends[-1] = True
+        stops = np.flatnonzero(ends)
+        length = np.minimum(np.repeat(stops, np.diff(stops, prepend=-1)) - np.arange(n) + 1, most)
+        at = np.flatnonzero((length > 1) & ~rare)
+        to = ((hashes[at] * 0x9E3779B1 + hashes[at + 1] * 0x85EBCA77 + of_lang[at]) >> 7) % tasks
+        order = np.argsort(to.astype(np.uint16), kind="stable")
+        at, to = at[order], to[order]
         # Words joined by separators, so that a suffix is a run of bytes.
         place = np.concatenate(([0], np.cumsum(found.sizes + 1)))
         joined = np.zeros(place[-1], np.uint8)
-        joined[np.arange(len(found.data)) + np.repeat(np.arange(n), found.sizes)] = found.data
-        starts, sizes = place[at], place[at + length] - 1 - place[at]
-        ends = np.cumsum(sizes)
-        data = joined[np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)]
-        suffixes = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.concatenate(([0], ends))), pa.py_buffer(data))
-        keys = pc.binary_join_element_wise(langs.take(pa.array(of[at])), suffixes, pa.scalar(_SEP, pa.large_string()))
-        sums = pc.value_counts(keys)
-        return pa.table({"key": sums.field("values"), "n": sums.field("counts")})
-
-    def run(batches):
+        joined[np.arange(len(found.data), dtype=np.int32) + np.repeat(np.arange(n, dtype=np.int32), found.sizes)] = found.data
+        zstd = pa.ipc.IpcWriteOptions(compression="zstd")
+        firsts = np.flatnonzero(np.diff(to, prepend=-1))
+        for first, last in itertools.pairwise([*firsts, len(at)]):
+            own = at[first:last]
+            starts, sizes = place[own], place[own + length[own]] - 1 - place[own]
+            bounds = np.concatenate(([0], np.cumsum(sizes)))
+            data = joined[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], sizes)]
+            texts = pa.LargeStringArray.from_buffers(len(own), pa.py_buffer(bounds), pa.py_buffer(data))
+            sums = _counts(langs.take(pa.array(of[own])), texts).sort_by("key").combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, sums.schema, options=zstd) as out:
+                out.write_table(sums)
+            yield int(to[first]), sink.getvalue().to_pybytes()
+
+    def packed(batches):
         for batch in batches:
             for some in slices(batch, "text"):
-                for out in counted(some).to_batches(max_chunksize=50_000):
-                    yield pa.RecordBatch.from_arrays([out.column(0).cast(pa.string()), out.column(1)], names=["key", "n"])
+                rows = list(pack(some))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["task", "packed"])
+
+    def unpacked(batches):
+        for batch in batches:
+            for one in batch.column("packed"):
+                yield from pa.ipc.open_stream(one.as_buffer()).read_all().to_batches(max_chunksize=50_000)
 
-    return in_arrow(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")), run, "key string, n long")
+    return in_arrow(in_arrow(docs, packed, "task int, packed binary").repartitionById(tasks, "task"), unpacked, "key string, n long")
 
 
 def _map_of(words: DataFrame) -> np.ndarray:
@@ -155,9 +196,10 @@ def _emitted(closed: list, least: int):
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = 5, least: int = 100) -> tuple[DataFrame, DataFrame]:
     """Counts of all words (key, n), and of all phrases of two to most words that occur at least `least` times (key, n). A key is
     the language and the words, joined."""
-    words = materialize(_grams(docs, text, lang, 1, 1).groupBy("key").agg(F.sum("n").alias("n")), "phrase-words")
+    docs = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    words = materialize(_word_counts(docs).groupBy("key").agg(F.sum("n").alias("n")), "phrase-words")
     frequent = docs.sparkSession.sparkContext.broadcast(_map_of(words.where(F.col("n") >= least)))
-    suffixes = _grams(docs, text, lang, 2, most, frequent).repartition(F.substring_index("key", _SEP, 3)).sortWithinPartitions(F.desc("key"))
+    suffixes = _suffixes(docs, most, frequent).sortWithinPartitions(F.desc("key"))
     phrases = materialize(_prefix_counts(suffixes, least), "phrases")
     frequent.unpersist()
     return words, phrases
