@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, collocations, decontaminate, html_text, language, merkle, near_duplicates, packing, quality, token_counts, token_store, toxicity
+from tallyframe.llm import chat, collocations, decontaminate, html_text, katz, language, merkle, near_duplicates, packing, quality, token_counts, token_store, toxicity
 from tallyframe.llm.common import crc32_mod, scratch_path, table
 
 
@@ -66,6 +66,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digest(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = katz.scores(table(spark, sf_dir, "documents"), crc32_mod("doc_id", 5) != 1)
+    return found.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -136,7 +141,7 @@ def _op12_sql() -> str:
         FROM leaf l JOIN subs s ON s.lang IS NOT DISTINCT FROM l.lang JOIN climb c ON c.doc_id = l.doc_id AND c.n = 1, top"""
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_near_duplicates, op4_pack, op5_toxicity, op6_language, op7_token_counts, op8_quality, op9_chat, op10_html_text, op12_manifest, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_near_duplicates, op4_pack, op5_toxicity, op6_language, op7_token_counts, op8_quality, op9_chat, op10_html_text, op11_katz, op12_manifest, op13_collocations)}
 
 ORACLES = {
     "op1_decontaminate": """
