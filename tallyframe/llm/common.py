@@ -33,10 +33,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/tallyframe/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+def materialize(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors. tidy: Spark removes the
+    shuffle files of the write once it is done, instead of when the driver next collects its garbage."""
+    path, conf, cleanup = scratch_path(df.sparkSession, name), df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(cleanup, "false")
+    try:
+        if tidy:
+            conf.set(cleanup, "true")
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            conf.set(cleanup, was)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
