@@ -73,9 +73,10 @@ def xlsx_records(content: bytes, sheet: str | None = None) -> tuple[str, list[tu
 def read_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """One row for each data record of each file under path: the file's hash, sheet, headers and cells.
 
-    The first record is the header; row_index counts data records from 0 and spreadsheet_row is header row + 1 + row_index.
+    The first record with a value is the header; row_index counts data records from 0, spreadsheet_row is the record's true number
+    in its file, blank ones counted.
     Short records are padded with empty cells. The sheet of a CSV file is its name without the ending. A file is read in one
-    task and is at most 2 GB, the limit of a binary value.
+    task and is at most 2 GB, the limit of a binary value; ranges.read_ranges() reads CSV files of any size.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return rows_of(files, sheet)
@@ -100,7 +101,7 @@ def rows_of(files: DataFrame, sheet: str | None = None) -> DataFrame:
                     n = len(some)
                     yield pa.RecordBatch.from_pydict({
                         "path": [p] * n, "content_hash": [digest] * n, "sheet": [name] * n, "headers": pa.array([headers] * n, pa.list_(pa.string())),
-                        "row_index": pa.array(range(at, at + n), pa.int64()), "spreadsheet_row": pa.array(range(at + 2, at + n + 2), pa.int64()),
+                        "row_index": pa.array(range(at, at + n), pa.int64()), "spreadsheet_row": pa.array([i for i, _ in some], pa.int64()),
                         "cells": pa.array([c + [""] * (len(headers) - len(c)) for _, c in some], pa.list_(pa.string())),
                     })
 

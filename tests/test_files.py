@@ -25,7 +25,7 @@ def write(folder, name, text):
 def test_grid_and_quarantine(spark, tmp_path):
     path = write(tmp_path, "a.csv", GOOD)
     rows = grid.read_rows(spark, path)
-    assert [(r.spreadsheet_row, r.cells[0]) for r in rows.orderBy("row_index").collect()] == [(2, "POL-1-00001"), (3, "POL-1-00002"), (4, "POL-1-00003"), (5, "POL-1-00004")]
+    assert [(r.spreadsheet_row, r.cells[0]) for r in rows.orderBy("row_index").collect()] == [(2, "POL-1-00001"), (3, "POL-1-00002"), (4, "POL-1-00003"), (6, "POL-1-00004")]
     assert rows.first().content_hash == hashlib.sha256(open(path, "rb").read()).hexdigest()
     tagged = canonical.canonicalise(rows, {"Policy Reference": "policy_reference", "Period": "period", "Gross Premium": "gross_premium"}, FAMILY, SENDER)
     assert [r.key for r in canonical.accepted(tagged).collect()] == ["POL-1-00001|2026-01"]
