@@ -116,3 +116,8 @@ def add(a: Column, a_currency: Column, b: Column, b_currency: Column, sign: int
     """a + b (or a - b) of one currency; two currencies are an error, as there is no rate."""
     total = (a + b if sign > 0 else a - b).cast(MONEY)
     return F.when(a_currency == b_currency, total).otherwise(F.raise_error(F.concat(F.lit("cannot combine "), a_currency, F.lit(" with "), b_currency)).cast(MONEY))
+
+
+def magnitude(a: Column) -> Column:
+    """An amount without its sign; its currency stays what it is."""
+    return F.abs(a).cast(MONEY)

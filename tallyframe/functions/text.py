@@ -30,9 +30,10 @@ def mapping_digest(sender: Column, version: Column, columns: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", sender, version.cast("string"), entries), 256), 1, 16)
 
 
-def token_set_ratio(a: str, b: str) -> float:
+def token_set_ratio(a: str, b: str, least: float = 0.0) -> float:
     """Similarity 0 to 100 of two texts as sets of words: the best of the common words against either side, and of both
-    sides, by the share of characters in a longest common subsequence."""
+    sides, by the share of characters in a longest common subsequence. Exact from `least` on; what cannot reach it by length, or
+    cannot beat the best so far, is not compared, and the result is then below `least`, too."""
     x, y = set(a.split()), set(b.split())
     if not x or not y:
         return 0.0
@@ -42,16 +43,27 @@ def token_set_ratio(a: str, b: str) -> float:
     base = " ".join(common)
     left, right = " ".join([*common, *own]), " ".join([*common, *other])
     pairs = [(left, right)] + ([(base, left), (base, right)] if base else [])
-    return max(200.0 * _common_subsequence(p, q) / max(1, len(p) + len(q)) for p, q in pairs)
-
-
-def _common_subsequence(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for c in a:
-        above = 0
-        for j, d in enumerate(b, 1):
-            above, row[j] = row[j], above + 1 if c == d else max(row[j], row[j - 1])
-    return row[-1]
+    bounded = sorted(((200.0 * min(len(p), len(q)) / max(1, len(p) + len(q)), p, q) for p, q in pairs), reverse=True)
+    best = 0.0
+    for bound, p, q in bounded:
+        if bound <= best or bound < least:
+            break
+        best = max(best, 200.0 * common_subsequence(p, q) / max(1, len(p) + len(q)))
+    return best
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """The length of a longest common subsequence. A row of the usual table is one integer, whose zero bits are the columns
+    where the length grows; a character of b updates all columns by one addition."""
+    full = (1 << len(a)) - 1
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    row = full
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
 
 def frame_digest(df: DataFrame) -> DataFrame:

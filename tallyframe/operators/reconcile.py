@@ -33,7 +33,8 @@ def arithmetic_holds(gross: Column, deductions: Column, net: Column) -> Column:
     return F.when(net.isNotNull(), F.coalesce(net_of_deductions(gross, deductions) == net, F.lit(False)))
 
 
-def _one_per_key(side: DataFrame, ordinal: str) -> DataFrame:
+def one_per_key(side: DataFrame, ordinal: str) -> DataFrame:
+    """key, n (its rows), r (the first of them)."""
     row = F.struct("currency", "gross", "deductions", "net")
     return side.groupBy("key").agg(F.count("*").alias("n"), F.min_by(row, F.col(ordinal)).alias("r"))
 
@@ -50,7 +51,11 @@ def pair(statement: DataFrame, ledger: DataFrame, ordinal: str = "spreadsheet_ro
     """key, n_s, n_l (rows on either side, 0 if none), s, l (the first row of each side)."""
     forbid_floats(statement, ["gross", "net"])
     forbid_floats(ledger, ["gross", "net"])
-    a, b = _one_per_key(statement, ordinal), _one_per_key(ledger, ordinal)
+    return meet(one_per_key(statement, ordinal), one_per_key(ledger, ordinal))
+
+
+def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+    """pair() of sides that have one row for each key."""
     both = a.select("key", F.col("n").alias("n_s"), F.col("r").alias("s")).join(b.select("key", F.col("n").alias("n_l"), F.col("r").alias("l")), "key", "full_outer")
     return both.select("key", F.coalesce("n_s", F.lit(0)).alias("n_s"), F.coalesce("n_l", F.lit(0)).alias("n_l"), "s", "l")
 
@@ -63,7 +68,12 @@ def reconcile(statement: DataFrame, ledger: DataFrame, tolerance: Tolerance = EX
     null currency, on either side or both, is no agreement; a row without a gross does not hold by itself. Rows with a null
     key match nothing: they are missing, or duplicate if there are several. Other columns do not matter.
     """
-    rows = pair(statement, ledger, ordinal).withColumns({"fs": _fields(F.col("s")), "fl": _fields(F.col("l"))})
+    return decide(pair(statement, ledger, ordinal), tolerance)
+
+
+def decide(pairs: DataFrame, tolerance: Tolerance = EXACT) -> DataFrame:
+    """reconcile() of the rows that pair() gives."""
+    rows = pairs.withColumns({"fs": _fields(F.col("s")), "fl": _fields(F.col("l"))})
     single = (F.col("n_s") == 1) & (F.col("n_l") == 1)
     names = F.array_sort(F.array_union(F.map_keys("fs"), F.map_keys("fl")))
     rows = rows.select("*", F.when(single, names).alias("names"), single.alias("single"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.money import MONEY, money_text
 from tallyframe.functions.text import mapping_digest
+from tallyframe.operators import locate
 
 _LINEAGE = "array<struct<source_content_hash:string,cell:struct<sheet:string,row:int,column:string>,mapping_version:int,raw_value:string>>"
 SCHEMAS = {
@@ -26,6 +27,8 @@ SCHEMAS = {
     "quarantine": "source_content_hash string, spreadsheet_row long, reason string, raw_value string, resolved_at timestamp, resolved_by string, ingest string",
     "audit_event": "at timestamp, event string, actor string, subject string, payload string",
 }
+#: Where each key's rows are, beside the tables: an index in buckets, of canonical rows and of rows held for a repeated key.
+PLACES = "key string, source_content_hash string, spreadsheet_row long, mapping_version int, ingest string"
 #: Tables whose rows are those of files.
 _BY_FILE = ("ledger_row", "quarantine")
 
@@ -42,6 +45,11 @@ def money_json(deductions):
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(deductions, lambda k, v: money_text(v))))))
 
 
+def lineage_json(lineage):
+    """A row's lineage as JSON: one object for each value, in order."""
+    return F.to_json(lineage)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -54,11 +62,17 @@ class Store:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], SCHEMAS[name])
-        if name in _BY_FILE:
-            done = self.table("ingested_file").select(F.col("content_hash").alias("source_content_hash"), "mapping_version", "ingest")
-            on = ["source_content_hash", "ingest"] + ["mapping_version"] * (name == "ledger_row")
-            df = df.join(done, on, "left_semi").select(*df.columns)
-        return df
+        return self._done(df, name == "ledger_row") if name in _BY_FILE else df
+
+    def _done(self, df: DataFrame, by_version: bool) -> DataFrame:
+        """Rows of ingests that ended."""
+        done = self.table("ingested_file").select(F.col("content_hash").alias("source_content_hash"), "mapping_version", "ingest")
+        return df.join(done, ["source_content_hash", "ingest"] + ["mapping_version"] * by_version, "left_semi").select(*df.columns)
+
+    def locate(self, keys: DataFrame) -> DataFrame:
+        """key, source_content_hash, spreadsheet_row, mapping_version: of every stored row of keys (a column `key`), the rows of
+        repeated keys among them. Only the index's buckets of these keys are read."""
+        return self._done(locate.locate(self.spark, f"{self.root}/key_index", keys, PLACES), True).drop("ingest")
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Add rows, which have the table's columns, to a table."""
@@ -105,6 +119,7 @@ class Store:
         waiting = held.unionByName(refused).withColumnRenamed("content_hash", "source_content_hash").withColumns({"resolved_at": F.lit(None).cast("timestamp"), "resolved_by": F.lit(None).cast("string"), "ingest": F.lit(ingest)})
         self.append("ledger_row", kept)
         self.append("quarantine", waiting)
+        locate.append(marked.select("key", F.col("content_hash").alias("source_content_hash"), "spreadsheet_row", "mapping_version", F.lit(ingest).alias("ingest")), f"{self.root}/key_index")
         written, put_off = (self.spark.read.schema(SCHEMAS[t]).parquet(f"{self.root}/{t}").where(F.col("ingest") == ingest).withColumnRenamed("source_content_hash", "content_hash").groupBy("content_hash") for t in _BY_FILE)
         counted = new.join(written.agg(F.count("*").alias("row_count"), F.min("period").alias("period")), "content_hash", "left").join(put_off.agg(F.count("*").alias("quarantined_count")), "content_hash", "left")
         counted = counted.withColumns({"row_count": F.coalesce("row_count", F.lit(0)), "quarantined_count": F.coalesce("quarantined_count", F.lit(0)), "status": F.lit("ingested"), "ingested_at": F.lit(now), "object_key": F.lit(None).cast("string"), "ingest": F.lit(ingest)})
@@ -128,6 +143,8 @@ class Store:
         """Record a mapping contract; False if this version of the sender's is there already."""
         if not by or version < 1 or not columns:
             raise ValueError("a contract has columns, a version from 1 on and the name of who confirmed it")
+        if len(set(columns.values())) < len(columns):
+            raise ValueError("two columns have one field")
         if not self.table("mapping_contract").where((F.col("sender") == sender) & (F.col("version") == version)).isEmpty():
             return False
         digest = self.spark.range(1).select(mapping_digest(F.lit(sender), F.lit(version), F.create_map(*[F.lit(x) for e in columns.items() for x in e]))).first()[0]

@@ -25,6 +25,11 @@ def quarantine_queue(quarantine: DataFrame, files: DataFrame, limit: int = 500)
     return open_.join(named, "source_content_hash").orderBy("source_content_hash", "spreadsheet_row", "reason").limit(limit)
 
 
+def by_key(results: DataFrame) -> DataFrame:
+    """Results in the order of their keys' bytes."""
+    return results.orderBy("key")
+
+
 def contracts(mapping_contract: DataFrame) -> DataFrame:
     return mapping_contract.orderBy("sender", F.col("version").desc())
 

@@ -1,7 +1,9 @@
 import pytest
 from compare import check
 
-from tallyframe.plans.queries import ORACLES, QUERIES
+from tallyframe.plans import files, queries
+
+QUERIES, ORACLES = queries.QUERIES | queries.FIXTURE_QUERIES | files.QUERIES, queries.ORACLES | files.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
