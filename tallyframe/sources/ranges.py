@@ -216,15 +216,20 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= _FEW else df
 
 
-def records_of(lines: DataFrame, states: DataFrame) -> DataFrame:
-    """(path, start, record, within, cells) of every record with a value, under the range in which it begins."""
+def _cut_lines(lines: DataFrame, states: DataFrame) -> DataFrame:
+    """(path, start, record, within, cells, text): the finished records with a value, and the pieces of others, of each range."""
     known = _few(states).withColumnRenamed("path", "of").withColumnRenamed("start", "from")
     # A range that the first pass did not see (other settings, another file) is an error, not a gap.
     joined = lines.join(known, (F.col("path") == F.col("of")) & (F.col("start") == F.col("from")), "left")
-    checked = joined.select("path", "start", "line", "delimiter", F.when(F.col("of").isNull(), F.raise_error(F.lit("the files or their ranges changed while they were read"))).otherwise(F.col("inside")).cast("boolean").alias("inside"), "records")
-    cut = checked.mapInArrow(_cut, _RECORDS)
-    pieces = cut.where("text IS NOT NULL").groupBy("path", "record").agg(F.array_sort(F.collect_list(F.struct("start", "within", "text"))).alias("pieces"))
+    unknown = F.raise_error(F.lit("the files or their ranges changed while they were read")).cast("boolean")
+    return joined.select("path", "start", "line", "delimiter", F.when(F.col("of").isNull(), unknown).otherwise(F.col("inside")).alias("inside"), "records").mapInArrow(_cut, _RECORDS)
+
+
+def _crossing(ranges: DataFrame, states: DataFrame) -> DataFrame:
+    """The records that cross ranges, joined from their pieces, under the range in which they begin."""
+    pieces = ranges.select("path", "start", F.inline("pieces")).groupBy("path", "record").agg(F.array_sort(F.collect_list(F.struct("start", "within", "text"))).alias("pieces"))
     delimiters = states.groupBy("path").agg(F.max("delimiter").alias("delimiter"))
+    whole = pieces.select("path", F.col("pieces")[0]["start"].alias("start"), "record", F.col("pieces")[0]["within"].alias("within"), F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("text"))
 
     def parse(batches):
         for batch in batches:
@@ -235,9 +240,7 @@ def records_of(lines: DataFrame, states: DataFrame) -> DataFrame:
                     rows.append((path, start, record, within, found[0], None))
             yield _batch(rows)
 
-    joined = pieces.select("path", F.col("pieces")[0]["start"].alias("start"), "record", F.col("pieces")[0]["within"].alias("within"), F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("text")).join(delimiters, "path")
-    crossing = joined.mapInArrow(parse, _RECORDS)
-    return cut.where("text IS NULL").unionByName(crossing).drop("text")
+    return whole.join(delimiters, "path").mapInArrow(parse, _RECORDS).drop("text")
 
 
 def read_ranges(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -245,18 +248,26 @@ def read_ranges(spark: SparkSession, path: str, glob: str | None = None) -> Data
     records from 0, spreadsheet_row is the true number of the record, blank ones counted. Short records are padded.
 
     content_hash is not of the file's bytes, which would have to be read in order, but of its records: the sum of the hashes of
-    their numbers and cells, the same however the file is cut. The files are read three times: for the ranges' states, for the
-    header, hash and number of records of each range, and for the rows.
+    their numbers and cells, the same however the file is cut. The files are read three times: for the ranges' states; for the
+    header, hash and number of records of each range and the pieces at its ends; and for the rows.
     """
     lines = _lines(spark, path, glob)
     states = written(range_states(lines), "range-states")
-    records = records_of(lines, states)
+    cut = _cut_lines(lines, states)
+    whole = F.col("text").isNull()
     hashed = row_hash(F.col("record"), F.to_json("cells"))
-    ranges = written(records.groupBy("path", "start").agg(F.count("*").alias("n"), F.min("record").alias("first"), F.min_by("cells", "record").alias("cells"), set_digest(hashed).alias("digest")), "ranges")
+    sums = cut.groupBy("path", "start").agg(
+        F.count_if(whole).alias("n"), F.min(F.when(whole, F.col("record"))).alias("record"), F.min_by("cells", F.when(whole, F.col("record"))).alias("cells"), set_digest(F.when(whole, hashed)).alias("digest"),
+        F.collect_list(F.when(~whole, F.struct("record", "within", "text"))).alias("pieces"),
+    )
+    ranges = written(sums, "ranges")
+    crossing = written(_crossing(ranges, states), "crossing-records")
+    every = ranges.select("path", "start", "n", "record", "cells", "digest").unionByName(crossing.select("path", "start", F.lit(1).cast("long").alias("n"), "record", "cells", hashed.alias("digest")))
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    places = ranges.select(F.col("path").alias("of"), F.col("start").alias("from"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    files = ranges.groupBy(F.col("path").alias("of")).agg(F.min_by("cells", "first").alias("headers"), F.concat(F.lit("records-"), set_digest(F.col("digest"))).alias("content_hash"))
-    rows = records.join(_few(places), (F.col("path") == F.col("of")) & (F.col("start") == F.col("from"))).drop("of")
+    places = every.groupBy("path", "start").agg(F.sum("n").alias("n")).select(F.col("path").alias("of"), F.col("start").alias("from"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    files = every.groupBy(F.col("path").alias("of")).agg(F.min_by("cells", "record").alias("headers"), F.concat(F.lit("records-"), set_digest(F.col("digest"))).alias("content_hash"))
+    rows = cut.where(whole).drop("text").unionByName(crossing)
+    rows = rows.join(_few(places), (F.col("path") == F.col("of")) & (F.col("start") == F.col("from"))).drop("of")
     rows = rows.join(_few(files), F.col("path") == F.col("of"))
     index = F.col("before") + F.col("within") - 1
     padded = F.concat("cells", F.array_repeat(F.lit(""), F.greatest(F.size("headers") - F.size("cells"), F.lit(0))))
