@@ -17,6 +17,7 @@ from tallyframe.operators.store import Store
 from tallyframe.plans import queries, statements
 from tallyframe.sources.ranges import read_ranges
 from tallyframe.sources.scratch import scratch_path
+from tallyframe.streaming import incremental
 
 NOTE = 'see\npage "2"; ok'
 
@@ -76,6 +77,17 @@ def reconcile_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile_tables(spark.table(f"statement_{name}"), spark.table(f"ledger_{name}")).select("key", "status", "rule", "detail")
 
 
+def reconcile_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides arrive in several files each, one after the other; the statuses after the last micro-batch."""
+    root, streams = scratch_path(spark, "arriving"), []
+    for side, rows in (("statement", statements.statement(spark, sf_dir)), ("ledger", statements.ledger(spark, sf_dir))):
+        sent = rows.select("key", "currency", "gross", "deductions", "net", "ordinal")
+        sent.repartition(3, "ordinal").write.parquet(f"{root}/{side}")
+        streams.append(spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{side}"))
+    incremental.keep(incremental.statuses(*streams, ordinal="ordinal"), f"{root}/statuses", f"{root}/checkpoint").awaitTermination()
+    return incremental.current(spark, f"{root}/statuses").select("key", "status", "rule")
+
+
 def _with_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statement files with a footer of their total: a cent off where the supplier's number is divisible by five, none where it
     is by seven."""
@@ -100,7 +112,7 @@ def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("content_hash", "n_rows", "accepted", "quarantined", *amounts, "agrees", *reconcile.STATUSES)
 
 
-QUERIES = {f.__name__: f for f in (csv_ranges, content_digests, locate_rows, document_changes, reconcile_stored, file_report)}
+QUERIES = {f.__name__: f for f in (csv_ranges, content_digests, locate_rows, document_changes, reconcile_stored, reconcile_incremental, file_report)}
 
 _GOOD_SIDE = queries._FILE + queries._with_rule().removeprefix(queries._LINES).replace("s AS (SELECT * FROM lines WHERE b <> 4)", "s AS (SELECT * FROM good)")
 _HASHED = "sha256(" + " || ".join(f"(length({x}) || ':' || {x})" for x in ("key", "currency", queries._text("gross"), queries._text("net"))) + ")"
@@ -118,6 +130,7 @@ ORACLES = {
         b AS (SELECT n.event_id, n.path, o.value AS old_value, n.value AS new_value, n.kind FROM p n LEFT JOIN p o ON o.user_id = n.user_id AND o.i = n.i - 1 AND o.path = n.path)
         SELECT event_id, path, CASE WHEN old_value IS NULL THEN 'added' WHEN new_value IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN old_value IS NOT NULL THEN kind END AS old_kind, old_value,
                CASE WHEN new_value IS NOT NULL THEN kind END AS new_kind, new_value FROM b WHERE old_value IS DISTINCT FROM new_value""",
+    "reconcile_incremental": queries.ORACLES["reconcile_status"],
     "reconcile_stored": f"""WITH {queries._with_rule()} SELECT key, status, rule, CASE rule WHEN 'repeated_key' THEN CAST(greatest(ns, nl) AS VARCHAR) || ' rows have this key in the ' || CASE WHEN ns > 1 THEN 'statement' ELSE 'ledger' END
         WHEN 'absent_on_one_side' THEN 'only in the ' || CASE WHEN ns = 0 THEN 'ledger' ELSE 'statement' END || ': ' || {queries._text('coalesce(sg, lg)')} WHEN 'currency_disagreement' THEN sc || ' against ' || lc
         WHEN 'internal_arithmetic' THEN CASE WHEN sg - sd - st <> sn THEN 'statement: net ' || {queries._text('sn')} || ', gross less deductions ' || {queries._text('sg - sd - st')} ELSE 'ledger: net ' || {queries._text('ln')} || ', gross less deductions ' || {queries._text('lg - ld - lt')} END

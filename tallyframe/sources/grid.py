@@ -7,8 +7,12 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
+import sys
 import zipfile
+from array import array
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -28,12 +32,15 @@ def clean(value: str) -> str:
     return value.strip()
 
 
-def csv_records(content: bytes) -> list[tuple[int, list[str]]]:
+def csv_records(content: bytes) -> Iterator[tuple[int, list[str]]]:
     """(number, cells) of the records with a non-blank cell; the delimiter is `;` if the first line has more of them."""
-    text = content.decode("utf-8-sig", errors="replace")
-    first = text.split("\n", 1)[0]
-    rows = csv.reader(io.StringIO(text, newline=""), delimiter=";" if first.count(";") > first.count(",") else ",")
-    return [(i, cells) for i, cells in enumerate(([c.strip() for c in r] for r in rows), 1) if any(cells)]
+    first = content.split(b"\n", 1)[0]
+    csv.field_size_limit(sys.maxsize)
+    text = io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", "replace", newline="")
+    for i, record in enumerate(csv.reader(text, delimiter=";" if first.count(b";") > first.count(b",") else ","), 1):
+        cells = [c.strip() for c in record]
+        if any(cells):
+            yield i, cells
 
 
 def _column(reference: str) -> int:
@@ -43,31 +50,67 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def xlsx_records(content: bytes, sheet: str | None = None) -> tuple[str, list[tuple[int, list[str]]]]:
-    """The named sheet's name, an error if it is absent, or the first one's, and (number, cells) of its records with a non-blank cell; values, not formulas."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        read = lambda name: ElementTree.fromstring(book.read(name))
-        shared = [] if "xl/sharedStrings.xml" not in book.namelist() else ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in read("xl/sharedStrings.xml")]
-        targets = {r.get("Id"): r.get("Target") for r in read("xl/_rels/workbook.xml.rels")}
-        sheets = [(s.get("name"), targets[s.get(f"{_REL}id")]) for s in read("xl/workbook.xml").iter(f"{_MAIN}sheet")]
-        name, target = sheets[0] if sheet is None else next((s for s in sheets if s[0] == sheet), (sheet, None))
-        if target is None:
-            raise ValueError(f"no sheet is named {sheet!r}")
-        out = []
-        for n, row in enumerate(read("xl/" + target.removeprefix("/xl/")).iter(f"{_MAIN}row"), 1):
-            cells: list[str] = []
-            for c in row.iter(f"{_MAIN}c"):
-                at, kind, value = _column(c.get("r") or "") if c.get("r") else len(cells), c.get("t"), c.find(f"{_MAIN}v")
-                if kind == "inlineStr":
-                    text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
-                else:
-                    text = "" if value is None else value.text or ""
-                    text = shared[int(text)] if kind == "s" and text else clean(text) if kind in (None, "n") else text
-                cells += [""] * (at + 1 - len(cells))
-                cells[at] = text.strip()
-            if any(cells):
-                out.append((int(row.get("r") or n), cells))
-        return name, out
+class _Strings:
+    """A workbook's shared strings as one run of bytes and where each ends."""
+
+    def __init__(self) -> None:
+        self.data, self.ends = bytearray(), array("q", [0])
+
+    def add(self, text: str) -> None:
+        self.data += text.encode("utf-8", "surrogatepass")
+        self.ends.append(len(self.data))
+
+    def __getitem__(self, i: int) -> str:
+        return self.data[self.ends[i] : self.ends[i + 1]].decode("utf-8", "surrogatepass")
+
+
+def _elements(book: zipfile.ZipFile, part: str, tag: str) -> Iterator[ElementTree.Element]:
+    """Each element of a tag as it ends; it is gone from the tree when the next one is read."""
+    with book.open(part) as file:
+        above: list[ElementTree.Element] = []
+        for event, element in ElementTree.iterparse(file, ("start", "end")):
+            if event == "start":
+                above.append(element)
+                continue
+            above.pop()
+            if element.tag == tag:
+                yield element
+                if above:
+                    above[-1].remove(element)
+
+
+def xlsx_records(content: bytes, sheet: str | None = None) -> tuple[str, Iterator[tuple[int, list[str]]]]:
+    """The named sheet's name, an error if it is absent, or the first one's, and (number, cells) of its records with a non-blank
+    cell; values, not formulas. A sheet is read row by row: what is in memory is a row and the shared strings."""
+    book = zipfile.ZipFile(io.BytesIO(content))
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    sheets = [(s.get("name"), targets[s.get(f"{_REL}id")]) for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")]
+    name, target = sheets[0] if sheet is None else next((s for s in sheets if s[0] == sheet), (sheet, None))
+    if target is None:
+        raise ValueError(f"no sheet is named {sheet!r}")
+    return name, _sheet_records(book, "xl/" + target.removeprefix("/xl/"))
+
+
+def _sheet_records(book: zipfile.ZipFile, part: str) -> Iterator[tuple[int, list[str]]]:
+    shared = _Strings()
+    if "xl/sharedStrings.xml" in book.namelist():
+        for s in _elements(book, "xl/sharedStrings.xml", f"{_MAIN}si"):
+            shared.add("".join(t.text or "" for t in s.iter(f"{_MAIN}t")))
+    number = 0
+    for row in _elements(book, part, f"{_MAIN}row"):
+        number = int(row.get("r") or number + 1)
+        cells: list[str] = []
+        for c in row.iter(f"{_MAIN}c"):
+            at, kind, value = _column(c.get("r") or "") if c.get("r") else len(cells), c.get("t"), c.find(f"{_MAIN}v")
+            if kind == "inlineStr":
+                text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
+            else:
+                text = "" if value is None else value.text or ""
+                text = shared[int(text)] if kind == "s" and text else clean(text) if kind in (None, "n") else text
+            cells += [""] * (at + 1 - len(cells))
+            cells[at] = text.strip()
+        if any(cells):
+            yield number, cells
 
 
 def read_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
@@ -93,17 +136,18 @@ def rows_of(files: DataFrame, sheet: str | None = None) -> DataFrame:
                     name, records = xlsx_records(content, sheet)
                 else:
                     name, records = p.rsplit("/", 1)[-1].rsplit(".", 1)[0], csv_records(content)
-                if not records:
+                _, headers = next(records, (0, None))
+                if headers is None:
                     continue
-                (_, headers), data = records[0], records[1:]
-                for at in range(0, max(1, len(data)), 10_000):
-                    some = data[at : at + 10_000]
+                at = 0
+                for some in itertools.batched(records, 10_000):
                     n = len(some)
                     yield pa.RecordBatch.from_pydict({
                         "path": [p] * n, "content_hash": [digest] * n, "sheet": [name] * n, "headers": pa.array([headers] * n, pa.list_(pa.string())),
                         "row_index": pa.array(range(at, at + n), pa.int64()), "spreadsheet_row": pa.array([i for i, _ in some], pa.int64()),
                         "cells": pa.array([c + [""] * (len(headers) - len(c)) for _, c in some], pa.list_(pa.string())),
                     })
+                    at += n
 
     return files.mapInArrow(run, ROWS)
 
