@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyframe.adapters import get_family
 from tallyframe.functions.digests import row_hash, set_digest
 from tallyframe.functions.money import COMMA, MONEY, format_amount, money_text
+from tallyframe.functions.sql import register
 from tallyframe.operators import canonical, documents, reconcile, reports
 from tallyframe.operators.side_tables import reconcile_tables, save_side
 from tallyframe.operators.store import Store
@@ -88,6 +89,14 @@ def reconcile_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.current(spark, f"{root}/statuses").select("key", "status", "rule")
 
 
+def amounts_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts and months of orders written in many ways and read by SQL alone."""
+    register(spark)
+    orders = queries._orders(spark, sf_dir)
+    raw = queries._dressed(orders, COMMA).join(queries._dates(spark, sf_dir).withColumnRenamed("raw", "month_raw"), "o_orderkey")
+    return spark.sql("SELECT o_orderkey, money_text(parse_amount(raw, 'comma_decimal')) AS amount, normalise_period(month_raw, true) AS day_first, normalise_period(month_raw, false) AS month_first, looks_like_date(month_raw) AS dated FROM {raw}", raw=raw)
+
+
 def _with_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statement files with a footer of their total: a cent off where the supplier's number is divisible by five, none where it
     is by seven."""
@@ -112,7 +121,7 @@ def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("content_hash", "n_rows", "accepted", "quarantined", *amounts, "agrees", *reconcile.STATUSES)
 
 
-QUERIES = {f.__name__: f for f in (csv_ranges, content_digests, locate_rows, document_changes, reconcile_stored, reconcile_incremental, file_report)}
+QUERIES = {f.__name__: f for f in (csv_ranges, content_digests, locate_rows, document_changes, reconcile_stored, reconcile_incremental, amounts_in_sql, file_report)}
 
 _GOOD_SIDE = queries._FILE + queries._with_rule().removeprefix(queries._LINES).replace("s AS (SELECT * FROM lines WHERE b <> 4)", "s AS (SELECT * FROM good)")
 _HASHED = "sha256(" + " || ".join(f"(length({x}) || ':' || {x})" for x in ("key", "currency", queries._text("gross"), queries._text("net"))) + ")"
@@ -130,6 +139,7 @@ ORACLES = {
         b AS (SELECT n.event_id, n.path, o.value AS old_value, n.value AS new_value, n.kind FROM p n LEFT JOIN p o ON o.user_id = n.user_id AND o.i = n.i - 1 AND o.path = n.path)
         SELECT event_id, path, CASE WHEN old_value IS NULL THEN 'added' WHEN new_value IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN old_value IS NOT NULL THEN kind END AS old_kind, old_value,
                CASE WHEN new_value IS NOT NULL THEN kind END AS new_kind, new_value FROM b WHERE old_value IS DISTINCT FROM new_value""",
+    "amounts_in_sql": f"SELECT a.o_orderkey, amount, day_first, month_first, dated FROM ({queries._SIGNED}) a JOIN ({queries.ORACLES['normalise_period_forms']}) p ON p.o_orderkey = a.o_orderkey JOIN ({queries.ORACLES['date_likeness']}) d ON d.o_orderkey = a.o_orderkey",
     "reconcile_incremental": queries.ORACLES["reconcile_status"],
     "reconcile_stored": f"""WITH {queries._with_rule()} SELECT key, status, rule, CASE rule WHEN 'repeated_key' THEN CAST(greatest(ns, nl) AS VARCHAR) || ' rows have this key in the ' || CASE WHEN ns > 1 THEN 'statement' ELSE 'ledger' END
         WHEN 'absent_on_one_side' THEN 'only in the ' || CASE WHEN ns = 0 THEN 'ledger' ELSE 'statement' END || ': ' || {queries._text('coalesce(sg, lg)')} WHEN 'currency_disagreement' THEN sc || ' against ' || lc

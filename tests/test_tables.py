@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.adapters import get_family
 from tallyframe.functions.money import magnitude
+from tallyframe.functions.sql import register
 from tallyframe.functions.text import common_subsequence, token_set_ratio
 from tallyframe.operators import canonical, documents, locate, reconcile, reports, side_tables
 from tallyframe.operators.store import Store, lineage_json
@@ -116,3 +117,12 @@ def test_lineage_as_json_and_magnitudes(spark):
     where = "named_struct('source_content_hash', 'h', 'cell', named_struct('sheet', 's', 'row', 2, 'column', 'GWP'), 'mapping_version', 1, 'raw_value', '1,00')"
     got = spark.sql(f"SELECT array({where}) AS lineage, CAST(-2.5 AS DECIMAL(18,4)) AS x").select(lineage_json(F.col("lineage")), magnitude(F.col("x"))).first()
     assert got[0] == '[{"source_content_hash":"h","cell":{"sheet":"s","row":2,"column":"GWP"},"mapping_version":1,"raw_value":"1,00"}]' and got[1] == D("2.5")
+
+
+def test_functions_in_sql(spark):
+    assert "parse_amount" in register(spark) == register(spark)
+    got = spark.sql("""SELECT parse_amount('(1.234,50 €)', 'comma_decimal') AS a, parse_amount('1,5', 'dot_decimal') AS b, parse_amount('1', 'other') AS c, format_amount(CAST(-1234.5 AS DECIMAL(18,4)), 'comma_decimal', 'EUR') AS d,
+        normalise_period('03/04/2026', false) AS e, identity_key(NULL, '2026-01') AS f, cell_reference('s', 'GWP', 7) AS g, looks_like_date('TBC') AS h""").first()
+    assert tuple(got) == (D("-1234.50"), None, None, "-1.234,50 EUR", "2026-03", "|2026-01", "s!GWP:7", False)
+    plan = plan_of(spark.sql("SELECT parse_amount(CAST(id AS STRING), 'dot_decimal') FROM range(9)"))
+    assert "Python" not in plan and "Arrow" not in plan
