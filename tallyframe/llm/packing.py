@@ -3,8 +3,9 @@
 Each task encodes its documents and cuts whole sequences off their fronts. The remainders wait in a window; while it is
 full, sequences are filled: the largest waiting remainder is taken, and a subset-sum over bitsets (one big integer for
 each length, so that the counts can be backtracked) picks the multiset of other remainders that comes closest to the
-capacity. At the end of a task the rest is filled the same way, and the few sequences that are not full are cut at powers
-of two, which need no padding. There is no shuffle: sequence ids hold the task's number in their upper bits.
+capacity. What slack is left is filled by cutting one of the remainders that still wait. So all sequences of a task are full but
+for its last ids, fewer than a sequence, which are cut at powers of two, as these need no padding. There is no shuffle:
+sequence ids hold the task's number in their upper bits.
 """
 
 from __future__ import annotations
@@ -102,10 +103,17 @@ class Packer:
     def drain(self, until: int = 0):
         while self.waiting > until:
             taken = self._take()
-            size = sum(len(p[2]) for p in taken)
-            if size == self.capacity or until:
+            slack = self.capacity - sum(len(p[2]) for p in taken)
+            if slack and self.waiting:  # all that wait are longer than the slack: one of them is cut to fill it
+                length = self.lengths[-1]
+                doc, start, ids, n = self._next(length)
+                taken.append((doc, start, ids[:slack], n))
+                self._wait(length - slack, (doc, start + slack, ids[slack:], n))
+                slack = 0
+            size = self.capacity - slack
+            if not slack:
                 yield from self._placed(taken, [size])
-            else:  # a power of two is not padded
+            else:  # the last ids of a task; a power of two is not padded
                 yield from self._placed(taken, [1 << b for b in range(size.bit_length() - 1, -1, -1) if size >> b & 1])
 
     def _placed(self, pieces: list, sizes: list[int]):
@@ -127,8 +135,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key:
     little-endian unsigned 32-bit integers), doc_tokens (the document's ids), sequence_id and offset in the sequence.
 
     tokenizer: the path of a tokenizer file that every executor can read. A null or empty text has the end id alone. Every
-    id lies in one piece. Sequences hold `capacity` ids or a power of two, except those that were filled from a full window
-    without reaching capacity. Repeated rows are packed as documents of their own; an empty table gives an empty one. Other columns of docs are left out; the key must not be named like one of the columns that are added. window: remainders that wait at most.
+    id lies in one piece. Sequences hold `capacity` ids, but for ten at most at the end of each task, which hold a power of two.
+    Repeated rows are packed as documents of their own; an empty table gives an empty one. Other columns of docs are left out; the key must not be named like one of the columns that are added. window: remainders that wait at most.
     """
     if key.lower() in (x.split()[0] for x in SCHEMA.split(", ")):
         raise ValueError(f"the key {key!r} is named like a column of the result; rename it first")
