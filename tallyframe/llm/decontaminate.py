@@ -19,10 +19,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import extended, in_arrow, numbered, slices, without
+from tallyframe.llm.common import extended, in_arrow, materialize, numbered, slices, without
 
 #: Words of the lower-cased text: digits, a-z and all that is not ASCII, as UTF-8.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -196,6 +196,22 @@ class Shard:
         """For every test suffix, the length of its longest match in this shard and the place of one such match."""
         return _longest(self.stream, self.suffixes, self.q.stream, self.q.suffix_at, self.q.suffix_size)
 
+    def least_places(self, best: np.ndarray, of: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """For some test suffixes, of the places in this shard that match for `best` words, the one in the document with the
+        lowest rank, there the first."""
+        q = self.q
+        low, high = (_search(self.stream, self.suffixes, q.stream, q.suffix_at[of], best[of], through) for through in (False, True))
+        width = np.int64(len(self.stream) + 1)
+        docs = self.document(self.suffixes)
+        row = rank[docs] * width + (self.suffixes - self.starts[docs]) if len(docs) else np.zeros(0, np.int64)
+        level, least = np.log2(np.maximum(1, high - low)).astype(np.int64), np.zeros(len(of), np.int64)
+        for k in range(int(level.max(initial=0)) + 1):  # row[i]: the least of 2 ** k values from i on
+            row = np.minimum(row[: -(1 << k - 1)], row[1 << k - 1 :]) if k else row
+            some = level == k
+            least[some] = np.minimum(row[low[some]], row[high[some] - (1 << k)])
+        order = np.argsort(rank)
+        return self.starts[order[least // width]] + least % width
+
     def occurrences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each occurrence of a window: the window, its place in the shard, in order of place, and the longest match there:
         with any item, if it is as long as a full window, else the short item that it is."""
@@ -243,13 +259,32 @@ def _annotated(batch: pa.RecordBatch, text: str, queries: Queries) -> pa.RecordB
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
-    """The benchmark in blocks of about block_bytes at most, one after the other: how many there are, and one's items."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text"))
-    total = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
-    n = max(1, math.ceil(1.3 * total / block_bytes)) if total > block_bytes else 1
-    for b in range(n):
-        some = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        yield n, [(r[0], r[1]) for r in some.collect()]
+    """The benchmark's distinct items in blocks of block_bytes at most, an item that is larger alone, one after the other: how
+    many there are, and one's items. Items are cut into runs by their running bytes, and runs are put together to blocks."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text")).distinct()
+    size = F.coalesce(F.length("text"), F.lit(0)) + F.octet_length("item") + 64
+    total = items.agg(F.sum(size)).first()[0] or 0
+    if total <= block_bytes:
+        yield 1, [(r[0], r[1]) for r in items.collect()]
+        return
+    placed = materialize(items.withColumn("at", F.monotonically_increasing_id()), "items")
+    part = F.shiftright("at", 33)
+    order, half = Window.partitionBy(part).orderBy("at"), max(1, block_bytes // 2)
+    # A run begins where the bytes before pass a multiple of half a block, so that it has a block at most; larger items than
+    # half a block are runs of their own.
+    large = (F.col("size") > half).cast("long")
+    runs = placed.select("at", part.alias("part"), size.alias("size"))
+    before = F.coalesce(F.sum(F.when(large == 0, F.col("size"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("at", "part", "size", F.floor(before / half).alias("run"), (2 * F.sum(large).over(order) - large).alias("turn"))
+    bounds = runs.groupBy("part", "run", "turn").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.sum("size").alias("size")).orderBy("first").collect()
+    blocks: list[list] = []
+    for r in bounds:
+        if blocks and blocks[-1][2] + r["size"] <= block_bytes:
+            blocks[-1][1:] = [r["last"], blocks[-1][2] + r["size"]]
+        else:
+            blocks.append([r["first"], r["last"], r["size"]])
+    for first, last, _ in blocks:
+        yield len(blocks), [(r[0], r[1]) for r in placed.where(F.col("at").between(first, last)).select("item", "text").collect()]
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", window: int = 10, block_bytes: int = BLOCK) -> DataFrame:
@@ -278,7 +313,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
             rows = numbered(base, "rows")
         part = rows.select("row", F.col("doc")[text].alias("text"))
         found = in_arrow(part, run, extended(part, **ADDED)).drop("text")
-        results.append(found.where("n_hit > 0") if results else found)  # the first has every row's n_words
+        results.append(materialize(found.where("n_hit > 0") if results else found, "hits"))  # the first has every row's n_words
+        queries.destroy()
     hits = reduce(DataFrame.unionByName, results).groupBy("row").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"),
         F.max("longest_match").alias("longest_match"), F.min(F.struct((-F.col("longest_match")).alias("n"), "longest_at"))["longest_at"].alias("longest_at"),
@@ -298,22 +334,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK) -> DataFrame:
-    """For every test suffix (item_id, start): the longest verbatim match in the training text, in words, and the
-    place of one (the smallest key among equals in different shards; 0 and nulls if even the first word is absent)."""
-    base, results = docs.select(F.col(key).cast("string").alias("place"), text), []
-    for _, items in _blocks(benchmark, block_bytes):
+    """For every test suffix (item_id, start) of the distinct items: n_match, the longest verbatim match in the training text in
+    words, and place and at, the key and word of one: of equals that with the smallest key as text, a null key last. 0 and nulls
+    if even the first word is absent. Null and empty texts match nothing; other columns of docs are not read. Each task keeps its
+    best matches and gives them once, so that the rows that are shuffled do not grow with the number of shards."""
+    base, results = docs.select(F.col(key).cast("string").alias("place"), F.col(text).alias("text")), []
+    for n, items in _blocks(benchmark, block_bytes):
         queries = docs.sparkSession.sparkContext.broadcast(prepare(items, 1))
 
         def run(batches, queries=queries):
             q = queries.value
-            items, starts = [q.names[i] for i in q.suffix_item.tolist()], q.suffix_at - q.suffix_at[np.searchsorted(q.suffix_item, q.suffix_item)] if len(q.suffix_at) else q.suffix_at
+            starts = q.suffix_at - q.suffix_at[np.searchsorted(q.suffix_item, q.suffix_item)] if len(q.suffix_at) else q.suffix_at
+            longest, where = np.zeros(len(q.suffix_at), np.int64), [None] * len(q.suffix_at)
             for batch in batches:
-                for part in slices(batch, text, SHARD):
+                for part in slices(batch, "text", SHARD):
                     keys = part.column("place").to_pylist()
-                    shard = Shard([words(t) for t in part.column(text).cast(pa.binary()).to_pylist()], q)
-                    best, at = shard.longest()
-                    doc = shard.document(at)
-                    yield pa.RecordBatch.from_pydict({"item_id": items, "start": starts, "n_match": best, "place": [keys[d] if n else None for d, n in zip(doc.tolist(), best.tolist(), strict=True)], "at": [int(a - shard.starts[d]) if n else None for a, d, n in zip(at.tolist(), doc.tolist(), best.tolist(), strict=True)]})
-
-        results.append(in_arrow(base, run, "item_id string, start long, n_match long, place string, at long"))
-    return reduce(DataFrame.union, results).groupBy("item_id", "start").agg(F.max_by(F.struct("n_match", "place", "at"), "n_match").alias("m")).select("item_id", "start", "m.*")
+                    shard = Shard([words(t) for t in part.column("text").cast(pa.binary()).to_pylist()], q)
+                    best, _ = shard.longest()
+                    better = np.flatnonzero((best > 0) & (best >= longest))
+                    rank = np.empty(len(keys), np.int64)
+                    rank[sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i] or "", i))] = np.arange(len(keys))
+                    places = shard.least_places(best, better, rank)
+                    for i, at, doc in zip(better.tolist(), places.tolist(), shard.document(places).tolist(), strict=True):
+                        here = (keys[doc] is None, keys[doc] or "", at - int(shard.starts[doc]))
+                        if best[i] > longest[i] or here < where[i]:
+                            longest[i], where[i] = best[i], here
+            names = [q.names[i] for i in q.suffix_item.tolist()]
+            yield pa.RecordBatch.from_pydict({"item_id": names, "start": starts, "n_match": longest, "place": pa.array([None if w is None or w[0] else w[1] for w in where], pa.string()), "at": pa.array([w and w[2] for w in where], pa.int64())})
+
+        found = in_arrow(base, run, "item_id string, start long, n_match long, place string, at long")
+        results.append(found if n == 1 else materialize(found, "matches"))
+        if n > 1:
+            queries.destroy()
+    order = F.struct((-F.col("n_match")).alias("n"), F.col("place").isNull().alias("none"), "place", "at")
+    return reduce(DataFrame.union, results).groupBy("item_id", "start").agg(F.min_by(F.struct("n_match", "place", "at"), order).alias("m")).select("item_id", "start", "m.*")
