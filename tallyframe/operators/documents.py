@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Levels of nesting; a deeper document is an error.
@@ -60,3 +61,22 @@ def changes(before: DataFrame, after: DataFrame, by: list[str], document: str =
     change = F.when(F.col("old_kind").isNull(), "added").when(F.col("new_kind").isNull(), "removed").when((F.col("old_kind") != F.col("new_kind")) | (F.col("old_value") != F.col("new_value")), "changed")
     own = [F.when(F.col("new_kind").isNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in by]
     return both.select(*own, F.coalesce("path", "_path").alias("path"), change.alias("change"), "old_kind", "old_value", "new_kind", "new_value").where("change IS NOT NULL")
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Keep documents (name, document) as lines of JSON with sorted fields, so that equal documents are equal bytes."""
+    named = F.to_json(F.array("name"))  # ["..."], whose brackets go
+    line = F.concat(F.lit('{"name":'), F.substr(named, F.lit(2), F.length(named) - 2), F.lit(',"document":'), canonical_json(F.col("document")), F.lit("}"))
+    documents.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(name, document) of what write_documents() kept; nothing if nothing was ever kept there."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.createDataFrame([], "value string")
+    node = F.parse_json("value")
+    return lines.select(F.variant_get(node, "$.name", "string").alias("name"), F.to_json(F.variant_get(node, "$.document", "variant")).alias("document"))
