@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -92,15 +93,23 @@ def lacking(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 BATCH_BYTES = 4_000_000
 
 
+def _give_back() -> None:
+    """Return to the system what this worker's allocators hold and do not use; it is kept for the next task otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+    if trim:
+        trim(0)
+
+
 def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """df.mapInArrow, with the session's limit of an Arrow batch lowered to BATCH_BYTES if it has Spark's default. A worker
-    that waits for its next task gives back what Arrow holds."""
+    that waits for its next task gives back the memory that it does not use."""
 
     def run(batches):
         try:
             yield from function(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            _give_back()
 
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name, "67108864b") == "67108864b":
