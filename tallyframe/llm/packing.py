@@ -74,7 +74,7 @@ class Packer:
         for start in range(0, whole, self.capacity):
             yield doc, start, ids[start : start + self.capacity], n, self._sequence(), 0
         if whole < n:
-            self._wait(n - whole, (doc, whole, ids[whole:], n))
+            self._wait(n - whole, (doc, whole, ids[whole:].copy(), n))  # not a view, which would keep all ids
             if self.waiting >= self.window:
                 yield from self.drain(self.window // 2)
 
