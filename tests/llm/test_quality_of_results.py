@@ -1,6 +1,8 @@
 """What SQL cannot say: held-out labels, and plain readings of whole tables."""
 
 import itertools
+import math
+import operator
 import zlib
 from html.parser import HTMLParser
 
@@ -8,10 +10,12 @@ import corpus_pipeline
 import numpy as np
 import pyarrow.parquet as pq
 import public_tokenizers
+import pytest
+import zstandard
 from test_text_operators import counts_of, near_groups, windows_of
 from tokenizers import Tokenizer
 
-from tallyframe.llm import html_text, language
+from tallyframe.llm import html_text, language, toxicity
 from tallyframe.llm.compression import letters, lengths
 from tallyframe.llm.queries import QUERIES
 
@@ -72,6 +76,31 @@ def test_toxicity_on_labels_that_were_held_out(spark):
     assert better > 0.88 and (s[y == 0] >= 0.5).mean() < 0.02 and (s[y == 1] >= 0.5).mean() > 0.6
 
 
+def test_toxicity_scores_of_documents_one_by_one(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    before, after = bytes(range(1, 32)), bytes(range(31, 0, -1))
+    how = zstandard.ZstdCompressionParameters(window_log=19, hash_log=17, chain_log=19, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    ordinary, toxic = (zstandard.ZstdCompressionDict(d + before + after, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (model.ordinary, model.toxic))
+    for d in (ordinary, toxic):
+        d.precompute_compress(compression_params=how)
+
+    def length(dictionary, word):
+        return len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how).compress(before + b" " + word + b" " + after))
+
+    tried = 0
+    for r in sorted(toxicity.score(docs, model).collect(), key=lambda r: (len(r.text or ""), r.doc_id))[::9][:50]:
+        words = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in (r.text or "").lower()).encode().split(b" ")
+        gains = [length(ordinary, w) - length(toxic, w) for w in words if w]
+        counts = [sum(g >= least for g in gains) for least in (2, 3, 4)]
+        top = sorted(gains, reverse=True)[:3] or [0]
+        x = [100 * c / max(1, len(gains)) for c in counts] + [math.log1p(c) for c in counts] + [top[0], sum(top) / len(top), math.log1p(len(gains)), 1]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, sum(map(operator.mul, x, model.weights)))))))
+        assert r.predicted == (r.score >= 0.5)
+        tried += bool(gains)
+    assert tried > 20
+
+
 def test_language_on_documents_that_were_held_out(spark):
     docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.collect()}
