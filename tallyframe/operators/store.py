@@ -3,6 +3,7 @@
 Any number of files is ingested in one plan: those whose hash is known are taken out by one anti-join, the ledger and quarantine
 rows of all others are appended with the name of the ingest, and their rows of `ingested_file` are written last, in one write.
 Readers join on file and ingest, so rows of an ingest that broke off are invisible, and ingesting its files again is right.
+Rows of files lie in folders by the file's hash, so that a file's rows, and the counts of an ingest, are read from its folders alone.
 Writers of one folder are assumed to be one at a time; a file system gives no primary key.
 """
 
@@ -10,9 +11,10 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions.money import MONEY, money_text
@@ -31,13 +33,23 @@ SCHEMAS = {
 PLACES = "key string, source_content_hash string, spreadsheet_row long, mapping_version int, ingest string"
 #: Tables whose rows are those of files.
 _BY_FILE = ("ledger_row", "quarantine")
+#: Folders of such a table; it is part of their names, so that it stays as it was when a store was begun.
+PARTS = 64
+
+
+def _part(content_hash: Column) -> Column:
+    return F.pmod(F.xxhash64(content_hash), F.lit(PARTS)).cast("int")
 
 
 def split_repeated(rows: DataFrame) -> DataFrame:
     """rows with `repeats`: how many rows of the file share the key. All rows of a repeated key are held. Rows of several files
-    have a content_hash."""
-    by = [c for c in ("content_hash",) if c in rows.columns]
-    return rows.withColumn("repeats", F.count("*").over(Window.partitionBy(*by, "key")))
+    have a content_hash; null keys, and null hashes, are equal to each other. Counts are added up before they are shuffled, and only
+    repeated keys meet the rows again, in a join that Spark splits where a key is frequent; no key's rows are gathered."""
+    by = [*(c for c in ("content_hash",) if c in rows.columns), "key"]
+    often = rows.groupBy(*by).agg(F.count("*").alias("repeats")).where("repeats > 1")
+    a, b = rows.alias("a"), often.alias("b")
+    same = reduce(lambda x, y: x & y, (F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in by))
+    return a.join(b, same, "left").select("a.*", F.coalesce("b.repeats", F.lit(1)).alias("repeats"))
 
 
 def money_json(deductions):
@@ -54,15 +66,24 @@ class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def table(self, name: str) -> DataFrame:
-        """A table's rows; those of files whose ingest did not end are not among them. A table that was never written is empty."""
+    def table(self, name: str, content_hash: str | None = None) -> DataFrame:
+        """A table's rows; those of files whose ingest did not end are not among them. A table that was never written is empty.
+        With a content_hash, a table of files' rows gives that file's, and reads no other folder than its own."""
+        df = self._read(name)
+        if name not in _BY_FILE:
+            return df
+        if content_hash is not None:
+            df = df.where((F.col("part") == _part(F.lit(content_hash))) & (F.col("source_content_hash") == content_hash))
+        return self._done(df.drop("part"), name == "ledger_row")
+
+    def _read(self, name: str) -> DataFrame:
+        schema = SCHEMAS[name] + (", part int" if name in _BY_FILE else "")
         try:
-            df = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self._done(df, name == "ledger_row") if name in _BY_FILE else df
+            return self.spark.createDataFrame([], schema)
 
     def _done(self, df: DataFrame, by_version: bool) -> DataFrame:
         """Rows of ingests that ended."""
@@ -76,7 +97,14 @@ class Store:
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Add rows, which have the table's columns, to a table."""
-        rows.select(*[F.col(c.split()[0]) for c in self._columns(name)]).write.mode("append").parquet(f"{self.root}/{name}")
+        self._write(name, rows.select(*[F.col(c.split()[0]) for c in self._columns(name)]), "append")
+
+    def _write(self, name: str, rows: DataFrame, mode: str) -> None:
+        if name not in _BY_FILE:
+            rows.write.mode(mode).parquet(f"{self.root}/{name}")
+            return
+        placed = rows.withColumn("part", _part(F.col("source_content_hash"))).hint("rebalance", F.col("part"))  # a large file's folder is written by several tasks
+        placed.sortWithinPartitions("part", "source_content_hash").write.mode(mode).partitionBy("part").parquet(f"{self.root}/{name}")
 
     def _columns(self, name: str) -> list[str]:
         return self.spark.createDataFrame([], SCHEMAS[name]).columns
@@ -120,7 +148,8 @@ class Store:
         self.append("ledger_row", kept)
         self.append("quarantine", waiting)
         locate.append(marked.select("key", F.col("content_hash").alias("source_content_hash"), "spreadsheet_row", "mapping_version", F.lit(ingest).alias("ingest")), f"{self.root}/key_index")
-        written, put_off = (self.spark.read.schema(SCHEMAS[t]).parquet(f"{self.root}/{t}").where(F.col("ingest") == ingest).withColumnRenamed("source_content_hash", "content_hash").groupBy("content_hash") for t in _BY_FILE)
+        parts = [r.part for r in new.select(_part(F.col("content_hash")).alias("part")).distinct().collect()]  # PARTS at most
+        written, put_off = (self._read(t).where(F.col("part").isin(parts) & (F.col("ingest") == ingest)).withColumnRenamed("source_content_hash", "content_hash").groupBy("content_hash") for t in _BY_FILE)
         counted = new.join(written.agg(F.count("*").alias("row_count"), F.min("period").alias("period")), "content_hash", "left").join(put_off.agg(F.count("*").alias("quarantined_count")), "content_hash", "left")
         counted = counted.withColumns({"row_count": F.coalesce("row_count", F.lit(0)), "quarantined_count": F.coalesce("quarantined_count", F.lit(0)), "status": F.lit("ingested"), "ingested_at": F.lit(now), "object_key": F.lit(None).cast("string"), "ingest": F.lit(ingest)})
         self.append("ingested_file", counted)  # the commit
@@ -131,7 +160,7 @@ class Store:
     def reset(self) -> None:
         """Every table without rows, as for tests."""
         for name, schema in SCHEMAS.items():
-            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.root}/{name}")
+            self._write(name, self.spark.createDataFrame([], schema), "overwrite")
 
     def round_trip(self, amount) -> bool:
         """Whether an exact amount comes back as it was written, to the last of its four decimals."""
@@ -153,7 +182,7 @@ class Store:
         return True
 
     def rows_of(self, content_hash: str) -> DataFrame:
-        return self.table("ledger_row").where(F.col("source_content_hash") == content_hash).orderBy("mapping_version", "key")
+        return self.table("ledger_row", content_hash).orderBy("mapping_version", "key")
 
     def counts(self) -> dict[str, int]:
         return {name: self.table(name).count() for name in SCHEMAS}

@@ -282,8 +282,8 @@ def store_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the screens over a store with every file: the queue of unresolved rows, one file's rows and quarantine, latest files."""
     store = _store(spark)
     store.ingest(_described(spark, sf_dir), _tagged(spark, sf_dir))
-    files, ledger, waiting = (store.table(n) for n in ("ingested_file", "ledger_row", "quarantine"))
-    screens = {"latest_files": views.latest_files(files), "file_rows": views.rows_of_file(ledger, "file-1"), "file_quarantine": views.quarantine_of_file(waiting, "file-1"), "quarantine_queue": views.quarantine_queue(waiting, files)}
+    files, waiting, one = store.table("ingested_file"), store.table("quarantine"), "file-1"
+    screens = {"latest_files": views.latest_files(files), "file_rows": views.rows_of_file(store.table("ledger_row", one), one), "file_quarantine": views.quarantine_of_file(store.table("quarantine", one), one), "quarantine_queue": views.quarantine_queue(waiting, files)}
     return views.table_counts(screens)
 
 

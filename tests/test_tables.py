@@ -1,9 +1,11 @@
 """The key index, documents as paths, sides in buckets, file reports, and small functions."""
 
 import random
+from collections import Counter
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyframe.adapters import get_family
@@ -11,7 +13,7 @@ from tallyframe.functions.money import magnitude
 from tallyframe.functions.sql import register
 from tallyframe.functions.text import common_subsequence, token_set_ratio
 from tallyframe.operators import canonical, documents, locate, reconcile, reports, side_tables
-from tallyframe.operators.store import Store, lineage_json
+from tallyframe.operators.store import Store, lineage_json, split_repeated
 from tallyframe.plans import statements
 from tallyframe.plans.bordereau import run_files
 
@@ -51,6 +53,36 @@ def test_places_of_ingests_that_broke_off_are_not_found(spark, tmp_path):
         store.confirm("s", 1, "insurance", {"a": "tax", "b": "tax"}, "me")
 
 
+def test_rows_of_a_file_are_read_from_its_folder(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    names = [f"f{i}" for i in range(40)]
+    rows = spark.createDataFrame([(n, "s", ["Ref", "Period", "GWP"], i + 2, [f"R{i}", "01/2026" if i else "TBC", f"{i}.00"]) for n in names for i in range(4)], "content_hash string, sheet string, headers array<string>, spreadsheet_row long, cells array<string>")
+    tagged = canonical.canonicalise(rows, {"Ref": "policy_reference", "Period": "period", "GWP": "gross_premium"}, get_family("insurance"), canonical.Profile("s", "GBP"))
+    files = rows.select("content_hash").distinct().selectExpr("content_hash", "'s' AS sender", "content_hash AS filename", "'insurance' AS family", "1 AS mapping_version")
+    assert store.ingest(files.where("content_hash < 'f3'"), tagged) == 23 and store.ingest(files, tagged) == 17
+    stored = store.table("ingested_file").agg(F.count("*"), F.sum("row_count"), F.sum("quarantined_count")).first()
+    assert tuple(stored) == (40, 120, 40)
+    found = store.rows_of("f7")
+    assert [(r.key, r.gross) for r in found.collect()] == [(f"R{i}|2026-01", D(i)) for i in (1, 2, 3)] and "part" not in found.columns
+    scan = next(x for x in plan_of(found).split("\n\n") if "Scan parquet" in x and "PartitionFilters" in x)
+    own = spark.range(1).select(F.pmod(F.xxhash64(F.lit("f7")), F.lit(64))).first()[0]
+    assert f"= {own})" in next(x for x in scan.split("\n") if x.startswith("PartitionFilters"))
+    assert [r.source_content_hash for r in store.table("quarantine", "f7").collect()] == ["f7"] and store.rows_of("none").count() == 0
+    store.reset()
+    assert set(store.counts().values()) == {0}
+    assert store.ingest(files.where("content_hash = 'f1'"), tagged) == 1 and store.counts()["ledger_row"] == 3
+
+
+def test_repeats_are_counted_with_null_keys_and_frequent_keys(spark):
+    given = [("f", "hot")] * 300 + [("g", "hot"), ("f", None), ("f", None), (None, None), (None, "k"), (None, "k"), ("g", "once")]
+    got = split_repeated(spark.createDataFrame(given, "content_hash string, key string"))
+    want = Counter(given)
+    assert got.columns == ["content_hash", "key", "repeats"] and sorted(map(str, got.collect())) == sorted(str(Row(content_hash=f, key=k, repeats=want[f, k])) for f, k in given)
+    alone = split_repeated(spark.createDataFrame([("a",), ("a",), (None,)], "key string"))
+    assert sorted((r.key or "", r.repeats) for r in alone.collect()) == [("", 1), ("a", 2), ("a", 2)]
+    assert split_repeated(alone.drop("repeats").limit(0)).count() == 0 and "Window" not in plan_of(got)
+
+
 DOCUMENT = '{"b": {"x": [1, {"y": null}], "e": {}, "l": []}, "a.b": "t", "q\\"\\\\": true, "n": 1.50, "deep": [[[2]]]}'
 
 
