@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.money import MONEY, money_text
 from tallyframe.functions.text import mapping_digest
 from tallyframe.operators import locate
+from tallyframe.sources import scratch
 
 _LINEAGE = "array<struct<source_content_hash:string,cell:struct<sheet:string,row:int,column:string>,mapping_version:int,raw_value:string>>"
 SCHEMAS = {
@@ -135,7 +136,7 @@ class Store:
         if new.isEmpty():
             return 0
         ingest, now = uuid.uuid4().hex, datetime.now(timezone.utc)
-        rows = tagged.join(new.select("content_hash", "mapping_version"), "content_hash")
+        rows = scratch.written(tagged.join(new.select("content_hash", "mapping_version"), "content_hash"), "ingest")  # read several times
         marked = split_repeated(rows.where("quarantine_reason IS NULL"))
         where = F.concat(F.array(F.col("gross.lineage")), F.transform(F.map_values("deductions"), lambda x: x["lineage"]), F.when(F.col("net").isNotNull(), F.array(F.col("net.lineage"))).otherwise(F.array().cast(_LINEAGE)), F.transform(F.map_values("attributes"), lambda x: x["lineage"]))
         kept = marked.where("repeats = 1").select(
