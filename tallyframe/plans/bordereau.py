@@ -39,4 +39,4 @@ def run_files(spark: SparkSession, path: str, family: Family, sender: canonical.
     outcomes = outcomes_of(rows, family)
     tagged = tag(rows, outcomes, family, sender)
     results = reconcile(canonical.flat(canonical.accepted(tagged)), ledger, tolerance)
-    return Run(outcomes, tagged, results, reports.file_report(tagged, results, sender))
+    return Run(outcomes, tagged, results, reports.file_report(tagged, results, sender, family))

@@ -116,7 +116,7 @@ def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.map_from_entries(F.transform(F.map_entries("deductions"), lambda e: F.struct(F.when(e["key"] == "discount", "commission").otherwise(e["key"]).alias("key"), e["value"].cast(MONEY).alias("value"))))
     ledger = statements.ledger(spark, sf_dir).withColumn("deductions", named).withColumn("spreadsheet_row", F.col("ordinal.l_partkey"))
     results = reconcile.reconcile(canonical.flat(canonical.accepted(tagged)), ledger)
-    report = reports.file_report(tagged, results, queries.SENDER)
+    report = reports.file_report(tagged, results, queries.SENDER, get_family("insurance"))
     amounts = [money_text(F.col(c)).alias(c) for c in ("computed", "declared", "difference")]
     return report.select("content_hash", "n_rows", "accepted", "quarantined", *amounts, "agrees", *reconcile.STATUSES)
 

@@ -126,6 +126,15 @@ def test_report_of_files(spark, tmp_path):
     assert reports.STATUSES == reconcile.STATUSES
 
 
+def test_a_held_row_at_the_end_is_no_footer(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("Policy Reference,Period,Gross Premium\nP1,2026-01,10.00\nP2,TBC,5.00\n")
+    (tmp_path / "e.csv").write_text("Policy Reference,Period,Gross Premium\nP3,2026-01,10.00\nTotal,,9.00\n")
+    ledger = spark.sql("SELECT 'P1|2026-01' AS key, 'GBP' AS currency, CAST(10 AS decimal(18,4)) AS gross, CAST(map() AS map<string,decimal(18,4)>) AS deductions, CAST(NULL AS decimal(18,4)) AS net, 1L AS spreadsheet_row")
+    run = run_files(spark, f"file://{tmp_path}", get_family("insurance"), canonical.Profile("s", "GBP"), ledger)
+    got = sorted((r.last_amount, r.declared, r.difference, r.agrees) for r in run.report.collect())
+    assert got == [(D(5), None, None, True), (D(9), D(9), D(-1), False)]
+
+
 def by_table(a, b):
     row = [0] * (len(b) + 1)
     for c in a:
