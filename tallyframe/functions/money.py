@@ -31,8 +31,8 @@ def plain(raw: Column) -> Column:
     read of a cell is read of this; where more than one thing is read, make it a column first."""
     inner = F.regexp_replace(strip(raw), r"(?s)^\((.*)\)$", f"{_BRACKETS}$1")
     bare = F.regexp_replace(inner, r"(?iU)[£$€\s ]|GBP|EUR|USD", "")
-    # most cells are bare already, which one match tells
-    return F.when(raw.rlike("^[0-9.,]*$"), raw).otherwise(F.regexp_replace(bare, r"(?s)^(.*)-$", f"{_TRAILING}$1"))
+    # most cells are bare already, or have a code behind, which one match tells
+    return F.when(raw.rlike(r"^[0-9.,]*\z"), raw).when(raw.rlike(r"^[0-9.,]+ (?:GBP|EUR|USD)\z"), F.substring_index(raw, " ", 1)).otherwise(F.regexp_replace(bare, r"(?s)^(.*)-$", f"{_TRAILING}$1"))
 
 
 def plain_is_amount(bare: Column, convention: str) -> Column:
@@ -40,13 +40,17 @@ def plain_is_amount(bare: Column, convention: str) -> Column:
     return F.coalesce(bare.rlike(rf"^{_TRAILING}?{_BRACKETS}?-?([0-9]+|[0-9]{{1,3}}([{group}][0-9]{{3}})+)([{mark}][0-9]*)?$"), F.lit(False))
 
 
-def plain_amount(bare: Column, convention: str, scale: int = 2) -> Column:
+def plain_amount(bare: Column, convention: str, scale: int = 2, reads: Column | None = None) -> Column:
+    """reads: plain_is_amount() of the same text, where it is a column already."""
     group, mark = _MARKS[convention]
+    reads = plain_is_amount(bare, convention) if reads is None else reads
     # marks and group signs go, the decimal mark becomes a point; digits after the one that decides the rounding are cut
     # off, so that it is rounded once
-    digits = F.translate(bare, f"{mark}{group}{_BRACKETS}{_TRAILING}", ".")
-    digits = F.regexp_replace(digits, rf"\.([0-9]{{0,{scale + 1}}})[0-9]*$", ".$1")
-    value = F.round(F.when(plain_is_amount(bare, convention), F.concat(digits, F.when(digits.contains("."), F.lit("0")).otherwise(F.lit("")))).try_cast(f"decimal(38,{scale + 2})"), scale)
+    digits = F.replace(bare, F.lit(group), F.lit(""))
+    for sign, to in ((mark, "."), (_BRACKETS, ""), (_TRAILING, "")):
+        digits = F.replace(digits, F.lit(sign), F.lit(to))
+    short = F.concat(F.substring_index(digits, ".", 1), F.lit("."), F.substring(F.substring_index(digits, ".", -1), 1, scale + 1), F.lit("0"))
+    value = F.round(F.when(reads, F.when(digits.contains("."), short).otherwise(digits)).try_cast(f"decimal(38,{scale + 2})"), scale)
     negated = bare.startswith(_BRACKETS) | (bare.startswith(_TRAILING) & ~bare.startswith(_TRAILING + _BRACKETS))
     return F.when(negated, -value).otherwise(value).try_cast(f"decimal(18,{scale})")
 
@@ -74,7 +78,8 @@ def format_amount(amount: Column, convention: str = DOT, symbol: str = "", code:
     shown = F.format_number(F.abs(amount).cast("decimal(18,2)"), 2)
     shown = F.translate(shown, ",.", ".,") if convention == COMMA else shown
     dressed = F.concat(F.lit(symbol), shown, F.lit(f" {code}" if code else ""))
-    return F.when(amount < 0, F.concat(F.lit("("), dressed, F.lit(")")) if brackets else F.concat(F.lit("-"), dressed)).otherwise(dressed)
+    sign = lambda mark: F.when(amount < 0, mark).otherwise("")
+    return F.concat(sign("("), dressed, sign(")")) if brackets else F.concat(sign("-"), dressed)
 
 
 def forbid_floats(df: DataFrame, columns: list[str]) -> DataFrame:

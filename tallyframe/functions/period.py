@@ -36,7 +36,12 @@ def _dated(year: Column, month: Column) -> Column:
 def normalise_period(raw: Column, day_first: bool) -> Column:
     """The month of a date cell as YYYY-MM, or NULL. The order of day and month is declared; a number above 12 overrules it.
     A month written after its year is not checked."""
-    t = strip(raw)
+    return stripped_period(strip(raw), day_first)
+
+
+def stripped_period(t: Column, day_first: bool) -> Column:
+    """normalise_period() of a text without white space at its ends. It names the text many times: where it is not a column,
+    each of them strips it again."""
     a, b, y = (_number(t, _DAY, g) for g in (1, 2, 3))
     month = F.when(a > 12, b).when(b > 12, a).otherwise(b if day_first else a)
     year = F.when(y < 100, y + 2000).otherwise(y)
@@ -44,7 +49,7 @@ def normalise_period(raw: Column, day_first: bool) -> Column:
     named = F.array_position(F.array(*map(F.lit, MONTHS)), word).cast("int")
     return (
         F.when(t.rlike(_ISO), F.concat(F.regexp_extract(t, _ISO, 1), F.lit("-"), F.lpad(F.regexp_extract(t, _ISO, 2), 2, "0")))
-        .when(t.rlike(_MONTH_YEAR), _dated(_number(t, _MONTH_YEAR, 2), _number(t, _MONTH_YEAR, 1)))
+        .when(t.rlike(_MONTH_YEAR), F.when(t.rlike("^(?:0?[1-9]|1[0-2])[^0-9]"), F.concat(F.regexp_extract(t, _MONTH_YEAR, 2), F.lit("-"), F.lpad(F.regexp_extract(t, _MONTH_YEAR, 1), 2, "0"))))
         .when(t.rlike(_DAY), _dated(year, month))
         .when(t.rlike(_NAMED), _dated(_number(t, _NAMED, 2), named))
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.adapters import DEDUCTION, GROSS, KEY, NET, PERIOD, Family
 from tallyframe.functions.money import COMMA, DOT, MONEY, parse_amount, plain, plain_amount, plain_is_amount, strip
-from tallyframe.functions.period import normalise_period
+from tallyframe.functions.period import stripped_period
 from tallyframe.sources.grid import cell
 
 
@@ -34,6 +34,10 @@ def lineage(profile: Profile, header: Column, raw: Column) -> Column:
     return F.struct(F.col("content_hash").alias("source_content_hash"), at.alias("cell"), F.lit(profile.mapping_version).alias("mapping_version"), raw.alias("raw_value"))
 
 
+def _blank(raw: Column) -> Column:
+    return raw.rlike(r"(?U)^\s*\z")
+
+
 def canonicalise(rows: DataFrame, mapping: dict[str, str] | None, family: Family, profile: Profile) -> DataFrame:
     """All rows with a non-blank mapped cell: key, currency, period, gross, deductions, net, attributes (each value with its
     lineage), and quarantine_reason and quarantine_raw, null for canonical rows.
@@ -53,23 +57,28 @@ def canonicalise(rows: DataFrame, mapping: dict[str, str] | None, family: Family
     key, period, gross, net = (first(r) for r in (KEY, PERIOD, GROSS, NET))
     money = [gross, *[d for d in family.of_role(DEDUCTION) if d in header], *([net] if net in header else [])]
     # one column for each cell, for what is left of an amount without its dress, and for what is read in it; inline() keeps
-    # filters on the outcome from repeating the reading
+    # filters on the outcome from repeating the reading, and each of the steps a method of its own in the generated code: the
+    # JVM never compiles a method of more than 8,000 bytes
     currency = F.lit(profile.currency) if profile.currency else F.col("currency")
     declared = [name for name, own in (("convention", profile.convention), ("day_first", profile.day_first)) if own is None]
     by_convention = lambda read: read(profile.convention) if profile.convention else F.when(F.col("convention") == DOT, read(DOT)).when(F.col("convention") == COMMA, read(COMMA))
-    month_of = lambda raw: normalise_period(raw, profile.day_first) if profile.day_first is not None else F.when(F.col("day_first"), normalise_period(raw, True)).otherwise(normalise_period(raw, False))
-    cells = rows.select("content_hash", "sheet", "spreadsheet_row", currency.alias("currency"), *declared, *[cell(h).alias(f"_{f}") for f, h in header.items()], *[h.alias(f"at_{f}") for f, h in header.items()])
+    month_of = lambda t: stripped_period(t, profile.day_first) if profile.day_first is not None else F.when(F.col("day_first"), stripped_period(t, True)).otherwise(stripped_period(t, False))
+
+    def step(df: DataFrame, found: list[Column], *kept: str) -> DataFrame:
+        return df.select(*(kept or ["*"]), F.inline(F.array(F.struct(*found))))
+
+    cells = step(rows, [*[cell(h).alias(f"_{f}") for f, h in header.items()], *[h.alias(f"at_{f}") for f, h in header.items()], currency.alias("declared_currency")], "content_hash", "sheet", "spreadsheet_row", *declared)
+    cells = cells.withColumnRenamed("declared_currency", "currency")
     header, raw = {f: F.col(f"at_{f}") for f in header}, {f: F.col(f"_{f}") for f in header}
     present = cells.where(F.concat_ws("", *raw.values()) != "")
     absent = F.lit("")
-    bare = present.select("*", F.inline(F.array(F.struct(*[plain(raw.get(f, absent)).alias(f"plain_{f}") for f in money]))))
-    reading = (
-        month_of(raw.get(period, absent)).alias("month"),
-        *[by_convention(lambda c, f=f: plain_amount(F.col(f"plain_{f}"), c)).alias(f"amount_{f}") for f in money],
+    bare = step(present, [*[plain(raw.get(f, absent)).alias(f"plain_{f}") for f in money], strip(raw.get(period, absent)).alias("dated")])
+    known = step(bare, [
         *[F.coalesce(by_convention(lambda c, f=f: plain_is_amount(F.col(f"plain_{f}"), c)), F.lit(False)).alias(f"reads_{f}") for f in money],
-        *[(strip(raw.get(f, absent)) == "").alias(f"empty_{f}") for f in (*money, key)],
-    )
-    read = bare.select("*", F.inline(F.array(F.struct(*reading))))
+        *[_blank(raw.get(f, absent)).alias(f"empty_{f}") for f in (*money, key)],
+    ])
+    months = step(known, [month_of(F.col("dated")).alias("month")])
+    read = step(months, [by_convention(lambda c, f=f: plain_amount(F.col(f"plain_{f}"), c, reads=F.col(f"reads_{f}"))).alias(f"amount_{f}") for f in money])
     month, amount = F.col("month"), {f: F.col(f"amount_{f}") for f in money}
     empty, unreadable = {f: F.col(f"empty_{f}") for f in (*money, key)}, {f: ~F.col(f"empty_{f}") & ~F.col(f"reads_{f}") for f in money}
 
