@@ -78,7 +78,9 @@ def canonicalise(rows: DataFrame, mapping: dict[str, str] | None, family: Family
         *[_blank(raw.get(f, absent)).alias(f"empty_{f}") for f in (*money, key)],
     ])
     months = step(known, [month_of(F.col("dated")).alias("month")])
-    read = step(months, [by_convention(lambda c, f=f: plain_amount(F.col(f"plain_{f}"), c, reads=F.col(f"reads_{f}"))).alias(f"amount_{f}") for f in money])
+    read = months
+    for f in money:
+        read = step(read, [by_convention(lambda c, f=f: plain_amount(F.col(f"plain_{f}"), c, reads=F.col(f"reads_{f}"))).alias(f"amount_{f}")])
     month, amount = F.col("month"), {f: F.col(f"amount_{f}") for f in money}
     empty, unreadable = {f: F.col(f"empty_{f}") for f in (*money, key)}, {f: ~F.col(f"empty_{f}") & ~F.col(f"reads_{f}") for f in money}
 
