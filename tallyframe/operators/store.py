@@ -42,12 +42,22 @@ def _part(content_hash: Column) -> Column:
     return F.pmod(F.xxhash64(content_hash), F.lit(PARTS)).cast("int")
 
 
-def split_repeated(rows: DataFrame) -> DataFrame:
+def repeated(rows: DataFrame) -> DataFrame:
+    """The repeated keys of split_repeated(), each with how many rows have it."""
+    return rows.groupBy(*_keyed(rows)).agg(F.count("*").alias("repeats")).where("repeats > 1")
+
+
+def _keyed(rows: DataFrame) -> list[str]:
+    return [*(c for c in ("content_hash",) if c in rows.columns), "key"]
+
+
+def split_repeated(rows: DataFrame, often: DataFrame | None = None) -> DataFrame:
     """rows with `repeats`: how many rows of the file share the key. All rows of a repeated key are held. Rows of several files
     have a content_hash; null keys, and null hashes, are equal to each other. Counts are added up before they are shuffled, and only
-    repeated keys meet the rows again, in a join that Spark splits where a key is frequent; no key's rows are gathered."""
-    by = [*(c for c in ("content_hash",) if c in rows.columns), "key"]
-    often = rows.groupBy(*by).agg(F.count("*").alias("repeats")).where("repeats > 1")
+    repeated keys meet the rows again, in a join that Spark splits where a key is frequent; no key's rows are gathered. often: repeated() of the rows,
+    where it is a table already: if it is small, the rows themselves are not shuffled."""
+    by = _keyed(rows)
+    often = repeated(rows) if often is None else often
     a, b = rows.alias("a"), often.alias("b")
     same = reduce(lambda x, y: x & y, (F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in by))
     return a.join(b, same, "left").select("a.*", F.coalesce("b.repeats", F.lit(1)).alias("repeats"))
@@ -128,16 +138,17 @@ class Store:
         file whose bytes are known is only audited, whatever its name. replay: a known file is stored again under a mapping
         version that it does not have yet; older versions stay.
         """
-        files = files.dropDuplicates(["content_hash"])
+        files = scratch.written(files.dropDuplicates(["content_hash"]), "files")  # found once, and a size that is known lets them be broadcast
         on = ["content_hash", "mapping_version"] if replay else ["content_hash"]
         done = self.table("ingested_file").select(*on).distinct()
-        new, known = files.join(done, on, "left_anti"), files.join(done, on, "left_semi")
+        new, known = scratch.written(files.join(done, on, "left_anti"), "new-files"), files.join(done, on, "left_semi")
         self.audit_files("file_reingested", actor, known)
         if new.isEmpty():
             return 0
         ingest, now = uuid.uuid4().hex, datetime.now(timezone.utc)
         rows = scratch.written(tagged.join(new.select("content_hash", "mapping_version"), "content_hash"), "ingest")  # read several times
-        marked = split_repeated(rows.where("quarantine_reason IS NULL"))
+        good = rows.where("quarantine_reason IS NULL")
+        marked = split_repeated(good, scratch.written(repeated(good), "repeated"))
         where = F.concat(F.array(F.col("gross.lineage")), F.transform(F.map_values("deductions"), lambda x: x["lineage"]), F.when(F.col("net").isNotNull(), F.array(F.col("net.lineage"))).otherwise(F.array().cast(_LINEAGE)), F.transform(F.map_values("attributes"), lambda x: x["lineage"]))
         kept = marked.where("repeats = 1").select(
             F.col("content_hash").alias("source_content_hash"), "mapping_version", "key", "period", "currency", F.col("gross.value").alias("gross"), F.transform_values("deductions", lambda k, v: v["value"]).alias("deductions"), F.col("net.value").alias("net"),

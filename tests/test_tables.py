@@ -135,6 +135,16 @@ def test_a_held_row_at_the_end_is_no_footer(spark, tmp_path):
     assert got == [(D(5), None, None, True), (D(9), D(9), D(-1), False)]
 
 
+def test_rows_are_not_shuffled_for_a_few_repeated_keys(spark):
+    from tallyframe.operators.store import repeated, split_repeated
+    from tallyframe.sources import scratch
+
+    rows = scratch.written(spark.range(20_000).selectExpr("'f' AS content_hash", "CAST(IF(id < 5, 0, id) AS string) AS key"), "rows")
+    marked = split_repeated(rows, scratch.written(repeated(rows), "repeated"))
+    assert "hashpartitioning" not in plan_of(marked) and "BroadcastHashJoin" in plan_of(marked)
+    assert sorted(map(tuple, marked.groupBy("repeats").count().collect())) == [(1, 19_995), (5, 5)]
+
+
 def by_table(a, b):
     row = [0] * (len(b) + 1)
     for c in a:
