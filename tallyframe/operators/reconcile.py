@@ -42,7 +42,7 @@ def one_per_key(side: DataFrame, ordinal: str) -> DataFrame:
 def _fields(row: Column) -> Column:
     """gross, deductions and net as one map, without those that are null. A deduction called gross or net is shown as
     deductions.gross or deductions.net, so that it is compared with its like alone."""
-    named = F.transform_keys(known(row["deductions"]), lambda k, v: F.when(k.rlike(r"^(deductions\.)*(gross|net)$"), F.concat(F.lit("deductions."), k)).otherwise(k))
+    named = F.transform_keys(known(row["deductions"]), lambda k, v: F.when((k.endswith("gross") | k.endswith("net")) & k.rlike(r"^(deductions\.)*(gross|net)\z"), F.concat(F.lit("deductions."), k)).otherwise(k))
     own = [F.when(row[name].isNotNull(), F.create_map(F.lit(name), row[name].cast(MONEY))).otherwise(F.create_map().cast(f"map<string,{MONEY}>")) for name in ("gross", "net")]
     return F.map_concat(own[0], named, own[1])
 
