@@ -79,12 +79,12 @@ def reconcile_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconcile_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sides arrive in several files each, one after the other; the statuses after the last micro-batch."""
-    root, streams = scratch_path(spark, "arriving"), []
+    """Both sides arrive in several files each, a third of them at a time; the statuses after the last micro-batch."""
+    root, streams, cores = scratch_path(spark, "arriving"), [], spark.sparkContext.defaultParallelism
     for side, rows in (("statement", statements.statement(spark, sf_dir)), ("ledger", statements.ledger(spark, sf_dir))):
         sent = rows.select("key", "currency", "gross", "deductions", "net", "ordinal")
-        sent.repartition(3, "ordinal").write.parquet(f"{root}/{side}")
-        streams.append(spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{side}"))
+        sent.repartition(3 * cores, "ordinal").write.parquet(f"{root}/{side}")
+        streams.append(spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", cores).parquet(f"{root}/{side}"))
     incremental.keep(incremental.statuses(*streams, ordinal="ordinal"), f"{root}/statuses", f"{root}/checkpoint").awaitTermination()
     return incremental.current(spark, f"{root}/statuses").select("key", "status", "rule")
 

@@ -2,12 +2,16 @@
 
 What reconcile() needs to know of a key is small: how many rows each side has, and the first of them. That is an aggregate, so
 Spark keeps it as the state of a streaming aggregation, a few values for each key whatever the number of its rows; rows are
-combined before they meet the state. Each micro-batch gives the keys that it touched with their new status. The state store
-is Spark's own; for more keys than fit in the executors' memory, name the RocksDB provider in the session's settings.
+combined before they meet the state. Each micro-batch gives the keys that it touched with their new status. The state is kept
+by Spark's RocksDB provider, on the executors' disks, so that the keys need not fit in their memory; there are as many stores
+as cores, since each of them commits in each micro-batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,6 +35,24 @@ def statuses(statement: DataFrame, ledger: DataFrame, tolerance: Tolerance = EXA
     return decide(both[0].unionByName(both[1]).groupBy("key", apart).agg(*known).drop("apart"), tolerance)
 
 
+@contextmanager
+def _stream_settings(spark: SparkSession) -> Iterator[None]:
+    """What a stream takes over from its session as it starts; the session gets its own settings back."""
+    parts = "spark.sql.shuffle.partitions"
+    chosen = {
+        parts: str(min(int(spark.conf.get(parts)), spark.sparkContext.defaultParallelism)),
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }
+    was = {k: spark.conf.get(k) for k in chosen}
+    try:
+        for k, v in chosen.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def keep(changed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write each micro-batch's changed statuses to a folder of its own under path; a batch that is done again replaces it. Runs
     until all that is there has been taken."""
@@ -38,7 +60,8 @@ def keep(changed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     def write(batch: DataFrame, number: int) -> None:
         batch.select(*SHOWN).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with _stream_settings(changed.sparkSession):
+        return changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:

@@ -48,6 +48,23 @@ def test_statuses_after_any_split_equal_those_of_all_rows(spark, tmp_path, seed)
     assert nulls(whole) == nulls(want) and nulls(want)
 
 
+def test_state_is_on_disk_in_as_many_stores_as_cores(spark, tmp_path):
+    spark.createDataFrame(rows(random.Random(3), 50), SIDE).write.parquet(f"{tmp_path}/in")
+    side = spark.readStream.schema(SIDE).parquet(f"{tmp_path}/in")
+    names = ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(names[0], "23")
+    try:
+        was = [spark.conf.get(k) for k in names]
+        query = incremental.keep(incremental.statuses(side, side), f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint")
+        assert [spark.conf.get(k) for k in names] == was
+        query.awaitTermination()
+    finally:
+        spark.conf.set(names[0], "4")
+    (state,) = query.lastProgress["stateOperators"]
+    assert state["numShufflePartitions"] == spark.sparkContext.defaultParallelism == 4
+    assert any(k.startswith("rocksdb") for k in state["customMetrics"])
+
+
 def workbook(n, blank_every):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
