@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.money import COMMA, DOT, is_amount, parse_amount, strip
+from tallyframe.functions.money import COMMA, DOT, plain, plain_amount, plain_is_amount, strip
 from tallyframe.functions.period import looks_like_date
 
 #: Cells of a column that are looked at, and kept as samples; limits of a categorical and of a near-constant column; from
@@ -21,12 +21,16 @@ def profile_columns(cells: DataFrame) -> DataFrame:
     money columns of the file, largest first). The head of a column is a feature: profiles must not depend on later rows.
     """
     by = ["content_hash", "header"]
-    full = cells.where(strip(F.col("raw")) != "")
+    # most cells begin with a visible ASCII character, and are not empty
+    full = cells.where(F.ascii("raw").between(33, 126) | (strip(F.col("raw")) != ""))
     head = full.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("row_index"))).where(f"i <= {HEAD}")
-    read = head.select(*by, "i", "raw", *[x for c in (DOT, COMMA) for x in (is_amount(F.col("raw"), c).alias(f"is_{c}"), F.abs(parse_amount(F.col("raw"), c)).alias(f"v_{c}"))], looks_like_date(F.col("raw")).alias("dated"))
+    # a step each, so that a cell is stripped of its dress once and read once
+    bare = head.select(*by, "i", "raw", plain(F.col("raw")).alias("bare"), looks_like_date(F.col("raw")).alias("dated"))
+    bare = bare.select("*", *[plain_is_amount(F.col("bare"), c).alias(f"is_{c}") for c in (DOT, COMMA)])
+    read = bare.select(*by, "i", "raw", "dated", *[x for c in (DOT, COMMA) for x in (F.col(f"is_{c}"), F.when(F.col(f"is_{c}"), F.abs(plain_amount(F.col("bare"), c, reads=F.col(f"is_{c}")))).alias(f"v_{c}"))])
 
     def median(c: str):
-        values = F.array_sort(F.collect_list(f"v_{c}"))
+        values = F.sort_array(F.collect_list(f"v_{c}"))
         return F.when(F.size(values) > 0, F.get(values, F.floor(F.size(values) / 2).cast("int")))
 
     counted = read.groupBy(*by).agg(
@@ -34,8 +38,8 @@ def profile_columns(cells: DataFrame) -> DataFrame:
         *[F.avg(F.col(f"is_{c}").cast("int")).alias(f"share_{c}") for c in (DOT, COMMA)],
         *[median(c).alias(f"median_{c}") for c in (DOT, COMMA)],
         F.avg(F.col("dated").cast("int")).alias("temporal"),
-        F.countDistinct("raw").alias("distinct"),
-        F.transform(F.slice(F.array_sort(F.collect_list(F.struct("i", "raw"))), 1, SAMPLES), lambda x: x["raw"]).alias("samples"),
+        F.size(F.collect_set("raw")).cast("long").alias("distinct"),  # a head is bounded, so its set is; no grouping by values
+        F.sort_array(F.collect_list(F.when(F.col("i") <= SAMPLES, F.struct("i", "raw")))).getField("raw").alias("samples"),
     )
     dot = F.col(f"share_{DOT}") >= F.col(f"share_{COMMA}")
     ratio = F.col("distinct") / F.col("non_empty")

@@ -52,10 +52,12 @@ HEADERS = ("Risk Reference", "Underwriting Period", "Gross Written Premium", "IP
 def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as the rows of one statement file per supplier, all text, decimal commas; some cells are spoilt: every 50th
     line's gross, every 60th line's period, every 70th line's gross is blank."""
-    place = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "ordinal")
-    rows = base(spark, sf_dir).withColumn("row_index", F.row_number().over(place).cast("long") - 1)
+    # the window is over the file itself, so that what is grouped by file, or by file and header, needs no other shuffle
+    place = Window.partitionBy("content_hash").orderBy("l_orderkey", "l_linenumber", "ordinal")
+    lines = base(spark, sf_dir).withColumn("content_hash", F.concat(F.lit("file-"), F.col("l_suppkey").cast("string")))
+    rows = lines.withColumn("row_index", F.row_number().over(place).cast("long") - 1)
     n = F.col("l_orderkey") + F.col("l_linenumber")
     gross = F.when(n % 50 == 0, "n/a").when(n % 70 == 0, "").otherwise(format_amount(F.col("gross"), COMMA, code="GBP"))
     period = F.when(n % 60 == 0, "TBC").otherwise(F.concat(F.substring("period", 6, 2), F.lit("/"), F.substring("period", 1, 4)))
     cells = F.array("ref", period, gross, format_amount(F.col("tax"), COMMA), format_amount(F.col("discount"), COMMA), format_amount(F.col("net"), COMMA), F.lit(""))
-    return rows.select(F.concat(F.lit("file-"), F.col("l_suppkey").cast("string")).alias("content_hash"), F.lit("csv").alias("sheet"), F.array(*map(F.lit, HEADERS)).alias("headers"), "row_index", (F.col("row_index") + 2).alias("spreadsheet_row"), cells.alias("cells"))
+    return rows.select("content_hash", F.lit("csv").alias("sheet"), F.array(*map(F.lit, HEADERS)).alias("headers"), "row_index", (F.col("row_index") + 2).alias("spreadsheet_row"), cells.alias("cells"))
