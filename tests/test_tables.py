@@ -104,6 +104,23 @@ def test_changes_between_documents(spark):
     assert documents.changes(before.limit(0), after.limit(0), ["id"]).count() == 0
 
 
+def test_documents_of_a_key_are_parsed_once_and_paths_are_not_shuffled(spark):
+    texts = ['{"a": [[["[[[[{"]]]}', '{"a": "\\"[[", "b": {}}', "[[[[", '{"x": [1, [2, [3]]], "y": null}', None]
+    rows = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(texts, texts[1:], strict=False))], "id int, old string, document string")
+    found = documents.changes(rows.selectExpr("id", "old AS document"), rows, ["id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan and plan.count("Union") == 1
+    got = {(r.id, r.path): (r.change, r.old_value, r.new_value) for r in found.collect()}
+    assert got == {
+        (0, "a[0][0][0]"): ("removed", '"[[[[{"', None), (0, "a"): ("added", None, '"\\"[["'), (0, "b"): ("added", None, "{}"), (1, "a"): ("removed", '"\\"[["', None), (1, "b"): ("removed", "{}", None), (1, ""): ("added", None, "[[[["), (2, ""): ("removed", "[[[[", None),
+        **{(i, p): (("added", None, v) if i == 2 else ("removed", v, None)) for i in (2, 3) for p, v in (("x[0]", "1"), ("x[1][0]", "2"), ("x[1][1][0]", "3"), ("y", "null"))},
+    }
+    deep = spark.createDataFrame([(1, "[" * 101 + "]" * 101)], "id int, document string")
+    with pytest.raises(ValueError, match="levels"):
+        documents.paths(deep, ["id"])
+    assert documents.paths(deep.selectExpr("id", "left(document, 150) AS document"), ["id"]).first().kind == "unreadable"
+
+
 def test_saved_sides_meet_without_a_shuffle(spark, tmp_path):
     a, b = statements.statement(spark, SF), statements.ledger(spark, SF)
     for name, side in (("a", a), ("b", b)):
