@@ -174,12 +174,12 @@ def deductions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every column of every file that has a value."""
-    found = profile.profile_columns(grid.to_cells(statements.file_rows(spark, sf_dir)))
+    found = profile.profile_columns(grid.to_cells(statements.file_rows(spark, sf_dir, together=True)))
     return found.select("content_hash", "header", "non_empty", F.round("monetary", 6).alias("monetary"), "convention", money.money_text(F.col("magnitude")).alias("magnitude"), F.round("temporal", 6).alias("temporal"), "distinct", "categorical", "near_constant")
 
 
 def magnitude_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = profile.profile_columns(grid.to_cells(statements.file_rows(spark, sf_dir)))
+    found = profile.profile_columns(grid.to_cells(statements.file_rows(spark, sf_dir, together=True)))
     return found.where("magnitude_rank IS NOT NULL").groupBy("header", "magnitude_rank").agg(F.count("*").alias("files"))
 
 
@@ -188,7 +188,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _insurance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = statements.file_rows(spark, sf_dir)
+    rows = statements.file_rows(spark, sf_dir, together=True)
     return mapping.propose(mapping.headers_of(rows), profile.profile_columns(grid.to_cells(rows)), get_family("insurance"))
 
 

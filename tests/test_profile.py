@@ -10,7 +10,7 @@ ROWS = "content_hash string, sheet string, headers array<string>, row_index long
 
 
 def test_rows_are_shuffled_once_from_file_to_profile(spark):
-    found = profile.profile_columns(grid.to_cells(statements.file_rows(spark, "/root/testdata/sf0.001")))
+    found = profile.profile_columns(grid.to_cells(statements.file_rows(spark, "/root/testdata/sf0.001", together=True)))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(content_hash") == plan.count("Exchange ") == 1
 
