@@ -33,7 +33,7 @@ def csv_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = rows.select("file", "row_index", F.concat(text, F.when(F.col("row_index") % 10 == 9, "\n").otherwise("")).alias("value"))
     heads = rows.where("row_index = 0").select("file", F.lit(-1).cast("long").alias("row_index"), F.array_join("headers", ";").alias("value"))
     path = scratch_path(spark, "statements")
-    lines.unionByName(heads).repartition("file").sortWithinPartitions("file", "row_index").select("file", "value").write.partitionBy("file").text(path)
+    lines.unionByName(heads).repartition("file").sortWithinPartitions("file", "row_index").select("file", "value").write.partitionBy("file").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)  # tasks move their files, not the driver all of them
     read = read_ranges(spark, path, "*.txt")
     return read.select(F.regexp_extract("path", "/file=([^/]*)/", 1).alias("file"), "row_index", "spreadsheet_row", F.get("cells", 0).alias("reference"), F.get("cells", 2).alias("gross_raw"), F.get("cells", 6).alias("note"))
 

@@ -218,11 +218,17 @@ def _few(df: DataFrame) -> DataFrame:
 
 def _cut_lines(lines: DataFrame, states: DataFrame) -> DataFrame:
     """(path, start, record, within, cells, text): the finished records with a value, and the pieces of others, of each range."""
-    known = _few(states).withColumnRenamed("path", "of").withColumnRenamed("start", "from")
+    few = states.count() <= _FEW
+    known = states.withColumnRenamed("path", "of").withColumnRenamed("start", "from")
+    # a shuffle does not keep the order of a range's lines, which is put back
+    lines, known = (lines, F.broadcast(known)) if few else (lines.withColumn("place", F.monotonically_increasing_id()), known)
     # A range that the first pass did not see (other settings, another file) is an error, not a gap.
     joined = lines.join(known, (F.col("path") == F.col("of")) & (F.col("start") == F.col("from")), "left")
     unknown = F.raise_error(F.lit("the files or their ranges changed while they were read")).cast("boolean")
-    return joined.select("path", "start", "line", "delimiter", F.when(F.col("of").isNull(), unknown).otherwise(F.col("inside")).alias("inside"), "records").mapInArrow(_cut, _RECORDS)
+    joined = joined.withColumn("inside", F.when(F.col("of").isNull(), unknown).otherwise(F.col("inside")))
+    if not few:
+        joined = joined.repartition("path", "start").sortWithinPartitions("path", "start", "place")
+    return joined.select("path", "start", "line", "delimiter", "inside", "records").mapInArrow(_cut, _RECORDS)
 
 
 def _crossing(ranges: DataFrame, states: DataFrame) -> DataFrame:

@@ -43,6 +43,22 @@ def test_ranges_give_the_rows_of_whole_files(spark, tmp_path, cut_small):
     assert got == want and len(got) > 300
 
 
+def test_lines_keep_their_order_where_states_are_not_broadcast(spark, tmp_path, cut_small, monkeypatch):
+    r = random.Random(4)
+    for i in range(6):
+        (tmp_path / f"f{i}.csv").write_bytes(content(r, 100).encode())
+    want = seen(grid.read_rows(spark, f"file://{tmp_path}"))
+    monkeypatch.setattr(ranges, "_FEW", 0)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # several ranges, and many lines of each, meet in a task
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+        assert seen(ranges.read_ranges(spark, f"file://{tmp_path}")) == want and len(want) > 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_a_large_quoted_file_is_read_by_many_tasks(spark, tmp_path):
     r = random.Random(5)
     rows = ["ref,note,amount"]
