@@ -77,7 +77,10 @@ def changes(before: DataFrame, after: DataFrame, by: list[str], document: str =
     """
     old, new = (x.select(*by, F.lit(side).alias("_new"), F.col(document).alias("_text")).where("_text IS NOT NULL") for side, x in ((False, before), (True, after)))
     levels = max(_levels(old), _levels(new))
-    together = old.unionByName(new).repartition(*[F.col(c) for c in by])
+    # A number of its own: a union of sides that are partitioned by the key already would pass for partitioned by it, although
+    # the parts of its sides may be merged differently, and the repartition would be dropped.
+    parts = int(before.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    together = old.unionByName(new).repartition(parts, *[F.col(c) for c in by])
     sides = _leaves(together, [*by, "_new"], levels).groupBy(*by, "path").agg(*[F.max(F.when(F.col("_new") == new, F.struct("kind", "value"))).alias(name) for name, new in (("_old", False), ("_now", True))])
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_now").isNull(), "removed").when(F.col("_old") != F.col("_now"), "changed")
     return sides.select(*by, "path", change.alias("change"), F.col("_old.kind").alias("old_kind"), F.col("_old.value").alias("old_value"), F.col("_now.kind").alias("new_kind"), F.col("_now.value").alias("new_value")).where("change IS NOT NULL")

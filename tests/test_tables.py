@@ -115,6 +115,9 @@ def test_documents_of_a_key_are_parsed_once_and_paths_are_not_shuffled(spark):
         (0, "a[0][0][0]"): ("removed", '"[[[[{"', None), (0, "a"): ("added", None, '"\\"[["'), (0, "b"): ("added", None, "{}"), (1, "a"): ("removed", '"\\"[["', None), (1, "b"): ("removed", "{}", None), (1, ""): ("added", None, "[[[["), (2, ""): ("removed", "[[[[", None),
         **{(i, p): (("added", None, v) if i == 2 else ("removed", v, None)) for i in (2, 3) for p, v in (("x[0]", "1"), ("x[1][0]", "2"), ("x[1][1][0]", "3"), ("y", "null"))},
     }
+    grouped = [rows.groupBy("id").agg(F.max(c).alias("document")) for c in ("old", "document")]  # both sides partitioned by the key
+    again = documents.changes(*grouped, ["id"])
+    assert "REPARTITION_BY_NUM" in again._jdf.queryExecution().executedPlan().toString() and sorted(map(str, again.collect())) == sorted(map(str, found.collect()))
     deep = spark.createDataFrame([(1, "[" * 101 + "]" * 101)], "id int, document string")
     with pytest.raises(ValueError, match="levels"):
         documents.paths(deep, ["id"])
