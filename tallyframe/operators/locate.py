@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.sources.scratch import CODEC, shuffles_freed
+
 #: Of an index; it is part of the folder names, so that it stays as it was when the index was begun.
 BUCKETS = 256
 
@@ -21,7 +23,8 @@ def _bucket(key: Column, buckets: int) -> Column:
 def append(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Add the places of rows (key, and columns that say where a row is) to an index. Rows without a key have no place in it."""
     placed = rows.where(F.col("key").isNotNull()).withColumn("bucket", _bucket(F.col("key"), buckets))
-    placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "key").write.mode("append").partitionBy("bucket").parquet(path)
+    with shuffles_freed(rows.sparkSession):
+        placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "key").write.mode("append").option("compression", CODEC).partitionBy("bucket").parquet(path)
 
 
 def locate(spark: SparkSession, path: str, keys: DataFrame, schema: str, buckets: int = BUCKETS) -> DataFrame:

@@ -42,6 +42,31 @@ def _part(content_hash: Column) -> Column:
     return F.pmod(F.xxhash64(content_hash), F.lit(PARTS)).cast("int")
 
 
+def _packed(tagged: DataFrame) -> DataFrame:
+    """Rows of canonicalise() (with the columns of a join) as an ingest keeps and shuffles them: what the lineages of a row's values
+    share, which is all but column and text, stands once."""
+    def values(column: str, *path: str) -> Column:
+        return reduce(lambda x, name: x[name], path, F.map_values(column))
+
+    def of_each(*path: str) -> Column:
+        net = reduce(lambda x, name: x[name], path, F.col("net"))
+        return F.concat(F.array(reduce(lambda x, name: x[name], path, F.col("gross"))), values("deductions", *path), F.when(F.col("net").isNotNull(), F.array(net)).otherwise(F.array().cast("array<string>")), values("attributes", *path))
+
+    at = F.col("gross.lineage")
+    return tagged.select(
+        "content_hash", *[c for c in ("mapping_version",) if c in tagged.columns], "key", "period", "currency", "spreadsheet_row", "quarantine_reason", "quarantine_raw", F.col("gross.value").alias("gross"), F.col("net.value").alias("net"),
+        *[F.map_from_arrays(F.map_keys(c), values(c, "value")).alias(c) for c in ("deductions", "attributes")],
+        at["cell"]["sheet"].alias("lineage_sheet"), at["cell"]["row"].alias("lineage_row"), at["mapping_version"].alias("lineage_version"),
+        of_each("lineage", "cell", "column").alias("value_columns"), of_each("lineage", "raw_value").alias("value_texts"),
+    )
+
+
+def _lineage() -> Column:
+    """The lineage of each value of a packed row."""
+    at = lambda column: F.struct(F.col("lineage_sheet").alias("sheet"), F.col("lineage_row").alias("row"), column.alias("column"))
+    return F.zip_with("value_columns", "value_texts", lambda column, text: F.struct(F.col("source_content_hash"), at(column).alias("cell"), F.col("lineage_version").alias("mapping_version"), text.alias("raw_value")))
+
+
 def repeated(rows: DataFrame) -> DataFrame:
     """The repeated keys of split_repeated(), each with how many rows have it."""
     return rows.groupBy(*_keyed(rows)).agg(F.count("*").alias("repeats")).where("repeats > 1")
@@ -106,16 +131,19 @@ class Store:
         repeated keys among them. Only the index's buckets of these keys are read."""
         return self._done(locate.locate(self.spark, f"{self.root}/key_index", keys, PLACES), True).drop("ingest")
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Add rows, which have the table's columns, to a table."""
-        self._write(name, rows.select(*[F.col(c.split()[0]) for c in self._columns(name)]), "append")
+    def append(self, name: str, rows: DataFrame, late: dict[str, Column] | None = None) -> None:
+        """Add rows, which have the table's columns, to a table. late: columns that are made of the rows' others as they are written,
+        so that what is wide is not shuffled; in a table of files' rows alone."""
+        self._write(name, rows, "append", late or {})
 
-    def _write(self, name: str, rows: DataFrame, mode: str) -> None:
-        if name not in _BY_FILE:
-            rows.write.mode(mode).parquet(f"{self.root}/{name}")
-            return
-        placed = rows.withColumn("part", _part(F.col("source_content_hash"))).hint("rebalance", F.col("part"))  # a large file's folder is written by several tasks
-        placed.sortWithinPartitions("part", "source_content_hash").write.mode(mode).partitionBy("part").parquet(f"{self.root}/{name}")
+    def _write(self, name: str, rows: DataFrame, mode: str, late: dict[str, Column]) -> None:
+        columns = [late[c].alias(c) if c in late else F.col(c) for c in self._columns(name)]
+        with scratch.shuffles_freed(self.spark):
+            if name not in _BY_FILE:
+                rows.select(*columns).write.mode(mode).parquet(f"{self.root}/{name}")
+                return
+            placed = rows.withColumn("part", _part(F.col("source_content_hash"))).hint("rebalance", F.col("part"))  # a large file's folder is written by several tasks
+            placed.sortWithinPartitions("part", "source_content_hash").select(*columns, "part").write.mode(mode).option("compression", scratch.CODEC).partitionBy("part").parquet(f"{self.root}/{name}")
 
     def _columns(self, name: str) -> list[str]:
         return self.spark.createDataFrame([], SCHEMAS[name]).columns
@@ -134,8 +162,8 @@ class Store:
     def ingest(self, files: DataFrame, tagged: DataFrame, actor: str = "pipeline", replay: bool = False) -> int:
         """Store the canonical rows and the quarantine of files, each once; the number of files that were new.
 
-        files: content_hash, sender, filename, family, mapping_version, a row for each. tagged: canonicalise() of their rows. A
-        file whose bytes are known is only audited, whatever its name. replay: a known file is stored again under a mapping
+        files: content_hash, sender, filename, family, mapping_version, a row for each. tagged: canonicalise() of their rows, or
+        prepare() of it, where several ingests take the same rows. A file whose bytes are known is only audited, whatever its name. replay: a known file is stored again under a mapping
         version that it does not have yet; older versions stay.
         """
         files = scratch.written(files.dropDuplicates(["content_hash"]), "files")  # found once, and a size that is known lets them be broadcast
@@ -146,18 +174,16 @@ class Store:
         if new.isEmpty():
             return 0
         ingest, now = uuid.uuid4().hex, datetime.now(timezone.utc)
-        rows = scratch.written(tagged.join(new.select("content_hash", "mapping_version"), "content_hash"), "ingest")  # read several times
+        on_new = new.select("content_hash", "mapping_version")
+        # read several times
+        rows = tagged.join(on_new, "content_hash") if "value_columns" in tagged.columns else scratch.written(_packed(tagged.join(on_new, "content_hash")), "ingest")
         good = rows.where("quarantine_reason IS NULL")
         marked = split_repeated(good, scratch.written(repeated(good), "repeated"))
-        where = F.concat(F.array(F.col("gross.lineage")), F.transform(F.map_values("deductions"), lambda x: x["lineage"]), F.when(F.col("net").isNotNull(), F.array(F.col("net.lineage"))).otherwise(F.array().cast(_LINEAGE)), F.transform(F.map_values("attributes"), lambda x: x["lineage"]))
-        kept = marked.where("repeats = 1").select(
-            F.col("content_hash").alias("source_content_hash"), "mapping_version", "key", "period", "currency", F.col("gross.value").alias("gross"), F.transform_values("deductions", lambda k, v: v["value"]).alias("deductions"), F.col("net.value").alias("net"),
-            F.transform_values("attributes", lambda k, v: v["value"]).alias("attributes"), where.alias("lineage"), "spreadsheet_row", F.lit(ingest).alias("ingest"),
-        )
+        kept = marked.where("repeats = 1").withColumnRenamed("content_hash", "source_content_hash").withColumn("ingest", F.lit(ingest))
         held = marked.where("repeats > 1").select("content_hash", "spreadsheet_row", F.concat(F.col("repeats").cast("string"), F.lit(" rows of this file have the key "), F.col("key")).alias("reason"), F.col("key").alias("raw_value"))
         refused = rows.where("quarantine_reason IS NOT NULL").select("content_hash", "spreadsheet_row", F.col("quarantine_reason").alias("reason"), F.col("quarantine_raw").alias("raw_value"))
         waiting = held.unionByName(refused).withColumnRenamed("content_hash", "source_content_hash").withColumns({"resolved_at": F.lit(None).cast("timestamp"), "resolved_by": F.lit(None).cast("string"), "ingest": F.lit(ingest)})
-        self.append("ledger_row", kept)
+        self.append("ledger_row", kept, {"lineage": _lineage()})
         self.append("quarantine", waiting)
         locate.append(marked.select("key", F.col("content_hash").alias("source_content_hash"), "spreadsheet_row", "mapping_version", F.lit(ingest).alias("ingest")), f"{self.root}/key_index")
         parts = [r.part for r in new.select(_part(F.col("content_hash")).alias("part")).distinct().collect()]  # PARTS at most
@@ -169,10 +195,14 @@ class Store:
         self.audit_files("file_ingested", actor, stored, F.to_json(F.struct(F.col("quarantined_count").alias("quarantined"), F.col("row_count").alias("rows"))))
         return stored.count()
 
+    def prepare(self, tagged: DataFrame) -> DataFrame:
+        """canonicalise() of files' rows as a table that ingest() takes, so that several ingests do not each work them out."""
+        return scratch.written(_packed(tagged), "prepared")
+
     def reset(self) -> None:
         """Every table without rows, as for tests."""
         for name, schema in SCHEMAS.items():
-            self._write(name, self.spark.createDataFrame([], schema), "overwrite")
+            self._write(name, self.spark.createDataFrame([], schema), "overwrite", {})
 
     def round_trip(self, amount) -> bool:
         """Whether an exact amount comes back as it was written, to the last of its four decimals."""

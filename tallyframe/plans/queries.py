@@ -272,9 +272,10 @@ def ingest_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def additive_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger rows by mapping version after every file was stored, stored again under a second version, and that repeated."""
     store = _store(spark)
-    store.ingest(_described(spark, sf_dir), _tagged(spark, sf_dir))
+    rows = store.prepare(_tagged(spark, sf_dir))
+    store.ingest(_described(spark, sf_dir), rows)
     for _ in range(2):
-        store.ingest(_described(spark, sf_dir, 2), _tagged(spark, sf_dir), replay=True)
+        store.ingest(_described(spark, sf_dir, 2), rows, replay=True)
     return store.table("ledger_row").groupBy("mapping_version").agg(F.count("*").alias("n"), F.countDistinct("source_content_hash").alias("files"))
 
 

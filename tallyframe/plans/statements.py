@@ -9,14 +9,23 @@ from tallyframe.functions.money import COMMA, MONEY, format_amount
 from tallyframe.functions.text import identity
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is taken of the lines, amounts to the cent. Where lines are shuffled it is these narrow rows, not the texts made of them."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", *[F.col(c).cast("decimal(18,2)").alias(c) for c in ("l_extendedprice", "l_discount", "l_tax")])
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each line: ref, period, key, amounts to the cent, b (which decides what is planted) and an ordinal."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    gross, d, t = (F.col(c).cast("decimal(18,2)") for c in ("l_extendedprice", "l_discount", "l_tax"))
+    return _worked_out(_lines(spark, sf_dir))
+
+
+def _worked_out(lines: DataFrame, *kept: str) -> DataFrame:
+    gross, d, t = (F.col(c) for c in ("l_extendedprice", "l_discount", "l_tax"))
     ref = F.concat(F.lit("ORD-"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"), F.lit("-"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"))
     rows = lines.select(
         ref.alias("ref"), F.date_format("l_shipdate", "yyyy-MM").alias("period"), F.lit("GBP").alias("currency"), gross.alias("gross"), F.round(gross * d, 2).cast("decimal(18,2)").alias("discount"), F.round(gross * t, 2).cast("decimal(18,2)").alias("tax"),
-        ((F.col("l_orderkey") * 31 + F.col("l_linenumber")) % 97).alias("b"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+        ((F.col("l_orderkey") * 31 + F.col("l_linenumber")) % 97).alias("b"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", *kept,
     )
     return rows.withColumns({"net": (F.col("gross") - F.col("discount") - F.col("tax")).cast("decimal(18,2)"), "key": identity(F.col("ref"), F.col("period")), "ordinal": F.struct("l_partkey", "l_suppkey", "gross", "l_quantity")})
 
@@ -55,9 +64,9 @@ def file_rows(spark: SparkSession, sf_dir: str, together: bool = False) -> DataF
     # together: the window is over the file itself, so that what is grouped by file, or by file and header, needs no other shuffle.
     # Not where rows are united with others of their file: Spark 4.1 takes such a union for partitioned by file, drops a
     # repartition of it, and may then merge the parts of its sides differently (csv_ranges lost its headers at sf0.1).
-    place = Window.partitionBy("content_hash" if together else "l_suppkey").orderBy("l_orderkey", "l_linenumber", "ordinal")
-    lines = base(spark, sf_dir).withColumn("content_hash", F.concat(F.lit("file-"), F.col("l_suppkey").cast("string")))
-    rows = lines.withColumn("row_index", F.row_number().over(place).cast("long") - 1)
+    place = Window.partitionBy("content_hash" if together else "l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")  # the ordinal, of lines of one supplier
+    lines = _lines(spark, sf_dir).withColumn("content_hash", F.concat(F.lit("file-"), F.col("l_suppkey").cast("string")))
+    rows = _worked_out(lines.withColumn("row_index", F.row_number().over(place).cast("long") - 1), "content_hash", "row_index")
     n = F.col("l_orderkey") + F.col("l_linenumber")
     gross = F.when(n % 50 == 0, "n/a").when(n % 70 == 0, "").otherwise(format_amount(F.col("gross"), COMMA, code="GBP"))
     period = F.when(n % 60 == 0, "TBC").otherwise(F.concat(F.substring("period", 6, 2), F.lit("/"), F.substring("period", 1, 4)))
