@@ -17,7 +17,7 @@ from tallyframe.operators.side_tables import reconcile_tables, save_side
 from tallyframe.operators.store import Store
 from tallyframe.plans import queries, statements
 from tallyframe.sources.ranges import read_ranges
-from tallyframe.sources.scratch import scratch_path
+from tallyframe.sources.scratch import scratch_path, shuffles_freed
 from tallyframe.streaming import incremental
 
 NOTE = 'see\npage "2"; ok'
@@ -26,15 +26,17 @@ NOTE = 'see\npage "2"; ok'
 def csv_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statement files written as quoted CSV, with notes of several lines and a blank record after every tenth row, and read
     in byte ranges: every row with its true record number."""
-    rows = statements.file_rows(spark, sf_dir).select(F.col("content_hash").alias("file"), "headers", "row_index", "cells")
+    # together: a file's rows are in one task as they come, so that the window's is the only shuffle
+    rows = statements.file_rows(spark, sf_dir, together=True).select(F.col("content_hash").alias("file"), "headers", "row_index", "cells")
     note = F.when(F.col("row_index") % 10 == 3, NOTE).otherwise("")
     cells = F.concat(F.slice("cells", 1, 6), F.array(note))
     text = F.array_join(F.transform(cells, lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))), ";")
-    lines = rows.select("file", "row_index", F.concat(text, F.when(F.col("row_index") % 10 == 9, "\n").otherwise("")).alias("value"))
-    heads = rows.where("row_index = 0").select("file", F.lit(-1).cast("long").alias("row_index"), F.array_join("headers", ";").alias("value"))
+    head = F.when(F.col("row_index") == 0, F.concat(F.array_join("headers", ";"), F.lit("\n"))).otherwise("")
+    lines = rows.select("file", "row_index", F.concat(head, text, F.when(F.col("row_index") % 10 == 9, "\n").otherwise("")).alias("value"))
     path = scratch_path(spark, "statements")
-    lines.unionByName(heads).repartition("file").sortWithinPartitions("file", "row_index").select("file", "value").write.partitionBy("file").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)  # tasks move their files, not the driver all of them
-    read = read_ranges(spark, path, "*.txt")
+    with shuffles_freed(spark):
+        lines.sortWithinPartitions("file", "row_index").select("file", "value").write.partitionBy("file").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)  # tasks move their files, not the driver all of them
+    read = read_ranges(spark, path, "*.txt", hashed=False)
     return read.select(F.regexp_extract("path", "/file=([^/]*)/", 1).alias("file"), "row_index", "spreadsheet_row", F.get("cells", 0).alias("reference"), F.get("cells", 2).alias("gross_raw"), F.get("cells", 6).alias("note"))
 
 

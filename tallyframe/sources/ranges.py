@@ -4,7 +4,8 @@ Spark's text source cuts files into ranges of whole lines; whether a range begin
 So a first pass sums up each range as a function of that state (is it inside at the end, how many records begin), for either
 state; a window over a file's ranges composes the functions; a second pass cuts each range at true record boundaries. What
 crosses a boundary is at most one piece at either end of a range, and the pieces of a record are joined by its number. Ranges
-are as long as `spark.sql.files.maxPartitionBytes` says. A record has to fit in memory, a file need not.
+are as long as `spark.sql.files.maxPartitionBytes` says. A record has to fit in memory, a file need not. Files that are too small
+to be ever cut need none of this: each is read once, record by record.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ import csv
 import io
 import re
 import sys
+from itertools import chain, groupby
+from operator import itemgetter
+from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.digests import row_hash, set_digest
@@ -27,6 +31,7 @@ _SPECIAL = {d: re.compile(f'["\r{d}]') for d in _DELIMITERS}
 _PARSED = 1 << 20
 #: Ranges and files whose table may be broadcast.
 _FEW = 200_000
+_CHANGED = "the files or their ranges changed while they were read"
 
 
 def walk(line: str, delimiter: str, inside: bool) -> tuple[bool, list[int]]:
@@ -63,7 +68,13 @@ def _lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
     reader = reader.option("pathGlobFilter", glob) if glob else reader
     place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return reader.text(path).select(place.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    return reader.text(path).select(place.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_path").alias("url"))
+
+
+def _never_cut(spark: SparkSession) -> int:
+    """Bytes of a file up to which it is one range, whatever else is read: Spark's ranges are no shorter than the smaller of these."""
+    conf = spark._jsparkSession.sessionState().conf()
+    return min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes())
 
 
 def _each(batches):
@@ -77,6 +88,10 @@ def _each(batches):
             yield path, start, line
 
 
+def _delimiter(line: str) -> str:
+    return ";" if line.count(";") > line.count(",") else ","
+
+
 _SUMMARY = "path string, start long, delimiter string, " + ", ".join(f"ends_{d}_{s} boolean, records_{d}_{s} long" for d in (0, 1) for s in (0, 1))
 
 
@@ -93,7 +108,7 @@ def _summaries(batches):
             if now:
                 rows.append(out())
             now, own = (path, start), [[bool(s), 0] for _ in _DELIMITERS for s in (0, 1)]
-            delimiter = None if start else ";" if line.count(";") > line.count(",") else ","
+            delimiter = None if start else _delimiter(line)
         plain = '"' not in line and "\r" not in line
         for i, pair in enumerate(own):
             if plain:
@@ -211,6 +226,50 @@ def _cut(batches):
     yield _batch(rows)
 
 
+_WHOLE = "path string, record long, within long, headers array<string>, cells array<string>"
+
+
+def _whole(batches):
+    """The records with a value of files that are one range each, whose lines follow each other; headers are the first of them."""
+    csv.field_size_limit(sys.maxsize)
+
+    def texts(lines):
+        for _, start, raw in lines:
+            if start:
+                raise ValueError(_CHANGED)
+            line = raw.decode("utf-8", errors="replace")
+            yield line
+
+    def ended(lines):
+        for line in lines:
+            yield from io.StringIO(line + "\n", newline="") if "\r" in line else (line + "\n",)
+
+    def batch():
+        of = pa.array([i for i, _, _, _ in rows], pa.int32())  # a file's name and headers are made once
+        columns = [pa.array(names, pa.string()).take(of), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(heads, pa.list_(pa.string())).take(of), pa.array([r[3] for r in rows], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _WHOLE.split(", ")])
+
+    every = (x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("url", "start", "line")), strict=True))
+    rows, names, heads = [], [], []
+    for url, lines in groupby(every, itemgetter(0)):
+        lines, name, head, within = texts(lines), unquote(url), None, 0
+        first = next(lines).removeprefix("\ufeff")
+        for record, found in enumerate(csv.reader(ended(chain([first], lines)), delimiter=_delimiter(first)), 1):
+            cells = [c.strip() for c in found]
+            if not any(cells):
+                continue
+            head = cells if head is None else head
+            if not names or names[-1] != name:
+                names.append(name)
+                heads.append(head)
+            rows.append((len(names) - 1, record, within, cells))
+            within += 1
+            if len(rows) >= 5_000:
+                yield batch()
+                rows, names, heads = [], [], []
+    yield batch()
+
+
 def _few(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it is small; else joined like any other."""
     return F.broadcast(df) if df.count() <= _FEW else df
@@ -224,7 +283,7 @@ def _cut_lines(lines: DataFrame, states: DataFrame) -> DataFrame:
     lines, known = (lines, F.broadcast(known)) if few else (lines.withColumn("place", F.monotonically_increasing_id()), known)
     # A range that the first pass did not see (other settings, another file) is an error, not a gap.
     joined = lines.join(known, (F.col("path") == F.col("of")) & (F.col("start") == F.col("from")), "left")
-    unknown = F.raise_error(F.lit("the files or their ranges changed while they were read")).cast("boolean")
+    unknown = F.raise_error(F.lit(_CHANGED)).cast("boolean")
     joined = joined.withColumn("inside", F.when(F.col("of").isNull(), unknown).otherwise(F.col("inside")))
     if not few:
         joined = joined.repartition("path", "start").sortWithinPartitions("path", "start", "place")
@@ -249,33 +308,58 @@ def _crossing(ranges: DataFrame, states: DataFrame) -> DataFrame:
     return whole.join(delimiters, "path").mapInArrow(parse, _RECORDS).drop("text")
 
 
-def read_ranges(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def read_ranges(spark: SparkSession, path: str, glob: str | None = None, hashed: bool = True) -> DataFrame:
     """grid.read_rows() for CSV files, cut into ranges: the first record with a value is the header, row_index counts the data
     records from 0, spreadsheet_row is the true number of the record, blank ones counted. Short records are padded.
 
     content_hash is not of the file's bytes, which would have to be read in order, but of its records: the sum of the hashes of
-    their numbers and cells, the same however the file is cut. The files are read three times: for the ranges' states; for the
-    header, hash and number of records of each range and the pieces at its ends; and for the rows.
+    their numbers and cells, the same however the file is cut. Without hashed it is left out, and small files are read once. Else, and
+    where a file is cut, files are read again: for the ranges' states; for the header, hash and number of records of each range and
+    the pieces at its ends; and for the rows.
     """
-    lines = _lines(spark, path, glob)
+    lines, least = _lines(spark, path, glob), _never_cut(spark)
+    small = _small(lines.where(F.col("size") <= least), hashed)
+    rows = small.unionByName(_large(lines.where(F.col("size") > least), hashed))
+    index = F.col("before") + F.col("within") - 1
+    padded = F.concat("cells", F.array_repeat(F.lit(""), F.greatest(F.size("headers") - F.size("cells"), F.lit(0))))
+    sheet = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return rows.where(index >= 0).select("path", *["content_hash"] * hashed, sheet.alias("sheet"), "headers", index.alias("row_index"), F.col("record").alias("spreadsheet_row"), padded.alias("cells"))
+
+
+def _record_hash() -> Column:
+    return row_hash(F.col("record"), F.to_json("cells"))
+
+
+def _of_records(digest: Column) -> Column:
+    return F.concat(F.lit("records-"), digest).alias("content_hash")
+
+
+def _small(lines: DataFrame, hashed: bool) -> DataFrame:
+    """(path, headers, content_hash, before, record, within, cells) of the records of files that are one range each."""
+    rows = lines.select("url", "start", "line").mapInArrow(_whole, _WHOLE).withColumn("before", F.lit(0).cast("long"))
+    if hashed:
+        files = rows.groupBy(F.col("path").alias("of")).agg(_of_records(set_digest(_record_hash())))
+        rows = rows.join(files, F.col("path") == F.col("of")).drop("of")
+    return rows
+
+
+def _large(lines: DataFrame, hashed: bool) -> DataFrame:
+    """The same of files that may be cut."""
     states = written(range_states(lines), "range-states")
     cut = _cut_lines(lines, states)
     whole = F.col("text").isNull()
-    hashed = row_hash(F.col("record"), F.to_json("cells"))
+    digest = set_digest(F.when(whole, _record_hash())) if hashed else F.lit(None).cast("string")
     sums = cut.groupBy("path", "start").agg(
-        F.count_if(whole).alias("n"), F.min(F.when(whole, F.col("record"))).alias("record"), F.min_by("cells", F.when(whole, F.col("record"))).alias("cells"), set_digest(F.when(whole, hashed)).alias("digest"),
+        F.count_if(whole).alias("n"), F.min(F.when(whole, F.col("record"))).alias("record"), F.min_by("cells", F.when(whole, F.col("record"))).alias("cells"), digest.alias("digest"),
         F.collect_list(F.when(~whole, F.struct("record", "within", "text"))).alias("pieces"),
     )
     ranges = written(sums, "ranges")
     crossing = written(_crossing(ranges, states), "crossing-records")
-    every = ranges.select("path", "start", "n", "record", "cells", "digest").unionByName(crossing.select("path", "start", F.lit(1).cast("long").alias("n"), "record", "cells", hashed.alias("digest")))
+    every = ranges.select("path", "start", "n", "record", "cells", "digest").unionByName(crossing.select("path", "start", F.lit(1).cast("long").alias("n"), "record", "cells", _record_hash().alias("digest")))
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     places = every.groupBy("path", "start").agg(F.sum("n").alias("n")).select(F.col("path").alias("of"), F.col("start").alias("from"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    files = every.groupBy(F.col("path").alias("of")).agg(F.min_by("cells", "record").alias("headers"), F.concat(F.lit("records-"), set_digest(F.col("digest"))).alias("content_hash"))
+    files = every.groupBy(F.col("path").alias("of")).agg(F.min_by("cells", "record").alias("headers"), *[_of_records(set_digest(F.col("digest")))] * hashed)
     rows = cut.where(whole).drop("text").unionByName(crossing)
     rows = rows.join(_few(places), (F.col("path") == F.col("of")) & (F.col("start") == F.col("from"))).drop("of")
     rows = rows.join(_few(files), F.col("path") == F.col("of"))
-    index = F.col("before") + F.col("within") - 1
-    padded = F.concat("cells", F.array_repeat(F.lit(""), F.greatest(F.size("headers") - F.size("cells"), F.lit(0))))
-    sheet = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return rows.where(index >= 0).select("path", "content_hash", sheet.alias("sheet"), "headers", index.alias("row_index"), F.col("record").alias("spreadsheet_row"), padded.alias("cells"))
+    return rows.select("path", "headers", *["content_hash"] * hashed, "before", "record", "within", "cells")

@@ -94,3 +94,30 @@ def test_digests_of_sets_are_sums_of_their_parts(spark):
     assert rows.union(rows.limit(1)).agg(set_digest(F.col("h"))).first()[0] != whole != rows.where("part > 0").agg(set_digest(F.col("h"))).first()[0]
     plain = [sum(int(r.h[16 * i : 16 * i + 16], 16) for r in rows.collect()) % 2**64 for i in range(4)]
     assert whole == "".join(f"{x:016x}" for x in plain)
+
+
+def test_small_files_are_read_once(spark, tmp_path):
+    r = random.Random(6)
+    for i in range(30):
+        (tmp_path / f"a+b %{i}é.csv").write_bytes(content(r, r.randrange(120)).encode())
+    (tmp_path / "open.csv").write_bytes(b'a,b\n1,"2\n\n3')
+    (tmp_path / "empty.csv").write_bytes(b"")
+    path = f"file://{tmp_path}"
+    want = seen(grid.read_rows(spark, path))
+    found = ranges.read_ranges(spark, path, hashed=False)
+    assert seen(found) == want and len(want) > 200
+    lines = ranges._lines(spark, path, None)
+    plan = ranges._small(lines.where(F.col("size") <= ranges._never_cut(spark)), False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan text") == 1 and not any(x in plan for x in ("Aggregate", "Join", "Exchange")) and "content_hash" not in found.columns
+    hashed = ranges.read_ranges(spark, path)
+    assert seen(hashed) == want
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    of = lambda df: {(x.path, x.content_hash) for x in df.collect()}
+    whole = of(hashed)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "37b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        assert of(ranges.read_ranges(spark, path)) == whole
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
