@@ -66,9 +66,10 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def frame_digest(df: DataFrame) -> DataFrame:
-    """One row, digest: of all rows of df in any order. Rows are hashed each, hashes sorted inside parts by their first
-    digits, the parts' digests sorted: no task holds all rows' hashes."""
-    hashed = df.select(F.sha2(F.to_json(F.struct(*df.columns)), 256).alias("h"))
-    lists = hashed.groupBy(F.substring("h", 1, 4).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("d"))
-    return lists.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+def frame_digest(df: DataFrame, counted: bool = False) -> DataFrame:
+    """One row, digest (and n, the number of rows): of all rows of df in any order. Rows are hashed each, hashes sorted inside parts by
+    their first digits, the parts' digests sorted: no task holds all rows' hashes. They are shuffled as bytes."""
+    hashed = df.select(F.unhex(F.sha2(F.to_json(F.struct(*df.columns)), 256)).alias("h"))
+    texts = F.transform(F.array_sort(F.collect_list("h")), lambda h: F.lower(F.hex(h)))
+    lists = hashed.groupBy(F.lower(F.hex(F.substring("h", 1, 2))).alias("p")).agg(F.sha2(F.array_join(texts, "\n"), 256).alias("d"), *[F.count("*").alias("n")] * counted)
+    return lists.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"), *[F.coalesce(F.sum("n"), F.lit(0)).alias("n")] * counted)

@@ -9,21 +9,22 @@ from tallyframe.functions.money import COMMA, MONEY, format_amount
 from tallyframe.functions.text import identity
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is taken of the lines, amounts to the cent. Where lines are shuffled it is these narrow rows, not the texts made of them."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", *[F.col(c).cast("decimal(18,2)").alias(c) for c in ("l_extendedprice", "l_discount", "l_tax")])
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", *[F.col(c).cast("decimal(18,2)").alias(c) for c in ("l_extendedprice", "l_discount", "l_tax")])
 
 
-def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each line: ref, period, key, amounts to the cent, b (which decides what is planted) and an ordinal."""
-    return _worked_out(_lines(spark, sf_dir))
+def base(spark: SparkSession, sf_dir: str, dealt: DataFrame | None = None) -> DataFrame:
+    """One row for each line: ref, period, key, amounts to the cent, b (which decides what is planted) and an ordinal. dealt: lines()
+    in other tasks and another order."""
+    return _worked_out(lines(spark, sf_dir) if dealt is None else dealt)
 
 
-def _worked_out(lines: DataFrame, *kept: str) -> DataFrame:
+def _worked_out(rows: DataFrame, *kept: str) -> DataFrame:
     gross, d, t = (F.col(c) for c in ("l_extendedprice", "l_discount", "l_tax"))
     ref = F.concat(F.lit("ORD-"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"), F.lit("-"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"))
-    rows = lines.select(
+    rows = rows.select(
         ref.alias("ref"), F.date_format("l_shipdate", "yyyy-MM").alias("period"), F.lit("GBP").alias("currency"), gross.alias("gross"), F.round(gross * d, 2).cast("decimal(18,2)").alias("discount"), F.round(gross * t, 2).cast("decimal(18,2)").alias("tax"),
         ((F.col("l_orderkey") * 31 + F.col("l_linenumber")) % 97).alias("b"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", *kept,
     )
@@ -34,12 +35,12 @@ def sides(rows: DataFrame) -> DataFrame:
     return rows.select("key", "ref", "period", "currency", F.col("gross").cast(MONEY).alias("gross"), F.create_map(F.lit("discount"), F.col("discount").cast(MONEY), F.lit("tax"), F.col("tax").cast(MONEY)).alias("deductions"), F.col("net").cast(MONEY).alias("net"), "ordinal", "l_suppkey")
 
 
-def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sides(base(spark, sf_dir).where("b <> 4"))
+def statement(spark: SparkSession, sf_dir: str, dealt: DataFrame | None = None) -> DataFrame:
+    return sides(base(spark, sf_dir, dealt).where("b <> 4"))
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = base(spark, sf_dir).where("b <> 3").withColumns({
+def ledger(spark: SparkSession, sf_dir: str, dealt: DataFrame | None = None) -> DataFrame:
+    changed = base(spark, sf_dir, dealt).where("b <> 3").withColumns({
         "gross": F.expr("CASE b WHEN 0 THEN gross + 0.01 WHEN 1 THEN gross + 123.45 WHEN 5 THEN gross + 77 ELSE gross END"),
         "discount": F.expr("CASE b WHEN 2 THEN discount + 5 ELSE discount END"),
         "net": F.expr("CASE b WHEN 0 THEN net + 0.01 WHEN 1 THEN net + 123.45 WHEN 2 THEN net - 5 WHEN 6 THEN NULL ELSE net END"),
@@ -65,8 +66,8 @@ def file_rows(spark: SparkSession, sf_dir: str, together: bool = False) -> DataF
     # Not where rows are united with others of their file: Spark 4.1 takes such a union for partitioned by file, drops a
     # repartition of it, and may then merge the parts of its sides differently (csv_ranges lost its headers at sf0.1).
     place = Window.partitionBy("content_hash" if together else "l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")  # the ordinal, of lines of one supplier
-    lines = _lines(spark, sf_dir).withColumn("content_hash", F.concat(F.lit("file-"), F.col("l_suppkey").cast("string")))
-    rows = _worked_out(lines.withColumn("row_index", F.row_number().over(place).cast("long") - 1), "content_hash", "row_index")
+    named = lines(spark, sf_dir).withColumn("content_hash", F.concat(F.lit("file-"), F.col("l_suppkey").cast("string")))
+    rows = _worked_out(named.withColumn("row_index", F.row_number().over(place).cast("long") - 1), "content_hash", "row_index")
     n = F.col("l_orderkey") + F.col("l_linenumber")
     gross = F.when(n % 50 == 0, "n/a").when(n % 70 == 0, "").otherwise(format_amount(F.col("gross"), COMMA, code="GBP"))
     period = F.when(n % 60 == 0, "TBC").otherwise(F.concat(F.substring("period", 6, 2), F.lit("/"), F.substring("period", 1, 4)))

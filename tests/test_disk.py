@@ -1,11 +1,14 @@
 """What lies on disk and is shuffled while large tables are taken through."""
 
+import hashlib
+import itertools
 import re
 import time
 
 from pyspark.sql import functions as F
 
 from tallyframe.adapters import get_family
+from tallyframe.functions.text import frame_digest
 from tallyframe.operators import canonical
 from tallyframe.operators.store import Store
 from tallyframe.plans import queries, statements
@@ -56,3 +59,21 @@ def test_rows_prepared_once_are_stored_with_their_lineage(spark, tmp_path):
     got = kept.select("key", "spreadsheet_row", "x.cell.column", "x.raw_value", (F.col("x.source_content_hash") == F.col("source_content_hash")).alias("same"), "x.cell.sheet", "x.cell.row", "x.mapping_version").collect()
     assert {(r.key, r.spreadsheet_row, r.column, r.raw_value) for r in got} <= {(k, n, c, t) for k, n, _, c, t in own}
     assert all(r.same and r.sheet == "csv" and r.row == r.spreadsheet_row and r.mapping_version == 1 for r in got)
+
+
+def test_digests_are_counted_in_the_same_pass(spark):
+    rows = spark.range(3000).select((F.col("id") % 1000).alias("id"), F.col("id").cast("string").alias("t"))
+    hashes = sorted(hashlib.sha256(f'{{"id":{i % 1000},"t":"{i}"}}'.encode()).hexdigest() for i in range(3000))
+    parts = ["\n".join(part) for _, part in itertools.groupby(hashes, lambda h: h[:4])]
+    want = hashlib.sha256("\n".join(hashlib.sha256(p.encode()).hexdigest() for p in parts).encode()).hexdigest()
+    assert tuple(frame_digest(rows.repartition(5, "t"), counted=True).first()) == (want, 3000) and tuple(frame_digest(rows).first()) == (want,)
+    assert frame_digest(rows.limit(0), counted=True).first().n == 0
+
+
+def test_runs_of_the_results_digest_leave_no_shuffles(spark):
+    before = shuffle_blocks(spark)
+    found = queries.results_digest(spark, SF)
+    until = time.time() + 20
+    while shuffle_blocks(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffle_blocks(spark) - before and [r[0] for r in found.collect()][1] == 1
