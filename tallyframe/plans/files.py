@@ -17,7 +17,7 @@ from tallyframe.operators.side_tables import reconcile_tables, save_side
 from tallyframe.operators.store import Store
 from tallyframe.plans import queries, statements
 from tallyframe.sources.ranges import read_ranges
-from tallyframe.sources.scratch import scratch_path, shuffles_freed
+from tallyframe.sources.scratch import CODEC, scratch_path, shuffles_freed
 from tallyframe.streaming import incremental
 
 NOTE = 'see\npage "2"; ok'
@@ -83,12 +83,15 @@ def reconcile_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconcile_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides arrive in several files each, a third of them at a time; the statuses after the last micro-batch."""
     root, streams, cores = scratch_path(spark, "arriving"), [], spark.sparkContext.defaultParallelism
+    each = -(-statements.lines(spark, sf_dir).count() // (3 * cores))
     for side, rows in (("statement", statements.statement(spark, sf_dir)), ("ledger", statements.ledger(spark, sf_dir))):
-        sent = rows.select("key", "currency", "gross", "deductions", "net", "ordinal")
-        sent.repartition(3 * cores, "ordinal").write.parquet(f"{root}/{side}")
-        streams.append(spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", cores).parquet(f"{root}/{side}"))
+        sent, path = rows.select("key", "currency", "gross", "deductions", "net", "ordinal"), f"{root}/{side}"
+        # written as the lines come, without a shuffle; the files are at least so many as one of three arrivals has cores
+        sent.write.option("compression", CODEC).option("maxRecordsPerFile", max(each, 1)).parquet(path)
+        n_files = len(spark.read.schema(sent.schema).parquet(path).inputFiles())
+        streams.append(spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", -(-n_files // 3)).parquet(path))
     incremental.keep(incremental.statuses(*streams, ordinal="ordinal"), f"{root}/statuses", f"{root}/checkpoint").awaitTermination()
-    return incremental.current(spark, f"{root}/statuses").select("key", "status", "rule")
+    return incremental.current(spark, f"{root}/statuses", ("key", "status", "rule"))
 
 
 def amounts_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ What reconcile() needs to know of a key is small: how many rows each side has, a
 Spark keeps it as the state of a streaming aggregation, a few values for each key whatever the number of its rows; rows are
 combined before they meet the state. Each micro-batch gives the keys that it touched with their new status. The state is kept
 by Spark's RocksDB provider, on the executors' disks, so that the keys need not fit in their memory; there are as many stores
-as cores, since each of them commits in each micro-batch.
+as cores, since each of them commits in each micro-batch. A commit writes what changed to the checkpoint, not the store's files.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyframe.functions.money import EXACT, Tolerance, forbid_floats
 from tallyframe.operators.reconcile import decide
+from tallyframe.sources.scratch import CODEC, shuffles_freed
 
 SHOWN = ("key", "status", "rule", "detail", "n_s", "n_l")
 
@@ -38,19 +39,22 @@ def statuses(statement: DataFrame, ledger: DataFrame, tolerance: Tolerance = EXA
 @contextmanager
 def _stream_settings(spark: SparkSession) -> Iterator[None]:
     """What a stream takes over from its session as it starts; the session gets its own settings back."""
-    parts = "spark.sql.shuffle.partitions"
+    parts, rocks = "spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.rocksdb"
     chosen = {
         parts: str(min(int(spark.conf.get(parts)), spark.sparkContext.defaultParallelism)),
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    }
-    was = {k: spark.conf.get(k) for k in chosen}
+        f"{rocks}.changelogCheckpointing.enabled": "true", f"{rocks}.compression": CODEC, f"{rocks}.blockSizeKB": "32",
+        "spark.sql.streaming.minBatchesToRetain": "2",
+    }
+    was = {k: spark.conf.get(k, None) for k in chosen}
     try:
         for k, v in chosen.items():
             spark.conf.set(k, v)
-        yield
+        with shuffles_freed(spark):
+            yield
     finally:
         for k, v in was.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def keep(changed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -58,13 +62,14 @@ def keep(changed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     until all that is there has been taken."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.select(*SHOWN).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.select(*SHOWN).write.mode("overwrite").option("compression", CODEC).parquet(f"{path}/batch={number}")
 
     with _stream_settings(changed.sparkSession):
         return changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The statuses as of the last batch, without those of null keys: of each key the one that was written last."""
+def current(spark: SparkSession, path: str, shown: tuple[str, ...] = SHOWN) -> DataFrame:
+    """The statuses as of the last batch, without those of null keys: of each key the one that was written last. shown: the key, and
+    those columns that are wanted."""
     rows = spark.read.schema("key string, status string, rule string, detail string, n_s long, n_l long, batch long").option("basePath", path).parquet(f"{path}/batch=*")
-    return rows.where("key IS NOT NULL").groupBy("key").agg(F.max_by(F.struct(*SHOWN[1:]), "batch").alias("x")).select("key", "x.*")
+    return rows.where("key IS NOT NULL").groupBy("key").agg(F.max_by(F.struct(*shown[1:]), "batch").alias("x")).select("key", "x.*")

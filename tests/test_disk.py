@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import re
 import time
 
@@ -13,6 +14,7 @@ from tallyframe.operators import canonical
 from tallyframe.operators.store import Store
 from tallyframe.plans import queries, statements
 from tallyframe.sources import scratch
+from tallyframe.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +79,15 @@ def test_runs_of_the_results_digest_leave_no_shuffles(spark):
     while shuffle_blocks(spark) - before and time.time() < until:
         time.sleep(0.1)
     assert not shuffle_blocks(spark) - before and [r[0] for r in found.collect()][1] == 1
+
+
+def test_a_commit_of_a_stream_writes_what_changed(spark, tmp_path):
+    sides = statements.ledger(spark, SF).select("key", "currency", "gross", "deductions", "net", "ordinal")
+    sides.repartition(3).write.parquet(f"{tmp_path}/in")
+    side = spark.readStream.schema(sides.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = incremental.keep(incremental.statuses(side, side, ordinal="ordinal"), f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint")
+    query.awaitTermination()
+    kept = [name for _, _, names in os.walk(f"{tmp_path}/checkpoint/state") for name in names]
+    assert any(name.endswith(".changelog") for name in kept) and not any(name.endswith(".sst") for name in kept)
+    narrow = incremental.current(spark, f"file://{tmp_path}/out", ("key", "status"))
+    assert narrow.columns == ["key", "status"] and sorted(narrow.collect()) == sorted(incremental.current(spark, f"file://{tmp_path}/out").select("key", "status").collect())
