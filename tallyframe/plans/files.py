@@ -17,7 +17,7 @@ from tallyframe.operators.side_tables import reconcile_tables, save_side
 from tallyframe.operators.store import Store
 from tallyframe.plans import queries, statements
 from tallyframe.sources.ranges import read_ranges
-from tallyframe.sources.scratch import CODEC, scratch_path, shuffles_freed
+from tallyframe.sources.scratch import CODEC, scratch_path, shuffles_freed, written
 from tallyframe.streaming import incremental
 
 NOTE = 'see\npage "2"; ok'
@@ -102,25 +102,31 @@ def amounts_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT o_orderkey, money_text(parse_amount(raw, 'comma_decimal')) AS amount, normalise_period(month_raw, true) AS day_first, normalise_period(month_raw, false) AS month_first, looks_like_date(month_raw) AS dated FROM {raw}", raw=raw)
 
 
-def _with_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statement files with a footer of their total: a cent off where the supplier's number is divisible by five, none where it
-    is by seven."""
-    rows = statements.file_rows(spark, sf_dir)
-    good = canonical.accepted(canonical.canonicalise(rows, queries.COLUMNS, get_family("insurance"), queries.SENDER))
+def _canonical(rows: DataFrame) -> DataFrame:
+    """canonicalise() of rows, less the lineage that a report does not read."""
+    tagged = canonical.canonicalise(rows, queries.COLUMNS, get_family("insurance"), queries.SENDER)
+    value = lambda x: F.struct(x["value"].alias("value"))
+    gross = F.struct(F.col("gross.value"), F.struct(F.col("gross.lineage.raw_value")).alias("lineage"))
+    return tagged.withColumns({"gross": gross, "net": F.when(F.col("net").isNotNull(), value(F.col("net"))), **{c: F.map_from_arrays(F.map_keys(c), F.arrays_zip(F.map_values(c)["value"].alias("value"))) for c in ("deductions", "attributes")}})
+
+
+def _footers(tagged: DataFrame) -> DataFrame:
+    """A footer for each file, of its total: a cent off where the supplier's number is divisible by five, none where it is by seven."""
+    good = canonical.accepted(tagged)
     supplier = F.substring_index("content_hash", "-", -1).cast("long")
     total = (F.sum("gross.value") + F.when(supplier % 5 == 0, F.lit(Decimal("0.01"))).otherwise(F.lit(Decimal("0.00")))).cast("decimal(18,2)")
-    totals = good.groupBy("content_hash").agg(total.alias("total"), F.max("spreadsheet_row").alias("last")).where(supplier % 7 != 0)
+    totals = good.groupBy("content_hash").agg(total.alias("total")).where(supplier % 7 != 0)
     cells = F.array(F.lit(""), F.lit("Total"), format_amount(F.col("total"), COMMA), *[F.lit("")] * 4)
-    feet = totals.select("content_hash", F.lit("csv").alias("sheet"), F.array(*map(F.lit, statements.HEADERS)).alias("headers"), F.lit(1_000_000_000).cast("long").alias("row_index"), F.lit(1_000_000_002).cast("long").alias("spreadsheet_row"), cells.alias("cells"))
-    return rows.unionByName(feet)
+    return totals.select("content_hash", F.lit("csv").alias("sheet"), F.array(*map(F.lit, statements.HEADERS)).alias("headers"), F.lit(1_000_000_000).cast("long").alias("row_index"), F.lit(1_000_000_002).cast("long").alias("spreadsheet_row"), cells.alias("cells"))
 
 
 def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What came of each statement file with a footer: rows, totals, statuses against the ledger."""
-    tagged = canonical.canonicalise(_with_footers(spark, sf_dir), queries.COLUMNS, get_family("insurance"), queries.SENDER)
+    lines = written(_canonical(statements.file_rows(spark, sf_dir)), "canonical")  # for the footers, the results and the report
+    tagged = lines.unionByName(written(_canonical(_footers(lines)), "footers"))
     named = F.map_from_entries(F.transform(F.map_entries("deductions"), lambda e: F.struct(F.when(e["key"] == "discount", "commission").otherwise(e["key"]).alias("key"), e["value"].cast(MONEY).alias("value"))))
     ledger = statements.ledger(spark, sf_dir).withColumn("deductions", named).withColumn("spreadsheet_row", F.col("ordinal.l_partkey"))
-    results = reconcile.reconcile(canonical.flat(canonical.accepted(tagged)), ledger)
+    results = reconcile.reconcile(canonical.flat(canonical.accepted(tagged)), ledger, evidence=False)
     report = reports.file_report(tagged, results, queries.SENDER, get_family("insurance"))
     amounts = [money_text(F.col(c)).alias(c) for c in ("computed", "declared", "difference")]
     return report.select("content_hash", "n_rows", "accepted", "quarantined", *amounts, "agrees", *reconcile.STATUSES)
